@@ -116,7 +116,7 @@ def encode(people: DataFrame, keys: tuple[str, ...] = SKILL_KEYS, fit_scope: str
     sizes = profiles.groupBy("cohort_id").agg(
         F.sum("weight").alias("cohort_rows"), F.count(F.lit(1)).alias("peers"))
     return scale(
-        profiles.withColumn("_scope", _scope(fit_scope)).join(fit, "_scope").drop("_scope", "fit_rows_")
+        profiles.withColumn("_scope", _scope(fit_scope)).join(fit, "_scope").drop("_scope")
         .join(sizes, "cohort_id")
     ).drop("fit_rows")
 
@@ -135,3 +135,14 @@ def features(people: DataFrame, fit_scope: str = "cohort") -> DataFrame:
     return attach_profiles(people.select("cohort_id", "row_id", *SKILL_KEYS), encoded,
                            columns=("features", "features_q")).select(
         "cohort_id", "row_id", "features", "features_q")
+
+
+def assemble(people: DataFrame, fit_scope: str = "cohort") -> DataFrame:
+    """``cohort_id, row_id, features`` before scaling: three scores, then one 0/1 per known style."""
+    profiles = count_profiles(people)
+    fit = fit_scaling(profiles, fit_scope).select("_scope", "styles")
+    vector = F.concat(F.array(*[F.col(s) for s in SCORES]),
+                      F.transform("styles", lambda s: (F.col("Learning_Style") == s["style"]).cast("double")))
+    wide = profiles.withColumn("_scope", _scope(fit_scope)).join(fit, "_scope").withColumn("features", vector)
+    return attach_profiles(people.select("cohort_id", "row_id", *SKILL_KEYS), wide, columns=("features",)).select(
+        "cohort_id", "row_id", "features")
