@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evenfold.functions.measure import quantise, standardised
 from evenfold.operators.joins import join_by_weight
+from evenfold.session import checkpoint
 from evenfold.sources.people import SCORES
 
 SKILL_KEYS = (*SCORES, "Learning_Style")
@@ -109,16 +110,17 @@ def encode(people: DataFrame, keys: tuple[str, ...] = SKILL_KEYS, fit_scope: str
     """Profiles with standardised features.
 
     Besides its features every profile carries ``cohort_rows`` (people) and ``peers``
-    (profiles) of its cohort.
+    (profiles) of its cohort. The counts are written to the checkpoint folder, so that people
+    are read once; all that follows works on the counts.
     """
-    profiles = count_profiles(people, keys)
+    profiles = checkpoint(count_profiles(people, keys))
     fit = fit_scaling(profiles, fit_scope)
     sizes = profiles.groupBy("cohort_id").agg(
         F.sum("weight").alias("cohort_rows"), F.count(F.lit(1)).alias("peers"))
-    return scale(
+    return checkpoint(scale(
         profiles.withColumn("_scope", _scope(fit_scope)).join(fit, "_scope").drop("_scope")
         .join(sizes, "cohort_id")
-    ).drop("fit_rows")
+    ).drop("fit_rows"))
 
 
 def attach_profiles(people: DataFrame, profiles: DataFrame, keys: tuple[str, ...] = SKILL_KEYS,
@@ -139,7 +141,7 @@ def features(people: DataFrame, fit_scope: str = "cohort") -> DataFrame:
 
 def assemble(people: DataFrame, fit_scope: str = "cohort") -> DataFrame:
     """``cohort_id, row_id, features`` before scaling: three scores, then one 0/1 per known style."""
-    profiles = count_profiles(people)
+    profiles = checkpoint(count_profiles(people))
     fit = fit_scaling(profiles, fit_scope).select("_scope", "styles")
     vector = F.concat(F.array(*[F.col(s) for s in SCORES]),
                       F.transform("styles", lambda s: (F.col("Learning_Style") == s["style"]).cast("double")))

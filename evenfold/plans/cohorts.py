@@ -30,19 +30,14 @@ def clean(people: DataFrame) -> DataFrame:
 
 
 def prepare(people: DataFrame, keys: tuple[str, ...] = SKILL_KEYS, fit_scope: str = "cohort",
-            strict: bool = False, materialise: bool = True) -> Cohorts:
+            strict: bool = False) -> Cohorts:
     """Clean people, set unusable rows aside, encode profiles and give people theirs.
 
-    With ``materialise`` both frames are written to the checkpoint folder, which the
-    round loops need; without, they stay part of one lazy plan.
+    Profiles and people are written to the checkpoint folder: every later step starts there.
     """
     usable, quarantine = split_usable(clean(people), strict)
     profiles = encode(usable, keys, fit_scope)
-    if materialise:
-        profiles = checkpoint(profiles)
-    members = attach_profiles(usable, profiles, keys)
-    if materialise:
-        members = checkpoint(members)
+    members = checkpoint(attach_profiles(usable, profiles, keys))
     return Cohorts(members, profiles, quarantine, keys)
 
 

@@ -54,7 +54,7 @@ def tournament(people: DataFrame, group_size: int = 5, n_clusters: int | None =
     cohorts = prepare(people, fit_scope=fit_scope)
     config = group_config(cohorts.people, size, "evaluate", n_clusters)
     check_clusters(config)
-    full = checkpoint(encode(cohorts.people.drop("profile_id"), FULL_KEYS, fit_scope))
+    full = encode(cohorts.people.drop("profile_id"), FULL_KEYS, fit_scope)
     wide = Cohorts(attach_profiles(cohorts.people.drop("profile_id"), full, FULL_KEYS), full, cohorts.quarantine, FULL_KEYS)
     keep = max(max_rounds, max_swaps) + 2
     slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed, keep=keep))

@@ -47,7 +47,7 @@ def _people(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _cohorts(spark: SparkSession, sf: str) -> Cohorts:
-    return prepare(learners(spark, sf), materialise=False)
+    return prepare(learners(spark, sf))
 
 
 def _fixed(cohorts: Cohorts, kind: str) -> DataFrame:
