@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenfold.session import BROADCAST_ROWS
+from evenfold.session import BROADCAST_ROWS, task_count
 
 # A key with more rows than this is spread over several tasks.
 ROWS_PER_TASK = 2_000_000
 # Left rows of one cohort that one task pairs with the right side.
-BLOCK_ROWS = 4_096
+BLOCK_ROWS = 1_024
 # Cohorts with at most this many profiles have their round loops run in one task.
 LOCAL_PROFILES = 1_024
 
@@ -64,7 +64,8 @@ def _all_equal(pairs: list[tuple[Column, Column]]) -> Column:
 
 def cohort_groups(df: DataFrame):
     """Grouped by cohort under columns of its own, so that relatives can be cogrouped."""
-    return df.select(*[F.col(c).alias(c) for c in df.columns]).groupBy("cohort_id")
+    own = df.select(*[F.col(c).alias(c) for c in df.columns])
+    return own.repartition(task_count(df.sparkSession), "cohort_id").groupBy("cohort_id")
 
 
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("cohort_id",)) -> DataFrame:
@@ -85,8 +86,10 @@ def pair_within(
     with many is cut into blocks of about ``block_rows``, each a join key of its own, so
     no task meets more than a block of left rows at once. The caller aggregates the pairs.
     """
+    tasks = task_count(left.sparkSession)
     blocks = F.greatest(F.ceil(F.col(left_rows) / F.lit(block_rows)), F.lit(1)).cast("int")
     cut = left.withColumn("_block", F.pmod(F.xxhash64(*left_id), blocks).cast("int"))
+    cut = cut.repartition(tasks, *keys, "_block")
     spread = right.withColumn("_block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop(left_rows)
     return cut.join(spread, [*keys, "_block"]).drop("_block")
 

@@ -109,8 +109,8 @@ def swap_deltas(profiles: DataFrame, medoids: DataFrame, metric: str) -> DataFra
     A slot that shares its profile with a lower slot owns nobody, so its delta is the
     gain alone.
     """
-    near = nearest_medoids(signature(profiles, metric), medoids, metric)
-    parts = swap_parts(near, metric)
+    near = checkpoint(nearest_medoids(signature(profiles, metric), medoids, metric))
+    parts = checkpoint(swap_parts(near, metric))
     gains = parts.select("cohort_id", "cand", "gain").distinct()
     grid = gains.join(medoids.select("cohort_id", "slot"), "cohort_id")
     return grid.join(parts.drop("gain"), ["cohort_id", "cand", "slot"], "left").select(

@@ -9,6 +9,7 @@ from evenfold.functions.measure import vector_metric
 from evenfold.operators.joins import join_by_weight, pair_within
 from evenfold.operators.lloyd import weighted_means
 from evenfold.operators.ranking import rank_in_cohort
+from evenfold.session import checkpoint
 
 
 def core_groups(labels: DataFrame, size: int) -> DataFrame:
@@ -18,7 +19,7 @@ def core_groups(labels: DataFrame, size: int) -> DataFrame:
     rows behind the last full run get NULL. A cohort under ``size`` is group 0.
     """
     ranked = rank_in_cohort(labels, ["label", "row_id"])
-    counts = labels.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("_n"))
+    counts = ranked.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("n_groups", F.floor(F.col("_n") / size))
     sized = join_by_weight(ranked, counts, ["cohort_id"], "_n")
     group = (
@@ -73,7 +74,7 @@ def enforce_group_size(labels: DataFrame, size: int, profiles: DataFrame | None
 
     With ``profiles`` the left-over rows go to the nearest centre, without in turn.
     """
-    core = core_groups(labels, size)
+    core = checkpoint(core_groups(labels, size))
     rest = round_robin_fill(core, size) if profiles is None else smart_fill(core, profiles, metric)
     columns = [*labels.columns, "group_id"]
     return core.where("group_id IS NOT NULL").select(*columns).unionByName(rest.select(*columns))

@@ -52,3 +52,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def task_count(spark: SparkSession) -> int:
+    """Partitions for steps whose output is far larger than their input.
+
+    Spark joins small shuffle partitions by their size in bytes, which would leave a pair join
+    or a round loop over compact profiles to a task or two.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    cores = spark.sparkContext.defaultParallelism
+    return max(cores, min(configured, 4 * cores))

@@ -20,7 +20,7 @@ def _strip(column: str) -> str:
 
 
 def _capital(text: str) -> str:
-    return f"concat(upper({text}[1:1]), lower({text}[2:]))"
+    return f"(upper({text}[1:1]) || lower({text}[2:]))"
 
 
 def _title(text: str) -> str:

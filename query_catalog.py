@@ -21,7 +21,7 @@ from evenfold.plans.compare import compare_metrics
 from evenfold.plans.generate import generate_groups
 from evenfold.plans.report import group_assignments, report_lines
 from evenfold.plans.tournament import tournament
-from evenfold.session import shared_dir
+from evenfold.session import checkpoint, shared_dir
 from evenfold.sources.learners import learners, learners_dirty
 from evenfold.sources.people import read_people, read_people_csv
 
@@ -78,7 +78,7 @@ def _both(spark: SparkSession, sf: str) -> tuple[DataFrame, Cohorts]:
 
 def _slots(cohorts: Cohorts, keys=None) -> DataFrame:
     config = seeding.group_config(cohorts.people, SIZE)
-    return seeding.init_medoids(cohorts.people, cohorts.profiles, config, keys or cohorts.keys)
+    return checkpoint(seeding.init_medoids(cohorts.people, cohorts.profiles, config, keys or cohorts.keys))
 
 
 def _row_labels(cohorts: Cohorts, labels: DataFrame, name: str = "label") -> DataFrame:
@@ -89,7 +89,7 @@ def _started(spark: SparkSession, sf: str) -> tuple[DataFrame, Cohorts]:
     """People labelled with their nearest first centre."""
     cohorts = _cohorts(spark, sf)
     start = lloyd.start_centroids(cohorts.profiles, _slots(cohorts))
-    labels = lloyd.assign(cohorts.profiles, start, "manhattan")
+    labels = checkpoint(lloyd.assign(cohorts.profiles, start, "manhattan"))
     return label_people(cohorts, labels), cohorts
 
 
