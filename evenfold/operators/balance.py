@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenfold.operators.ranking import rank_in_cohort
+
 # Fixed value: keeps the logarithm of an entropy finite.
 TINY = 1e-10
 KEYS = ["run", "cohort_id", "group_id"]
@@ -93,16 +95,18 @@ def cluster_balance(labelled: DataFrame) -> DataFrame:
 
 
 def group_members(labelled: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Names of each group in row order.
+    """``cohort_id, group_id, position, Name``: the members of each group in row order, from 1.
 
-    ``groups`` (``cohort_id, k``) lists groups 0 .. k-1, so that empty ones appear too. A group's
-    list is as long as the group, which sizing keeps near the target.
+    ``groups`` (``cohort_id, k``) lists groups 0 .. k-1; an empty one shows as position 0
+    without a name. One row per member, because a group may be far too long for an array.
     """
-    listed = labelled.groupBy("cohort_id", "group_id").agg(
-        F.array_sort(F.collect_list(F.struct("row_id", "Name"))).alias("_people"))
-    listed = listed.select("cohort_id", "group_id", F.transform("_people", lambda p: p["Name"]).alias("members"))
+    rows = labelled.select("cohort_id", "group_id", "row_id", "Name")
+    listed = rank_in_cohort(rows, ["row_id"], "position", ("cohort_id", "group_id")).select(
+        "cohort_id", "group_id", "position", "Name")
     if groups is None:
         return listed
     every = groups.select("cohort_id", F.explode(F.sequence(F.lit(0), F.col("k").cast("int") - 1)).alias("group_id"))
-    return every.join(listed, ["cohort_id", "group_id"], "left").withColumn(
-        "members", F.coalesce("members", F.array().cast("array<string>")))
+    used = listed.select("cohort_id", "group_id").distinct()
+    empty = every.join(used, ["cohort_id", "group_id"], "left_anti").select(
+        "*", F.lit(0).cast("bigint").alias("position"), F.lit(None).cast("string").alias("Name"))
+    return listed.unionByName(empty)

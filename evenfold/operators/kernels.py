@@ -158,6 +158,8 @@ def sequential_swaps(people: pd.DataFrame, flagged: pd.DataFrame, by_gender: boo
     trait, match = people["trait"].to_numpy(), people["match"].to_numpy()
     style, gap = people["Learning_Style"].to_numpy(), people["q_gap"].to_numpy()
     place = people[["q_motivation", "q_esteem", "q_ethic"]].to_numpy()
+    # People of one profile tie in every distance, so the first of each stands for them.
+    alike = pd.factorize(people["profile_id"].astype(str) + "/" + people["match"].astype(str))[0]
     log = []
     for step in flagged.itertuples(index=False):
         wanted = trait == step.wanted
@@ -179,6 +181,9 @@ def sequential_swaps(people: pd.DataFrame, flagged: pd.DataFrame, by_gender: boo
         comers, goers = np.flatnonzero(wanted & spare[group]), np.flatnonzero(leaving)
         if not len(comers) or not len(goers):
             continue
+        comers = comers[np.argsort(group[comers], kind="stable")]
+        comers = comers[np.unique(alike[comers], return_index=True)[1]]
+        goers = goers[np.unique(alike[goers], return_index=True)[1]]
         dist = np.abs(place[comers, None, :] - place[None, goers, :]).sum(axis=2)
         dist = dist + np.where(style[comers, None] != style[None, goers], gap[comers, None] + gap[None, goers], 0)
         if not by_gender:

@@ -26,7 +26,7 @@ SMALLEST_GROUP = 4
 DONOR_KEEPS = 2
 
 # Cohorts of at most this many people take all their turns in one task.
-LOCAL_PEOPLE = 100_000
+LOCAL_PEOPLE = 20_000
 
 LOG_SCHEMA = (
     "cohort_id bigint, round int, group_id int, isolation_type string, in_id bigint, "

@@ -15,7 +15,7 @@ from evenfold.plans.cohorts import label_people, prepare
 def form_balanced_groups(people: DataFrame, n_groups: int, seed: int = 42, enforce_gender_balance: bool = True,
                          enforce_diversity_balance: bool = True, max_iter: int = MAX_ROUNDS,
                          max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """People with a 1-based ``Group``, and the names of each group, empty groups included.
+    """People with a 1-based ``Group``, and one row per group member, empty groups included.
 
     K-Means, then lone genders and lone diversity categories are ended by swaps, each behind
     its flag; diversity swaps keep genders in place while genders are enforced.

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions.text import cell, shorten
+from evenfold.operators.ranking import rank_in_cohort
 
 # The layout of the report.
 RULE = 65
+REPORTED = ("Name", "Gender", "Diversity", "Learning_Style")
 WIDTHS = {"Name": 20, "Gender": 8, "Ethnicity": 20, "Style": 10}
 TITLE = "FINAL GROUP ASSIGNMENTS REPORT"
 
@@ -26,16 +28,16 @@ def report_lines(assignments: DataFrame) -> DataFrame:
     Members stand in name order. Wide values push their cell out instead of being cut;
     only long ethnicities are shortened.
     """
-    rows = assignments.withColumnRenamed("Group_ID", "_g")
-    order = Window.partitionBy("cohort_id", "_g").orderBy("Name", "row_id")
+    shown = assignments.select("cohort_id", F.col("Group_ID").alias("_g"), "row_id", *REPORTED)
+    rows = rank_in_cohort(shown, ["Name", "row_id"], "_nth", ("cohort_id", "_g"))
     # pandas prints an empty cell of a text column as nan.
-    text = {c: F.coalesce(F.col(c), F.lit("nan")) for c in ("Name", "Gender", "Diversity", "Learning_Style")}
+    text = {c: F.coalesce(F.col(c), F.lit("nan")) for c in REPORTED}
     line = F.concat_ws(
         " | ", cell(text["Name"], WIDTHS["Name"]), cell(text["Gender"], WIDTHS["Gender"]),
         cell(shorten(text["Diversity"]), WIDTHS["Ethnicity"]), cell(text["Learning_Style"], WIDTHS["Style"]))
     members = rows.select(
         "cohort_id", F.col("_g").alias("group_id"),
-        (F.row_number().over(order) + 5).alias("line_no"), line.alias("line"))
+        (F.col("_nth") + 5).cast("int").alias("line_no"), line.alias("line"))
 
     header = " | ".join(f"{name:<{width}}" for name, width in WIDTHS.items())
     rule = F.lit("-" * RULE)

@@ -563,8 +563,8 @@ def oracle_sql() -> dict[str, str]:
             {_bands("davies_bouldin", "<", 1.5, 2.0)}, {_bands("mean_skill_variance", "<", 0.3, 0.5)}
           FROM two JOIN (SELECT run, cohort_id, avg(mean) AS mean_skill_variance FROM two_variance GROUP BY run, cohort_id)
           USING (run, cohort_id)""", "two", "two_variance"),
-        "group_members": _with("""SELECT cohort_id, group_id, string_agg(Name, ',' ORDER BY row_id) AS members, count(*) AS n
-          FROM stripe GROUP BY cohort_id, group_id""", "stripe"),
+        "group_members": _with("""SELECT cohort_id, group_id, Name,
+            row_number() OVER (PARTITION BY cohort_id, group_id ORDER BY row_id) AS position FROM stripe""", "stripe"),
         "label_centroids": _all(f"cohort_id, group_id, n AS people, pos, {_r6('c')} AS value", "st_centers"),
         "gender_isolation": _with(_isolated("chunk"), "chunk"),
         "diversity_isolation": _with(_lone_categories("chunk"), "chunk"),

@@ -247,8 +247,7 @@ def cluster_balance(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def members(spark: SparkSession, sf: str) -> DataFrame:
-    return balance.group_members(_stripe(spark, sf)[0]).select(
-        "cohort_id", "group_id", F.array_join("members", ",").alias("members"), F.size("members").alias("n"))
+    return balance.group_members(_stripe(spark, sf)[0])
 
 
 def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
