@@ -12,16 +12,21 @@ from evenfold.operators.ranking import rank_in_cohort
 from evenfold.session import checkpoint
 
 
-def core_groups(labels: DataFrame, size: int) -> DataFrame:
+COHORT = ("cohort_id",)
+
+
+def core_groups(labels: DataFrame, size: int, keys: tuple[str, ...] = COHORT) -> DataFrame:
     """``labels`` plus ``rn``, ``n_groups`` and ``group_id``.
 
+    ``keys`` name one labelling; with a run in front of the cohort several are sized at once.
+
     Rows are numbered by (label, row_id); every full run of ``size`` rows is a group. The
     rows behind the last full run get NULL. A cohort under ``size`` is group 0.
     """
-    ranked = rank_in_cohort(labels, ["label", "row_id"])
-    counts = ranked.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = rank_in_cohort(labels, ["label", "row_id"], by=keys)
+    counts = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     counts = counts.withColumn("n_groups", F.floor(F.col("_n") / size))
-    sized = join_by_weight(ranked, counts, ["cohort_id"], "_n")
+    sized = join_by_weight(ranked, counts, list(keys), "_n")
     group = (
         F.when(F.col("n_groups") == 0, F.lit(0))
         .when(F.col("rn") <= F.col("n_groups") * size, F.floor((F.col("rn") - 1) / size))
@@ -29,37 +34,39 @@ def core_groups(labels: DataFrame, size: int) -> DataFrame:
     return sized.withColumn("group_id", group.cast("int")).drop("_n")
 
 
-def group_centers(core: DataFrame, profiles: DataFrame) -> DataFrame:
-    """``cohort_id, group_id, people, mean_q`` of the placed rows."""
-    cells = core.where("group_id IS NOT NULL").groupBy("cohort_id", "group_id", "profile_id").agg(
+def group_centers(core: DataFrame, profiles: DataFrame, keys: tuple[str, ...] = COHORT) -> DataFrame:
+    """``keys, group_id, people, mean_q`` of the placed rows."""
+    cells = core.where("group_id IS NOT NULL").groupBy(*keys, "group_id", "profile_id").agg(
         F.count(F.lit(1)).alias("weight"))
     points = join_by_weight(cells, profiles.select("cohort_id", "profile_id", "features_q", F.col("weight").alias("_w")),
                             ["cohort_id", "profile_id"], "_w", spread="group_id")
-    return weighted_means(points, ["cohort_id", "group_id"])
+    return weighted_means(points, [*keys, "group_id"])
 
 
-def nearest_center(left_over: DataFrame, centers: DataFrame, profiles: DataFrame, metric: str) -> DataFrame:
-    """``cohort_id, profile_id, group_id``: nearest centre, the lowest group on a tie."""
+def nearest_center(left_over: DataFrame, centers: DataFrame, profiles: DataFrame, metric: str,
+                   keys: tuple[str, ...] = COHORT) -> DataFrame:
+    """``keys, profile_id, group_id``: nearest centre, the lowest group on a tie."""
     distance = vector_metric(metric)
-    wanted = left_over.select("cohort_id", "profile_id", "n_groups").distinct().join(
+    wanted = left_over.select(*keys, "profile_id", "n_groups").distinct().join(
         profiles.select("cohort_id", "profile_id", "features_q"), ["cohort_id", "profile_id"])
-    placed = centers.join(wanted.select("cohort_id", "n_groups").distinct(), "cohort_id").select(
-        "cohort_id", "n_groups", "group_id", "mean_q")
-    pairs = pair_within(placed, wanted, ["cohort_id"], ["group_id"], "n_groups")
+    placed = centers.join(left_over.select(*keys, "n_groups").distinct(), list(keys)).select(
+        *keys, "n_groups", "group_id", "mean_q")
+    pairs = pair_within(placed, wanted, list(keys), ["group_id"], "n_groups")
     nearest = F.min(F.struct(distance(F.col("features_q"), F.col("mean_q")).alias("dist"), "group_id"))
-    return pairs.groupBy("cohort_id", "profile_id").agg(nearest.alias("_best")).select(
-        "cohort_id", "profile_id", F.col("_best.group_id").alias("group_id"))
+    return pairs.groupBy(*keys, "profile_id").agg(nearest.alias("_best")).select(
+        *keys, "profile_id", F.col("_best.group_id").alias("group_id"))
 
 
-def smart_fill(core: DataFrame, profiles: DataFrame, metric: str = "manhattan") -> DataFrame:
+def smart_fill(core: DataFrame, profiles: DataFrame, metric: str = "manhattan",
+               keys: tuple[str, ...] = COHORT) -> DataFrame:
     """Place each left-over row in the group with the nearest centre.
 
     Centres are those of the full groups and stay fixed, so one group may take
     several rows. There are fewer left-over rows than ``size`` in a cohort.
     """
     left_over = core.where("group_id IS NULL").drop("group_id")
-    nearest = nearest_center(left_over, group_centers(core, profiles), profiles, metric)
-    return left_over.join(nearest, ["cohort_id", "profile_id"])
+    nearest = nearest_center(left_over, group_centers(core, profiles, keys), profiles, metric, keys)
+    return left_over.join(nearest, [*keys, "profile_id"])
 
 
 def round_robin_fill(core: DataFrame, size: int) -> DataFrame:
@@ -69,12 +76,12 @@ def round_robin_fill(core: DataFrame, size: int) -> DataFrame:
 
 
 def enforce_group_size(labels: DataFrame, size: int, profiles: DataFrame | None = None,
-                       metric: str = "manhattan") -> DataFrame:
+                       metric: str = "manhattan", keys: tuple[str, ...] = COHORT) -> DataFrame:
     """``labels`` (with ``label``) regrouped into ``n div size`` groups as ``group_id``.
 
     With ``profiles`` the left-over rows go to the nearest centre, without in turn.
     """
-    core = checkpoint(core_groups(labels, size))
-    rest = round_robin_fill(core, size) if profiles is None else smart_fill(core, profiles, metric)
+    core = checkpoint(core_groups(labels, size, keys))
+    rest = round_robin_fill(core, size) if profiles is None else smart_fill(core, profiles, metric, keys)
     columns = [*labels.columns, "group_id"]
     return core.where("group_id IS NOT NULL").select(*columns).unionByName(rest.select(*columns))

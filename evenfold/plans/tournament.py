@@ -59,26 +59,23 @@ def tournament(people: DataFrame, group_size: int = 5, n_clusters: int | None =
     keep = max(max_rounds, max_swaps) + 2
     slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed, keep=keep))
 
-    def resized(run: str, labels: DataFrame, source: Cohorts, metric: str) -> DataFrame:
+    def named(run: str, labels: DataFrame, source: Cohorts = cohorts) -> DataFrame:
         rows = label_people(source, labels)
         if source is not cohorts:
             rows = attach_profiles(rows.drop("profile_id"), cohorts.profiles)
-        sized = enforce_group_size(rows, size, cohorts.profiles, metric)
-        return as_run(sized.drop("label"), run)
-
-    def means(metric: str):
-        labels, _ = kmeans(cohorts.profiles, slots, metric, max_rounds)
-        return resized(f"kmeans_{metric}", labels, cohorts, metric)
-
-    def medoids_manhattan():
-        labels, _ = kmedoids(cohorts.profiles, slots, "manhattan", max_swaps)
-        return resized("kmedoids_manhattan", labels, cohorts, "manhattan")
-
-    def medoids_gower():
-        first = init_medoids(wide.people, wide.profiles, config, FULL_KEYS, seed, max_swaps + 2)
-        labels, _ = kmedoids(wide.profiles, first, "gower", max_swaps)
-        return resized("kmedoids_gower", labels, wide, "manhattan")
-
-    runs = [means("euclidean"), means("manhattan"), medoids_manhattan(), medoids_gower()]
+        return as_run(rows, run)
+
+    def resized(rows: DataFrame, metric: str) -> DataFrame:
+        return enforce_group_size(rows, size, cohorts.profiles, metric, ("run", "cohort_id")).drop("label")
+
+    euclidean, _ = kmeans(cohorts.profiles, slots, "euclidean", max_rounds)
+    manhattan, _ = kmeans(cohorts.profiles, slots, "manhattan", max_rounds)
+    swapped, _ = kmedoids(cohorts.profiles, slots, "manhattan", max_swaps)
+    first = init_medoids(wide.people, wide.profiles, config, FULL_KEYS, seed, max_swaps + 2)
+    mixed, _ = kmedoids(wide.profiles, first, "gower", max_swaps)
+    by_manhattan = [named("kmeans_manhattan", manhattan), named("kmedoids_manhattan", swapped),
+                    named("kmedoids_gower", mixed, wide)]
+    runs = [resized(named("kmeans_euclidean", euclidean), "euclidean"),
+            resized(reduce(DataFrame.unionByName, by_manhattan), "manhattan")]
     labelled = checkpoint(reduce(DataFrame.unionByName, runs))
     return Tournament(labelled, evaluate_runs(labelled, cohorts.profiles, ("kmedoids_gower",)), cohorts)
