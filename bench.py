@@ -24,10 +24,8 @@ GROUP_SIZE = 30
 
 HEADLINES = {
     **{name: query_catalog.QUERIES[name] for name in (
-        "normalize_people", "validate_people", "standardize", "pairwise_manhattan", "silhouette_euclidean",
-        "silhouette_gower", "davies_bouldin", "evaluate_clustering", "cluster_balance", "medoid_swap_deltas",
-        "kmeans_euclidean", "kmedoids_manhattan", "kmedoids_gower", "enforce_group_size", "best_swaps",
-        "fix_gender_isolation", "group_report_lines")},
+        "validate_people", "standardize", "silhouette_euclidean", "evaluate_clustering", "cluster_balance",
+        "kmeans_euclidean", "kmedoids_manhattan", "kmedoids_gower", "enforce_group_size", "fix_gender_isolation")},
     "generate_groups_30": lambda spark, sf: generate_groups(learners(spark, sf), GROUP_SIZE).assignments,
     "tournament_30": lambda spark, sf: tournament(learners(spark, sf), GROUP_SIZE).table,
 }
