@@ -12,7 +12,7 @@ from evenfold.operators import balance, locking, lloyd, medoids, projection, qua
 from evenfold.operators.distances import profile_distances
 from evenfold.operators.joins import join_by_weight
 from evenfold.operators.normalize import normalize_people
-from evenfold.operators.profiles import FULL_KEYS, assemble, attach_profiles, encode, features
+from evenfold.operators.profiles import FULL_KEYS, assemble, encode, features
 from evenfold.operators.ranking import rank_in_cohort
 from evenfold.plans import evaluate
 from evenfold.plans.balanced import form_balanced_groups
