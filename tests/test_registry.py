@@ -6,10 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+import oracle_queries
+import query_catalog
 from tests.conftest import SMALL
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = query_catalog.QUERIES, oracle_queries.oracle_sql()
 # A sample over all kinds of queries, to keep the run short.
 SAMPLE = ("validate_people", "normalize_dirty_people", "missing_values", "pairwise_gower", "evaluate_clustering",
           "medoid_swap_deltas", "enforce_group_size", "best_swaps", "fix_gender_isolation", "generate_groups")
