@@ -7,9 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import mixing, quality_rules, sharding
+from evenfold.llm import byte_bpe, mixing, quality_rules, sharding
 from evenfold.llm.tables import documents
 
+def rank_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -19,6 +25,12 @@ def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("_mix.size") * F.col("_mix.times")).alias("taken"))
 
 
+def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = byte_bpe.vocabulary(spark, rank_file())
+    encoded = byte_bpe.encode(documents(spark, sf).select("doc_id", "text"), ranks)
+    return byte_bpe.digests(encoded.select("doc_id", "ids"), ranks)
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.with_quality(documents(spark, sf), name="q")
     return judged.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words",
@@ -29,4 +41,4 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op8_quality_rules, op10_byte_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op5_byte_bpe, op8_quality_rules, op10_byte_shards)}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import mixing, quality_rules as rules
+from evenfold.llm import byte_bpe, mixing, quality_rules as rules
+from evenfold.llm.queries import rank_file
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,4 +26,4 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    return byte_bpe.encode(docs, byte_bpe.vocabulary(spark, rank_file()))
