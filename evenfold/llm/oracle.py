@@ -27,6 +27,19 @@ SELECT e.doc_id, e.size, e.source_size, e.target, (e.size * (e.rounds + CASE WHE
 FROM e LEFT JOIN g ON e.source IS NOT DISTINCT FROM g.source
 """
 
+OP1 = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT k, w[i:i + 3] AS s FROM (SELECT k, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+p AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.k < b.k GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.k = a JOIN n y ON y.k = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+sides AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT k AS a, k AS b FROM d UNION SELECT r.a, sides.b FROM r JOIN sides ON r.b = sides.a),
+c AS (SELECT r.a AS k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.b GROUP BY r.a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (k) LEFT JOIN c USING (k)
+"""
+
 _STOP = ", ".join(f"'{w}'" for line in STOP_WORDS for w in line.split())
 OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -52,4 +65,4 @@ SELECT doc_id, n::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, s
 FROM v
 """
 
-SQL: dict[str, str] = {"op2_source_mix": OP2, "op8_quality_rules": OP8}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op2_source_mix": OP2, "op8_quality_rules": OP8}

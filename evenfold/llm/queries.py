@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, mixing, quality_rules, sharding
+from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding
 from evenfold.llm.tables import documents
 
 def rank_file() -> str:
@@ -19,6 +19,10 @@ def rank_file() -> str:
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.jaccard_join(documents(spark, sf)).drop("node")
+
+
 def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(documents(spark, sf), F.array("source"))
     return mixed.select("doc_id", "_mix.size", "_mix.source_size", "_mix.target",
@@ -41,4 +45,4 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_source_mix, op5_byte_bpe, op8_quality_rules, op10_byte_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op5_byte_bpe, op8_quality_rules, op10_byte_shards)}
