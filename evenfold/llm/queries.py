@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding
+from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding, suffix_dedup
 from evenfold.llm.tables import documents
 
 def rank_file() -> str:
@@ -35,6 +35,10 @@ def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return byte_bpe.digests(encoded.select("doc_id", "ids"), ranks)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text")))
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.with_quality(documents(spark, sf), name="q")
     return judged.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words",
@@ -45,4 +49,4 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op5_byte_bpe, op8_quality_rules, op10_byte_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_byte_shards)}
