@@ -40,6 +40,14 @@ c AS (SELECT r.a AS k, min(d.doc_id) AS component_id FROM r JOIN d ON d.k = r.b
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (k) LEFT JOIN c USING (k)
 """
 
+OP4 = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 5
+"""
+
 _STOP = ", ".join(f"'{w}'" for line in STOP_WORDS for w in line.split())
 OP8 = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
@@ -65,4 +73,4 @@ SELECT doc_id, n::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, s
 FROM v
 """
 
-SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op2_source_mix": OP2, "op8_quality_rules": OP8}
+SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op2_source_mix": OP2, "op4_vector_file": OP4, "op8_quality_rules": OP8}

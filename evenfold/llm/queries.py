@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding, suffix_dedup
+from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, vector_file
 from evenfold.llm.tables import documents
 
 def rank_file() -> str:
@@ -29,6 +29,10 @@ def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("_mix.size") * F.col("_mix.times")).alias("taken"))
 
 
+def op4_vector_file(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_file.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
+
+
 def op5_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     ranks = byte_bpe.vocabulary(spark, rank_file())
     encoded = byte_bpe.encode(documents(spark, sf).select("doc_id", "text"), ranks)
@@ -49,4 +53,4 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_byte_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_byte_shards)}

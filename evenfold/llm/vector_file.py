@@ -8,7 +8,7 @@ blocks are then joined per query, and exact vectors are read in order of their b
 is below the k-th exact score. Equal bounds are read, so ties go to the smaller id.
 
 Components become floor(scale * x). A vector that is null or has a null or non-finite component takes no part;
-vectors of different length meet as if padded with zeros. Scores are 64-bit integers. Repeated ids are
+vectors of different length meet as if padded with zeros. Scores are 64-bit integers, cut to their range. Repeated ids are
 rows of their own; a query's own id is never its candidate, and of a repeated query id all rows
 are scored and the best taken once per candidate id. An empty table gives no rows.
 """
@@ -50,7 +50,8 @@ class Cells:
     """Cells of equal width over each dimension's range."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, bits: int):
-        self.low, self.width = low, -(-(high - low + 1) >> bits << 0) if False else -((low - high - 1) // (1 << bits))
+        self.low, self.width = low, -((low - high - 1) // (1 << bits))
+        self.widest = np.maximum(-low.astype(np.float64), high)
 
     def encode(self, v: np.ndarray) -> np.ndarray:
         return ((v - self.low) // self.width).astype(np.uint8)
@@ -71,16 +72,20 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, dims: int, per_block: int, cells: Cells | None) -> DataFrame:
-    """(ids, packed): rows gathered to blocks, as cell numbers or as integers."""
+    """(b, ids, packed): neighbouring rows with one ``b`` gathered to blocks, as cell numbers or as integers."""
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            for s in range(0, batch.num_rows, per_block):
-                part = batch.slice(s, per_block)
-                v = _matrix(pa.concat_arrays([part.column(1)]), dims)
-                packed = cells.encode(v) if cells else v
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy().tobytes()], pa.binary()), pa.array([packed.tobytes()], pa.binary())], names=["ids", "packed"])
+            b = batch.column(2).to_numpy()
+            starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(b)), bool), b[1:] != b[:-1])))
+            for start, stop in zip(starts.tolist(), [*starts[1:].tolist(), len(b)]):
+                for s in range(start, stop, per_block):
+                    part = batch.slice(s, min(per_block, stop - s))
+                    v = _matrix(pa.concat_arrays([part.column(1)]), dims)
+                    packed = cells.encode(v) if cells else v
+                    yield pa.RecordBatch.from_arrays([pa.array([b[start]]), pa.array([part.column(0).to_numpy().tobytes()], pa.binary()),
+                                                      pa.array([packed.tobytes()], pa.binary())], names=["b", "ids", "packed"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "ids binary, packed binary")
+    return vectors.select("vec_id", "v", "b").mapInArrow(run, "b long, ids binary, packed binary")
 
 
 def _bounds(pairs: DataFrame, dims: int, k: int, cells: Cells) -> DataFrame:
@@ -94,8 +99,8 @@ def _bounds(pairs: DataFrame, dims: int, k: int, cells: Cells) -> DataFrame:
                 q = np.frombuffer(qv, np.int64).reshape(-1, dims).astype(np.float64)
                 middle = cells.middle(np.frombuffer(cv, np.uint8).reshape(-1, dims))
                 score = q @ middle.T
-                # Rounding of the sums stays far below one; the bounds are widened by one.
-                slack = np.abs(q) @ half + 1
+                # Wider than the rounding of the sums.
+                slack = np.abs(q) @ (half + cells.widest * 1e-12) + 1
                 score[q_id[:, None] == c_id[None, :]] = -np.inf
                 best = min(k, score.shape[1])
                 kth = -np.partition(-score, best - 1, axis=1)[:, best - 1] - slack if best == k else np.full(len(q), -np.inf)
@@ -117,14 +122,13 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
     if not len(low):
         low, high = np.zeros(1, np.int64), np.zeros(1, np.int64)
     cells = Cells(low, high, bits)
-    approximations = work.write(_blocks(vectors, dims, vectors_per_block, cells).withColumn("c", F.monotonically_increasing_id()), "approximations")
-    asked = _blocks(vectors.where(queries).coalesce(max(1, df.sparkSession.sparkContext.defaultParallelism // 2)), dims, queries_per_block, None)
-    asked = work.write(asked.withColumn("at", F.monotonically_increasing_id()), "queries")
+    approximations = work.write(_blocks(vectors.withColumn("b", F.lit(0).cast("long")), dims, vectors_per_block, cells), "approximations")
     # The stated queries against all rows, block by block: a block of queries meets every block of cells once.
-    numbered = asked.select(F.row_number().over(Window.orderBy("at")).alias("b"), F.col("ids").alias("q_ids"), F.col("packed").alias("q"))
-    n = asked.count()
-    spread = approximations.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(max(1, n)))))
-    pairs = spread.join(numbered, "b").select("q_ids", "q", "ids", "packed")
+    n = max(1, -(-vectors.where(queries).count() // queries_per_block))
+    dealt = vectors.where(queries).withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(n))).repartition("b").sortWithinPartitions("b")
+    asked = work.write(_blocks(dealt, dims, queries_per_block, None).select("b", F.col("ids").alias("q_ids"), F.col("packed").alias("q")), "queries")
+    spread = approximations.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    pairs = spread.join(asked, "b").select("q_ids", "q", "ids", "packed")
     scanned = work.write(_bounds(pairs, dims, k, cells), "scanned")
     # The k-th best lower bound over all blocks; k rows per query and task reach the shuffle.
     order = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
@@ -147,7 +151,7 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
                     continue  # bounds fall: nothing that follows can be better
                 s = sum(a * b for a, b in zip(q[i], v[i]))
                 keep.append(i)
-                score.append(s)
+                score.append(max(-(1 << 63), min((1 << 63) - 1, s)))
                 best = sorted([*best, s], reverse=True)[:k]
             yield pa.RecordBatch.from_arrays([pa.array(q_id[keep]), pa.array(c_id[keep]), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
