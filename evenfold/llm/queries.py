@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, jaccard_join, mixing, quality_rules, sharding, suffix_dedup, vector_file
+from evenfold.llm import byte_bpe, jaccard_join, line_crf, mixing, quality_rules, sharding, suffix_dedup, toxicity, vector_file
+from evenfold.llm.labelled import held_out, training_sample
 from evenfold.llm.tables import documents
 
 def rank_file() -> str:
@@ -43,14 +44,30 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text")))
 
 
+def op7_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    examples = training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), "toxic", toxicity.SAMPLE_ROWS)
+    machine = spark.sparkContext.broadcast(toxicity.train(examples))
+    scored = toxicity.with_score(docs.select("doc_id", "text"), machine)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     judged = quality_rules.with_quality(documents(spark, sf), name="q")
     return judged.select("doc_id", "q.n_words", "q.word_chars", "q.n_symbols", "q.n_dup_lines", "q.n_repeat_words",
                          "q.base_failed", "q.kept")
 
 
+def op9_line_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf)
+    field = line_crf.train(training_sample(docs, spark.read.parquet(f"{sf}/labels.parquet"), "quality", line_crf.SAMPLE_ROWS))
+    scored = line_crf.with_score(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_byte_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_line_crf,
+    op10_byte_shards)}
