@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, jaccard_join, line_crf, mixing, quality_rules, sharding, suffix_dedup, toxicity, vector_file
+from evenfold.llm import byte_bpe, jaccard_join, line_crf, maxent_lm, mixing, quality_rules, sharding, suffix_dedup, toxicity, vector_file
 from evenfold.llm.labelled import held_out, training_sample
-from evenfold.llm.tables import documents
+from evenfold.llm.tables import documents, remainder
 
 def rank_file() -> str:
     import public_tokenizers
@@ -30,6 +30,10 @@ def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("_mix.size") * F.col("_mix.times")).alias("taken"))
 
 
+def op3_maxent_lm(spark: SparkSession, sf: str) -> DataFrame:
+    return maxent_lm.score(documents(spark, sf), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op4_vector_file(spark: SparkSession, sf: str) -> DataFrame:
     return vector_file.top_k(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0, 5)
 
@@ -69,5 +73,5 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_line_crf,
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op3_maxent_lm, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_line_crf,
     op10_byte_shards)}
