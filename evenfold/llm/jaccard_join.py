@@ -8,11 +8,12 @@ most bits (ties to the lower place): what two sets agree on is ranked alike in b
 strongest word on which they agree is filed by both. Sizes fall in bands; a set files words for
 its own band and for the one below, where it can be the larger partner.
 
-Sets that share a filed word are candidates. Links only matter up to reachability, so a bucket is first
-joined as a star: each set is compared with the leader with whom it shares most buckets. Buckets
-whose members are one component after that need no more. In the others all pairs of different
-components are compared inside tasks, in blocks: the sketches' Hamming distance rejects, the
-sets decide, and only links that join two components leave the task.
+Sets that share a filed word are candidates. A second, compact sketch (a power of two of words, so that
+sizes differ by folding) travels with each set; its Hamming distance rejects most candidates, and the sets
+themselves decide about the rest. Links only matter up to reachability, so a bucket is first joined as a
+star around its least member. A bucket of three or more whose members are then still of different
+components is compared pair by pair inside tasks, in blocks: first only a spanning forest of the likely
+pairs leaves the task, then, after these have been decided, every likely pair that is still open.
 
 Sets are told apart by a 64-bit hash: with a billion different texts the chance that any two
 are confused is about 3 percent. Null ids, repeated rows and equal texts are nodes of one set.
@@ -35,7 +36,7 @@ from evenfold.llm.components import components
 from evenfold.llm.spans import SpanHash, mix, pieces, utf8, words
 from evenfold.llm.tables import Workspace
 
-BLOCK = 512
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -167,23 +168,45 @@ def _filed(df: DataFrame, text: str, like: Likeness) -> DataFrame:
     return df.select(text).mapInArrow(run, "key long, node long")
 
 
-def _packed(df: DataFrame, text: str, like: Likeness) -> DataFrame:
-    """(node, z): one compressed text per set and task."""
+def compact(members: np.ndarray) -> np.ndarray:
+    """A sketch whose words are a power of two, about a sixteenth of the members."""
+    return sketch(members, 1 << max(4, int(len(members) >> 4).bit_length()))
+
+
+def folded(s: np.ndarray, k: int) -> np.ndarray:
+    """The sketch of k words that the same members would have."""
+    while s.shape[-1] > k:
+        s = s[..., 0::2] ^ s[..., 1::2]
+    return s
+
+
+def _once(df: DataFrame, text: str, like: Likeness, schema: str, row) -> DataFrame:
+    """One row per set and task: its name and ``row(members, text bytes)``."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
     def run(batches):
         seen: set[int] = set()
-        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for _, _, buf, offs in _texts(batch, text):
-                raw, nodes, packed = buf.tobytes(), [], []
+                raw, nodes, rest = buf.tobytes(), [], []
                 for s, a, b in zip(shingle_sets(buf, offs, like.width), offs[:-1].tolist(), offs[1:].tolist()):
                     node = node_of(s) if len(s) else None
                     if node is not None and node not in seen:
                         seen.add(node)
                         nodes.append(node)
-                        packed.append(press.compress(raw[a:b]))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(packed, pa.binary())], names=["node", "z"])
+                        rest.append(row(s, raw[a:b]))
+                columns = [pa.array([r[i] for r in rest], pa.binary() if i else pa.int64()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), *columns], names=names)
 
-    return df.select(text).mapInArrow(run, "node long, z binary")
+    return df.select(text).mapInArrow(run, schema)
+
+
+def _sketched(df: DataFrame, text: str, like: Likeness) -> DataFrame:
+    return _once(df, text, like, "node long, n long, sk binary", lambda s, raw: (len(s), compact(s).tobytes()))
+
+
+def _packed(df: DataFrame, text: str, like: Likeness) -> DataFrame:
+    return _once(df, text, like, "node long, n long, z binary", lambda s, raw: (len(s), zstandard.compress(raw, 1)))
 
 
 class _Sets:
@@ -238,80 +261,141 @@ def _stars(filed: DataFrame) -> DataFrame:
     return filed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "key long, leader long, node long")
 
 
+def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) with the column and size of either side."""
+    for side in ("a", "b"):
+        pairs = pairs.join(table.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col(column).alias(f"{column}{side}")), side)
+    return pairs.select("a", "b", "na", "nb", f"{column}a", f"{column}b")
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) that sizes and sketches cannot rule out."""
+    def run(batches):
+        for batch in batches:
+            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            keep = like.num * np.maximum(na, nb) <= like.den * np.minimum(na, nb)
+            sa, sb = batch.column(4), batch.column(5)
+            for i in np.flatnonzero(keep).tolist():
+                x, y = np.frombuffer(sa[i].as_py(), _U), np.frombuffer(sb[i].as_py(), _U)
+                k = min(len(x), len(y))
+                apart = int(np.bitwise_count(folded(x, k) ^ folded(y, k)).sum())
+                keep[i] = apart * (like.den + like.num) <= (like.den - like.num) * int(na[i] + nb[i])
+            mask = pa.array(keep)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return _both(pairs, sketches, "sk").mapInArrow(run, "a long, b long")
+
+
 def _linked(pairs: DataFrame, packed: DataFrame, like: Likeness) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     def run(batches):
         sets = _Sets(like, 64)
         for batch in batches:
-            a, b, za, zb = (c.to_pylist() for c in batch.columns)
+            a, b, _, _, za, zb = (c.to_pylist() for c in batch.columns)
             keep = []
             for i in range(len(a)):
                 x, y = sets(a[i], za[i]), sets(b[i], zb[i])
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(like.links(common, len(x), len(y)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
-
-    left = pairs.join(packed.select(F.col("node").alias("a"), F.col("z").alias("za")), "a")
-    both = left.join(packed.select(F.col("node").alias("b"), F.col("z").alias("zb")), "b")
-    return both.select("a", "b", "za", "zb").mapInArrow(run, "a long, b long")
-
-
-def _within(group: pa.Table, like: Likeness) -> pa.Table:
-    """Links that join components among the sets of a block pair of one bucket."""
-    sets = _Sets(like, group.num_rows)
-    nodes = group.column("node").to_pylist()
-    members = [sets(n, z) for n, z in zip(nodes, group.column("z").to_pylist())]
-    size = np.array([len(m) for m in members])
-    k = 1 << int(max(4, size.max() // 4)).bit_length()
-    marks = np.stack([sketch(m, k) for m in members])
+                keep.append(like.links(len(x) + len(y) - len(np.union1d(x, y)), len(x), len(y)))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
+
+    return _both(pairs, packed, "z").mapInArrow(run, "a long, b long")
+
+
+def _within(group: pa.Table, like: Likeness, forest: bool) -> pa.Table:
+    """Likely pairs of different components among the sets of a block pair of one bucket; a spanning forest or all."""
+    node, size = group.column("node").to_numpy(), group.column("n").to_numpy()
+    sketches = [np.frombuffer(x, _U) for x in group.column("sk").to_pylist()]
+    k = min(map(len, sketches))
+    marks = np.stack([folded(x, k) for x in sketches])
     _, root = np.unique(group.column("comp").to_numpy(), return_inverse=True)
-    found = []
-    for p in range(len(nodes) - 1):
+    a, b = [], []
+    for p in range(len(node) - 1):
         others = np.flatnonzero(root[p + 1:] != root[p]) + p + 1
         if not len(others):
             continue
         apart = np.bitwise_count(marks[others] ^ marks[p]).sum(axis=1)
-        near = apart * (like.den + like.num) <= (like.den - like.num) * (size[others] + size[p])
-        for q in others[near].tolist():
-            if root[q] == root[p]:
+        near = others[(apart * (like.den + like.num) <= (like.den - like.num) * (size[others] + size[p]))
+                      & (like.num * np.maximum(size[others], size[p]) <= like.den * np.minimum(size[others], size[p]))]
+        for q in near.tolist():
+            if forest and root[q] == root[p]:
                 continue
-            common = len(members[p]) + len(members[q]) - len(np.union1d(members[p], members[q]))
-            if like.links(common, len(members[p]), len(members[q])):
-                found.append((nodes[p], nodes[q]))
+            a.append(min(node[p], node[q]))
+            b.append(max(node[p], node[q]))
+            if forest:
                 root[root == root[q]] = root[p]
-    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def jaccard_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", like: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (least id reachable by links), node (equal for equal sets)."""
-    work = Workspace(df.sparkSession, "jaccard")
-    docs = work.write(with_sets(df, id_column, text, like), "docs")
-    stars = work.write(_stars(_filed(df, text, like)), "stars")
-    members = stars.select("node").distinct()
-    packed = work.write(_packed(df, text, like).join(members, "node", "left_semi").groupBy("node").agg(F.first("z").alias("z")), "packed")
-
-    shared = stars.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("n"))
-    best = shared.groupBy("node").agg(F.max(F.struct("n", "leader")).alias("m")).select(F.col("node").alias("a"), F.col("m.leader").alias("b"))
-    links = work.write(_linked(best, packed, like), "links")
-    comp = components(links, work, "star")
-
+def _open_pairs(stars: DataFrame, comp: DataFrame, sketches: DataFrame, like: Likeness, block: int, forest: bool) -> DataFrame:
+    """Likely pairs in the buckets of three or more that span components."""
     named = stars.select("key", "node").join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     # Buckets with the same members are one bucket.
-    open_ = named.groupBy("key").agg(
+    buckets = named.groupBy("key").agg(
         F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"),
-        F.bit_xor(F.xxhash64("node")).alias("sig"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig2")).where("lo != hi")
-    open_ = open_.groupBy("size", "sig", "sig2").agg(F.min("key").alias("key"))
+        F.bit_xor(F.xxhash64("node")).alias("sig"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("sig2")).where("lo != hi AND size > 2")
+    buckets = buckets.groupBy("size", "sig", "sig2").agg(F.min("key").alias("key")).select("key", "size")
     blocks = F.ceil(F.col("size") / block).cast("int")
-    rows = named.join(open_.select("key", "size"), "key").join(packed, "node").withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = named.join(buckets, "key").withColumn("_i", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(sketches, "node")
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "comp", "z")
-    more = rows.groupBy("key", "i", "j").applyInArrow(lambda g: _within(g, like), "a long, b long")
-    links = links.unionByName(work.write(more, "more"))
-    comp = components(links, work, "all")
+    rows = rows.select("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j"), "node", "comp", "n", "sk")
+    return rows.groupBy("key", "i", "j").applyInArrow(lambda g: _within(g, like, forest), "a long, b long").distinct()
+
+
+def jaccard_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", like: Likeness = Likeness(), block: int = BLOCK) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (least id reachable by links), and the names of its set and component."""
+    work = Workspace(df.sparkSession, "jaccard")
+    docs = work.write(with_sets(df, id_column, text, like), "docs")
+    stars = work.write(_stars(_filed(df, text, like)), "stars")
+    members = work.write(stars.select("node").distinct(), "members")
+
+    def of_members(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+    sketches = work.write(of_members(_sketched(df, text, like), members), "sketches")
+    pairs = stars.where("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    tried = work.write(_likely(pairs, sketches, like), "tried0")
+    ends = tried.select(F.explode(F.array("a", "b")).alias("node"))
+    many = stars.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 2").select("key")
+    ends = ends.unionByName(stars.join(many, "key", "left_semi").select("node")).distinct()
+    packed = work.write(of_members(_packed(df, text, like), ends), "packed")
+    links = work.write(_linked(tried, packed, like), "links0")
+    comp = components(links, work, "comp0")
+    for at, forest in ((1, True), (2, False)):
+        more = _open_pairs(stars, comp, sketches, like, block, forest).join(tried, ["a", "b"], "left_anti")
+        more = work.write(more, f"tried{at}")
+        if more.isEmpty():
+            break
+        tried = tried.unionByName(more)
+        links = links.unionByName(work.write(_linked(more, packed, like), f"links{at}"))
+        comp = components(links, work, f"comp{at}")
 
     least = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
     ids = rooted.groupBy("comp").agg(F.min("least").alias("component_id"))
-    named = work.write(rooted.join(ids, "comp").select("node", "component_id"), "named")
+    named = work.write(rooted.join(ids, "comp").select("node", "comp", "component_id"), "named")
     return docs.join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node")
+        "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "comp")
+
+
+def with_node(df: DataFrame, like: Likeness, text: str = "text", name: str = "_node") -> DataFrame:
+    """Add the name of every row's set; null without words."""
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+
+    def run(batches):
+        for batch in batches:
+            for a, b, buf, offs in _texts(batch, text):
+                nodes = [node_of(s) if len(s) else None for s in shingle_sets(buf, offs, like.width)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(nodes, pa.int64())], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def keep_one(df: DataFrame, like: Likeness, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of every group of linked rows, that of the least id (null last); rows without words all stay."""
+    joined = jaccard_join(df, id_column, text, like).where("node IS NOT NULL")
+    first = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("w"))
+    winners = first.select(F.col("w.node").alias("_node"), F.col("w.doc_id").alias("_id"))
+    named = with_node(df, like, text)
+    kept = named.join(winners, "_node").where(F.col(f"`{id_column}`").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["_node"])
+    return kept.unionByName(named.where("_node IS NULL")).select(*[f"`{c}`" for c in df.columns])
