@@ -8,9 +8,8 @@ blocks are then joined per query, and exact vectors are read in order of their b
 is below the k-th exact score. Equal bounds are read, so ties go to the smaller id.
 
 Components become floor(scale * x). A vector that is null or has a null or non-finite component takes no part;
-vectors of different length meet as if padded with zeros. Scores are 64-bit integers, cut to their range. Repeated ids are
-rows of their own; a query's own id is never its candidate, and of a repeated query id all rows
-are scored and the best taken once per candidate id. An empty table gives no rows.
+vectors of different length meet as if padded with zeros. Scores are 64-bit integers, cut to their range. A query's own id is never
+its candidate; of repeated ids, as query or candidate, all rows are scored and the best score of the two ids counts once. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -103,7 +102,9 @@ def _bounds(pairs: DataFrame, dims: int, k: int, cells: Cells) -> DataFrame:
                 slack = np.abs(q) @ (half + cells.widest * 1e-12) + 1
                 score[q_id[:, None] == c_id[None, :]] = -np.inf
                 best = min(k, score.shape[1])
-                kth = -np.partition(-score, best - 1, axis=1)[:, best - 1] - slack if best == k else np.full(len(q), -np.inf)
+                # A block with a repeated id rules nothing out: k rows need not be k ids.
+                sure = best == k and len(np.unique(c_id)) == len(c_id)
+                kth = -np.partition(-score, best - 1, axis=1)[:, best - 1] - slack if sure else np.full(len(q), -np.inf)
                 row, col = np.nonzero((score + slack[:, None] >= kth[:, None]) & (score > -np.inf))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(q_id[row]), pa.array(c_id[col]), pa.array(score[row, col] - slack[row]), pa.array(score[row, col] + slack[row])],
@@ -130,13 +131,14 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
     spread = approximations.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     pairs = spread.join(asked, "b").select("q_ids", "q", "ids", "packed")
     scanned = work.write(_bounds(pairs, dims, k, cells), "scanned")
-    # The k-th best lower bound over all blocks; k rows per query and task reach the shuffle.
+    # The k-th best lower bound over all blocks, by ids.
+    scanned = scanned.groupBy("query_id", "vec_id").agg(F.max("low").alias("low"), F.max("high").alias("high"))
     order = Window.partitionBy("query_id").orderBy(F.desc("low"), "vec_id")
     floor = scanned.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).groupBy("query_id").agg(
         F.count(F.lit(1)).alias("_n"), F.min("low").alias("_low"))
     left = scanned.join(floor, "query_id").where((F.col("_n") < k) | (F.col("high") >= F.col("_low"))).select("query_id", "vec_id", "high")
     asked_v = vectors.where(queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    read = left.distinct().join(vectors, "vec_id").join(asked_v, "query_id")
+    read = left.join(vectors, "vec_id").join(asked_v, "query_id")
 
     def refine(batches):
         for batch in batches:
@@ -147,12 +149,13 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
             for i in range(len(q_id)):
                 if q_id[i] != at:
                     at, best = q_id[i], []
-                if len(best) == k and bound[i] < best[-1]:
+                if len(best) == k and bound[i] < best[-1][0]:
                     continue  # bounds fall: nothing that follows can be better
                 s = sum(a * b for a, b in zip(q[i], v[i]))
                 keep.append(i)
                 score.append(max(-(1 << 63), min((1 << 63) - 1, s)))
-                best = sorted([*best, s], reverse=True)[:k]
+                known = [b for b in best if b[1] == c_id[i]]
+                best = sorted([*(b for b in best if b[1] != c_id[i]), max([(s, c_id[i]), *known])], reverse=True)[:k]
             yield pa.RecordBatch.from_arrays([pa.array(q_id[keep]), pa.array(c_id[keep]), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     exact = read.repartition("query_id").sortWithinPartitions("query_id", F.desc("high")).mapInArrow(refine, "query_id long, vec_id long, score long")
