@@ -118,6 +118,10 @@ def with_quality(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RU
 
 
 def keep_good(df: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows that no rule rejects, with their own columns."""
-    verdict = "_verdict"
-    return with_quality(df, text, name=verdict, **options).where(f"{verdict}.kept").drop(verdict)
+    """The rows that no rule rejects, with their own columns.
+
+    A filter would be pushed below the layers of the projection and copy each into its condition;
+    a generator of one row or none leaves them as they are.
+    """
+    judged = with_quality(df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.col(f"`{text}`").alias("_text")), "_text", **options)
+    return judged.select(F.inline(F.when(F.col(f"{options.get('name', 'quality')}.kept"), F.array("_own"))))

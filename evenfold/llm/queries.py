@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_join.jaccard_join(documents(spark, sf)).drop("node")
+    return jaccard_join.jaccard_join(documents(spark, sf)).drop("node", "comp")
 
 
 def op2_source_mix(spark: SparkSession, sf: str) -> DataFrame:

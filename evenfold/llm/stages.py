@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, mixing, quality_rules as rules
+from evenfold.llm import byte_bpe, jaccard_join, mixing, suffix_dedup
+from evenfold.llm import quality_rules as rules
 from evenfold.llm.queries import rank_file
 
 
@@ -14,11 +15,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """One document of each group linked by four fifths of their five-word shingles."""
+    return jaccard_join.keep_one(docs, jaccard_join.Likeness(5, 80, 100))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return docs
+    """Texts without the bytes of passages that occur elsewhere; n_chars follows."""
+    cut = suffix_dedup.remove_repeats(docs, characters=True)
+    gone = F.size("_cut.removed") > 0
+    text = F.when(gone, F.col("_cut.kept").cast("string")).otherwise(F.col("text"))
+    chars = F.when(gone, F.length(F.col("_cut.kept").cast("string"))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[{"text": text, "n_chars": chars}.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
