@@ -172,7 +172,9 @@ def train(examples: list[tuple[str, int]], steps: int = 150) -> Field:
     if not len(y) or y.min() == y.max():
         return Field(start.weights, start.trans, 0.0, 2.0 if len(y) and y.min() else 0.0)
     buf, offs = utf8(pa.array([t for t, _ in examples], pa.string()))
-    raw, _, rows = line_features(buf, offs)
+    parts = [line_features(buf[offs[s]:offs[e]], offs[s:e + 1] - offs[s]) for s, e in pieces(offs)]
+    raw = np.concatenate([p[0] for p in parts])
+    rows = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p[2]) for p in parts]))))
     x = with_neighbours(raw, rows)
     line_y = np.repeat(y, np.diff(rows))
     each = np.repeat(1.0 / np.diff(rows), np.diff(rows))  # a document counts once
@@ -189,7 +191,8 @@ def train(examples: list[tuple[str, int]], steps: int = 150) -> Field:
 
     w = _adam(grad, np.zeros(k + 4), steps, 0.1)
     field = Field(w[:k], w[k:].reshape(2, 2))
-    slope, shift = logistic(_logit(field.means(buf, offs)), y)
+    means = np.concatenate([field.means(buf[offs[s]:offs[e]], offs[s:e + 1] - offs[s]) for s, e in pieces(offs)])
+    slope, shift = logistic(_logit(means), y)
     return Field(field.weights, field.trans, slope, shift)
 
 

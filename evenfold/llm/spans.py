@@ -56,25 +56,28 @@ def _byte_table(seed: int, lower: bool) -> np.ndarray:
     return table
 
 
-@lru_cache(maxsize=4)
-def _powers(seed: int, log2: int) -> tuple[np.ndarray, np.ndarray]:
-    base = int(np.random.default_rng(seed + 1).integers(1 << 60, 1 << 62)) * 8 + 5
-    base %= 1 << 64
-    inverse = pow(base, -1, 1 << 64)
-    out = []
-    for b in (base, inverse):
-        steps = np.full(1 << log2, b, dtype=np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
+#: Fixed value: the odd base of all prefix sums.
+BASE = 0x9E6C63D0876A9A35
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the base and of its inverse; a worker keeps one pair of arrays."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(20, (n - 1).bit_length())
+        _POWERS.clear()
+        for b in (BASE, pow(BASE, -1, 1 << 64)):
+            steps = np.full(size, b, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS.append(np.multiply.accumulate(steps, out=steps))
+    return _POWERS[0], _POWERS[1]
 
 
 class SpanHash:
     """Hashes of spans of one buffer."""
 
     def __init__(self, buf: np.ndarray, seed: int = 1, lower: bool = False):
-        log2 = max(21, int(len(buf) + 1).bit_length())
-        powers, self.inverse = _powers(seed, log2)
+        powers, self.inverse = _powers(len(buf) + 1)
         self.prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
         np.cumsum(_byte_table(seed, lower)[buf] * powers[:len(buf)], out=self.prefix[1:])
 

@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 from evenfold.llm.spans import SpanHash, mix, pieces, utf8
 from evenfold.llm.tables import Workspace
 
-GROUP_LIMIT = 8_000
-CHUNK_BYTES = 3_000_000
+GROUP_LIMIT = 4_000
+CHUNK_BYTES = 1_500_000
 SEGMENT = 1 << 22
 _POS = np.uint64((1 << 24) - 1)
 
@@ -278,8 +278,8 @@ class Suffixes:
     def verified(self, i: np.ndarray, j: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether the bytes of the extensions are equal, as their hashes say."""
         ok = np.ones(len(i), dtype=bool)
-        for s in range(0, len(i), 4096):
-            a, b, l, n = i[s:s + 4096], j[s:s + 4096], left[s:s + 4096], (left + right)[s:s + 4096]
+        for s in range(0, len(i), 512):
+            a, b, l, n = i[s:s + 512], j[s:s + 512], left[s:s + 512], (left + right)[s:s + 512]
             inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             differ = self.buf[np.repeat(self.at[a] - l, n) + inside] != self.buf[np.repeat(self.at[b] - l, n) + inside]
             ok[s + np.repeat(np.arange(len(a)), n)[differ]] = False
@@ -356,14 +356,18 @@ def _chunk_spans(table: pa.Table, length: int) -> pa.RecordBatch | None:
     key, tid, p, x1, x2 = (table.column(c).to_numpy() for c in ("key", "tid", "p", "x1", "x2"))
     left = table.column("left").to_numpy().astype(np.int64)
     buf, offs = utf8(table.column("around"))
-    size = np.diff(offs)
-    name = SpanHash(buf, seed=19)(offs[:-1], offs[1:]) ^ mix(key.view(np.uint64)) ^ mix(left.astype(np.uint64))
+    name = np.concatenate([SpanHash(buf[offs[a]:offs[b]], seed=19)(offs[a:b] - offs[a], offs[a + 1:b + 1] - offs[a]) for a, b in pieces(offs)])
+    name ^= mix(key.view(np.uint64)) ^ mix(left.astype(np.uint64))
     _, one, which = np.unique(name, return_index=True, return_inverse=True)
     order = np.lexsort((p, tid, which))
     fresh = np.concatenate(([True], (which[order][1:] != which[order][:-1]) | (tid[order][1:] != tid[order][:-1]) | (p[order][1:] != p[order][:-1])))
     many = np.bincount(which[order][fresh], minlength=len(one)) > 1
     _, group = np.unique(key[one], return_inverse=True)
-    s = Suffixes(buf, offs[:-1][one] + left[one], left[one], (size - left)[one], group)
+    raw = buf.tobytes()
+    around = [raw[a:b] for a, b in zip(offs[one].tolist(), offs[one + 1].tolist())]
+    size = np.fromiter(map(len, around), np.int64, len(around))
+    start = np.cumsum(size) - size
+    s = Suffixes(np.frombuffer(b"".join(around), np.uint8), start + left[one], left[one], size - left[one], group)
     reach_l, reach_r = repeated_around(s, many, (p - x2)[one], (p - x1)[one], length)
     row = order[fresh]
     row = row[reach_l[which[row]] >= 0]
@@ -460,8 +464,12 @@ def _named(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def remove_repeats(df: DataFrame, text: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """Add ``_cut``: struct of removed runs and, as bytes, the kept rest of every row's text."""
+def remove_repeats(df: DataFrame, text: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT,
+                   characters: bool = False) -> DataFrame:
+    """Add ``_cut``: struct of removed runs and, as bytes, the kept rest of every row's text.
+
+    With ``characters``, what a cut leaves of a character goes, too, so the rest is text.
+    """
     work = Workspace(df.sparkSession, "suffixes")
     spans = work.write(repeated_spans(df, text, length, work, group_limit), "spans")
     named = _named(df, text)
@@ -482,8 +490,11 @@ def remove_repeats(df: DataFrame, text: str = "text", length: int = 400, group_l
             for (own, whole), a, b in zip(marks, offs[:-1].tolist(), offs[1:].tolist()):
                 gone = merged(own, b - a, bool(whole) and b - a >= length)
                 edges = [0, *(e for run_ in gone for e in run_), b - a]
+                rest = [raw[a + lo:a + hi] for lo, hi in zip(edges[::2], edges[1::2])]
+                if characters and gone:
+                    rest = [r.decode("utf-8", "ignore").encode() for r in rest]
                 cuts.append({"removed": [{"lo": lo, "hi": hi} for lo, hi in gone],
-                             "kept": b"".join(raw[a + lo:a + hi] for lo, hi in zip(edges[::2], edges[1::2]))})
+                             "kept": b"".join(rest)})
             kind = pa.struct([("removed", pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))), ("kept", pa.binary())])
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(cuts, kind)], names=[*names, "_cut"])
 

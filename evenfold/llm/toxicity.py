@@ -178,20 +178,43 @@ def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 500) ->
     return w
 
 
+def _strings(whole: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct strings of a sample, piece by piece: one buffer, starts, ends, and (row, string) pairs."""
+    names, texts, rows, pairs = [], [], [], []
+    for s, e in pieces(offs):
+        buf, a, b, row = units(whole[offs[s]:offs[e]], offs[s:e + 1] - offs[s])
+        if not len(a):
+            continue
+        h = SpanHash(buf, seed=23, lower=True)(a, b)
+        own, one = np.unique(h, return_index=True)
+        raw = buf.tobytes()
+        names.append(own)
+        texts += [raw[i:j] for i, j in zip(a[one].tolist(), b[one].tolist())]
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+        first = np.concatenate(([True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])))
+        pairs.append(h[first])
+        rows.append(row[first] + s)
+    if not names:
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint8), none, none, none, none
+    own, one = np.unique(np.concatenate(names), return_index=True)
+    chosen = [texts[i] for i in one.tolist()]
+    size = np.fromiter(map(len, chosen), np.int64, len(chosen))
+    end = np.cumsum(size)
+    return np.frombuffer(b"".join(chosen), np.uint8), end - size, end, np.concatenate(rows), np.searchsorted(own, np.concatenate(pairs))
+
+
 def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: int = 3) -> Machine:
     """Fit on (text, 1 toxic / 0 clean). Without both labels every text scores as the only label seen."""
     y = np.array([label for _, label in examples])
     if not len(y) or y.min() == y.max():
         return Machine(np.zeros(1 << 18), 0.0, (0.0, 0.0, 4.0 if len(y) and y.min() else -4.0))
     whole, offs = utf8(pa.array([t for t, _ in examples], pa.string()))
-    buf, a, b, row = units(whole, offs)
-    _, one, which = np.unique(SpanHash(buf, seed=23, lower=True)(a, b), return_index=True, return_inverse=True)
-    a, b = a[one], b[one]
-    pair = np.unique(row * np.int64(len(one)) + which)
-    row, which = pair // len(one), pair % len(one)
+    buf, a, b, row, which = _strings(whole, offs)
     toxic, clean = y.sum(), len(y) - y.sum()
-    pos = np.bincount(which, y[row], len(one)) / toxic
-    neg = np.bincount(which, 1 - y[row], len(one)) / clean
+    pos = np.bincount(which, y[row], len(a)) / toxic
+    neg = np.bincount(which, 1 - y[row], len(a)) / clean
     tie = np.where(pos * toxic >= 3, (pos - neg) * np.log((pos + 0.5 / toxic) / (neg + 0.5 / clean)), 0)
     tie = np.where(pos > neg, tie, 0)
     strong = np.argsort(-tie, kind="stable")[:landmarks * 2 // 3]
@@ -234,7 +257,8 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
         value = machine.strings(buf, a, b)
     if machine is None:
         return Machine(np.zeros(1 << 18), 0.0, (0.0, 0.0, float(np.log(toxic / clean))))
-    curve = logistic(machine.summary(whole, offs), y.astype(np.float64))
+    summary = [machine.summary(whole[offs[s]:offs[e]], offs[s:e + 1] - offs[s]) for s, e in pieces(offs)]
+    curve = logistic(np.concatenate(summary), y.astype(np.float64))
     return Machine(machine.table.astype(np.float32), machine.bias, curve)
 
 
