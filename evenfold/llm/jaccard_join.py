@@ -120,7 +120,7 @@ def filed_keys(members: np.ndarray, like: Likeness) -> np.ndarray:
         most = like.difference(int(bands[band + 1]) - 1)
         if not most:
             continue  # only equal sets link, and those are one node
-        spare = (most + 2) // 3
+        spare = 1 + most // 10  # leaves out the words of no or one member, which many sets have alike
         s = sketch(members, most + 1 + spare)
         strong = np.argsort(-np.bitwise_count(s).astype(np.int16), kind="stable")[:most + 1]
         keys.append(mix(mix(s[strong]) + (strong.astype(_U) + _U((band + 1) << 40)) * _U(0xD1342543DE82EF95)))
@@ -367,8 +367,10 @@ def jaccard_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", l
         if more.isEmpty():
             break
         tried = tried.unionByName(more)
-        links = links.unionByName(work.write(_linked(more, packed, like), f"links{at}"))
-        comp = components(links, work, f"comp{at}")
+        found = work.write(_linked(more, packed, like), f"links{at}")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comp = components(links, work, f"comp{at}")
 
     least = docs.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(comp, "node", "left").select("node", "least", F.coalesce("comp", "node").alias("comp"))
