@@ -14,8 +14,9 @@ Every string of ``length`` bytes that occurs twice is found, and each byte it co
   repeated at all; where the neighbours leave a gap below that bound, the group is compared
   directly, so the result is exact.
 
-Groups larger than ``group_limit`` never meet in one task: their windows are hashed one by one and
-counted by a shuffle on the hash, which spreads any group.
+Groups larger than ``group_limit`` never meet in one task. They are cut anywhere into chunks, each of which proves
+what it can by the same sort. Windows that a chunk cannot prove, and one of each kind that it has proven, are then
+matched across chunks by a shuffle on their hash, which spreads any group.
 
 Equal texts are one text: if it has ``length`` bytes and two rows, all of it is repeated. Null text is
 empty, nulls in other columns pass through. Texts are named by 64-bit hashes.
@@ -286,10 +287,12 @@ class Suffixes:
         return ok
 
 
-def repeated_around(s: Suffixes, many: np.ndarray, least_off: np.ndarray, most_off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeated_around(s: Suffixes, many: np.ndarray, least_off: np.ndarray, most_off: np.ndarray, length: int,
+                    settle: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per context how far the repeated bytes reach left and right of its anchor (-1: nothing is repeated).
 
-    ``many``: the context itself occurs twice. Offsets of windows the anchor stands for: least to most.
+    ``many``: the context itself occurs twice. Offsets of windows the anchor stands for: least to most. The third result
+    is the first and last proven offset; with ``settle`` what neighbours leave open is compared with the whole group.
     """
     n = len(s.at)
     reach_l, reach_r = np.full(n, -1), np.full(n, -1)
@@ -315,9 +318,9 @@ def repeated_around(s: Suffixes, many: np.ndarray, least_off: np.ndarray, most_o
     # Windows an anchor stands for that are neither proven nor out of reach.
     low, high = np.maximum(length - bound_r, least_off), np.minimum(bound_l, most_off)
     unsure = np.flatnonzero((low <= high) & ((gap[:, 0] > low) | (gap[:, 1] < high)))
-    if len(unsure):
+    if settle and len(unsure):
         _compare_all(s, unsure, low, high, reach_l, reach_r, length)
-    return reach_l, reach_r
+    return reach_l, reach_r, gap
 
 
 def _prove(a, l, r, reach_l, reach_r, gap, length) -> None:
@@ -351,91 +354,104 @@ def _compare_all(s: Suffixes, unsure, low, high, reach_l, reach_r, length) -> No
             np.maximum.at(reach_r, a, length - o)
 
 
-def _chunk_spans(table: pa.Table, length: int) -> pa.RecordBatch | None:
-    """(tid, lo, hi) of repeated bytes around the anchors of whole groups."""
+def _chunk_spans(table: pa.Table, length: int, settle: bool = True) -> Iterator[pa.RecordBatch]:
+    """(tid, lo, hi) of repeated bytes around the anchors of whole groups.
+
+    Without ``settle`` the groups may go on elsewhere: with them come rows (h, tid, lo) of the windows left
+    open, and (h) alone of the kinds of windows proven here.
+    """
     key, tid, p, x1, x2 = (table.column(c).to_numpy() for c in ("key", "tid", "p", "x1", "x2"))
     left = table.column("left").to_numpy().astype(np.int64)
     buf, offs = utf8(table.column("around"))
     name = np.concatenate([SpanHash(buf[offs[a]:offs[b]], seed=19)(offs[a:b] - offs[a], offs[a + 1:b + 1] - offs[a]) for a, b in pieces(offs)])
     name ^= mix(key.view(np.uint64)) ^ mix(left.astype(np.uint64))
     _, one, which = np.unique(name, return_index=True, return_inverse=True)
-    order = np.lexsort((p, tid, which))
-    fresh = np.concatenate(([True], (which[order][1:] != which[order][:-1]) | (tid[order][1:] != tid[order][:-1]) | (p[order][1:] != p[order][:-1])))
-    many = np.bincount(which[order][fresh], minlength=len(one)) > 1
+    many = np.bincount(which, minlength=len(one)) > 1
     _, group = np.unique(key[one], return_inverse=True)
     raw = buf.tobytes()
     around = [raw[a:b] for a, b in zip(offs[one].tolist(), offs[one + 1].tolist())]
     size = np.fromiter(map(len, around), np.int64, len(around))
     start = np.cumsum(size) - size
     s = Suffixes(np.frombuffer(b"".join(around), np.uint8), start + left[one], left[one], size - left[one], group)
-    reach_l, reach_r = repeated_around(s, many, (p - x2)[one], (p - x1)[one], length)
-    row = order[fresh]
-    row = row[reach_l[which[row]] >= 0]
-    if not len(row):
-        return None
-    return pa.RecordBatch.from_arrays([pa.array(tid[row]), pa.array(p[row] - reach_l[which[row]]), pa.array(p[row] + reach_r[which[row]])], names=["tid", "lo", "hi"])
+    least, most = (p - x2)[one], (p - x1)[one]
+    reach_l, reach_r, gap = repeated_around(s, many, least, most, length, settle)
+    row = np.flatnonzero(reach_l[which] >= 0)
+    yield _rows(np.zeros(0, np.int64), tid[row], p[row] - reach_l[which[row]], p[row] + reach_r[which[row]])
+    if settle:
+        return
+    other = SpanHash(s.buf, seed=23)
+
+    def windows(c: np.ndarray, first: np.ndarray, last: np.ndarray):
+        """Context and offset of every window, and its hash."""
+        n = np.maximum(last - first + 1, 0)
+        at = np.repeat(np.arange(len(c)), n)
+        o = first[at] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        begin = s.at[c[at]] - o
+        return at, o, (s.hash(begin, begin + length) ^ mix(other.raw(begin, begin + length))).view(np.int64)
+
+    every = np.arange(len(one))
+    _, _, h = windows(every, np.maximum(least, gap[:, 0]), np.minimum(most, gap[:, 1]))
+    h = np.unique(h)
+    yield _rows(h, None, None, None)
+    for first, last in ((least, np.minimum(most, gap[:, 0] - 1)), (np.maximum(least, np.maximum(gap[:, 0], gap[:, 1] + 1)), most)):
+        for a in range(0, len(p), 2048):
+            c = which[a:a + 2048]
+            at, o, h = windows(c, first[c], last[c])
+            lo = p[a + at] - o
+            yield _rows(h, tid[a + at], lo, lo + length)
+
+
+def _rows(h, tid, lo, hi) -> pa.RecordBatch:
+    """A batch of (key, tid, lo, hi, n); an absent column is null."""
+    n = len(tid) if tid is not None else len(h)
+    column = lambda x: pa.nulls(n, pa.int64()) if x is None or len(x) < n else pa.array(x)
+    return pa.RecordBatch.from_arrays([*map(column, (h, tid, lo, hi)), pa.array(np.ones(n, np.int64))], names=["key", "tid", "lo", "hi", "n"])
 
 
-def _grouped_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """Stream groups in key order; whole groups are gathered to chunks of bounded bytes."""
+SPANS = "key long, tid long, lo long, hi long, n long"
+
+
+def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
+    """Spans of contexts in key order, in chunks of bounded bytes; with ``settle`` chunks are of whole groups."""
     def run(batches):
         held: list[pa.Table] = []
         size = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                table = pa.Table.from_batches([batch.slice(at, 2048)])
+            for at in range(0, batch.num_rows, 1024):
+                table = pa.Table.from_batches([batch.slice(at, 1024)])
                 held.append(table)
-                size += table.nbytes
+                size += table.num_rows * (length * 3 // 2 + 60)
                 if size < CHUNK_BYTES:
                     continue
                 table = pa.concat_tables(held).combine_chunks()
                 key = table.column("key").to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                cut = int(np.searchsorted(key, key[-1])) if settle else len(key)  # the last group may go on
                 if cut:
-                    if (found := _chunk_spans(table.slice(0, cut), length)) is not None:
-                        yield found
+                    yield from _chunk_spans(table.slice(0, cut).combine_chunks(), length, settle)
                 held = [table.slice(cut)]
-                size = sum(t.nbytes for t in held)
-        if held:
-            table = pa.concat_tables(held).combine_chunks()
-            if table.num_rows and (found := _chunk_spans(table, length)) is not None:
-                yield found
-
-    return contexts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "tid long, lo long, hi long")
+                size = (len(key) - cut) * (length * 3 // 2 + 60)
+        if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
+            yield from _chunk_spans(table, length, settle)
 
-
-def _windowed_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups too large for a task: every window is a row, counted by its hash."""
-    def run(batches):
-        for batch in batches:
-            tid, p, x1, x2 = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("tid", "p", "x1", "x2"))
-            left = batch.column(batch.schema.get_field_index("left")).to_numpy().astype(np.int64)
-            buf, offs = utf8(batch.column(batch.schema.get_field_index("around")))
-            for a, b in pieces(offs, 1 << 18):
-                n = (x2 - x1 + 1)[a:b]
-                row = np.repeat(np.arange(a, b), n)
-                x = x1[row] + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                part = buf[offs[a]:offs[b]]
-                begin = offs[row] - offs[a] + left[row] - (p[row] - x)
-                h = SpanHash(part, seed=19)(begin, begin + length) ^ mix(SpanHash(part, seed=17).raw(begin, begin + length))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tid[row]), pa.array(x), pa.array(np.ones(len(x), np.int64))], names=["key", "tid", "lo", "n"])
-
-    windows = contexts.mapInArrow(run, "key long, tid long, lo long, n long").dropDuplicates(["key", "tid", "lo"])
-    return _repeated(windows).select("tid", "lo", (F.col("lo") + length).alias("hi"))
+    return contexts.mapInArrow(run, SPANS)
 
 
 def repeated_spans(df: DataFrame, text: str, length: int, work: Workspace, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(tid, spans): repeated byte ranges of every text that has any; ranges may overlap."""
     hits = work.write(_repeated(_indexed(df, text, length)).select("key", "tid"), "hits")
-    wanted = hits.groupBy("tid").agg(F.collect_set("key").alias("keys"))
-    contexts = _contexts(_packed(df, text).join(wanted, "tid"), length)
-    sizes = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key")
-    if sizes.isEmpty():
-        found = _grouped_spans(contexts, length)
-    else:
-        contexts = work.write(contexts, "contexts")
-        found = _grouped_spans(contexts.join(sizes, "key", "left_anti"), length).unionByName(
-            _windowed_spans(contexts.join(sizes, "key", "left_semi"), length))
+    heavy = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key", F.lit(True).alias("heavy"))
+    wanted = hits.join(heavy, "key", "left").groupBy("tid").agg(
+        F.collect_set(F.when(F.col("heavy").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("heavy"), F.col("key"))).alias("heavy"))
+    wanted = work.write(wanted, "wanted")
+    # Of equal texts one stands for all; the copies are removed whole.
+    texts = _packed(df, text).join(wanted, "tid").dropDuplicates(["tid"])
+    contexts = _contexts(texts.select("tid", "z", "keys"), length)
+    found = _spans(contexts.repartition("key").sortWithinPartitions("key"), length, True).select("tid", "lo", "hi")
+    if not wanted.where(F.size("heavy") > 0).isEmpty():
+        large = texts.where(F.size("heavy") > 0).select("tid", "z", F.col("heavy").alias("keys"))
+        parts = work.write(_spans(_contexts(large, length), length, False), "parts")
+        across = _repeated(parts.where("key IS NOT NULL")).where("tid IS NOT NULL")
+        found = found.unionByName(parts.where("key IS NULL").select("tid", "lo", "hi")).unionByName(across.select("tid", "lo", "hi"))
     return found.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
 
