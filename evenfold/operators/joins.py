@@ -11,17 +11,6 @@ from evenfold.session import BROADCAST_ROWS, task_count
 ROWS_PER_TASK = 2_000_000
 # Left rows of one cohort that one task pairs with the right side.
 BLOCK_ROWS = 1_024
-# Cohorts with at most this many profiles have their round loops run in one task.
-LOCAL_PROFILES = 1_024
-
-
-def by_size(profiles: DataFrame, most: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """Cohorts of up to ``most`` profiles, and the others; None where there are none."""
-    low, high = profiles.agg(F.min("peers"), F.max("peers")).first()
-    if low is None or high <= most:
-        return profiles, None
-    large = profiles.where(F.col("peers") > most)
-    return (profiles.where(F.col("peers") <= most), large) if low <= most else (None, large)
 
 
 def join_by_weight(
@@ -62,12 +51,6 @@ def _all_equal(pairs: list[tuple[Column, Column]]) -> Column:
     return condition
 
 
-def cohort_groups(df: DataFrame):
-    """Grouped by cohort under columns of its own, so that relatives can be cogrouped."""
-    own = df.select(*[F.col(c).alias(c) for c in df.columns])
-    return own.repartition(task_count(df.sparkSession), "cohort_id").groupBy("cohort_id")
-
-
 def prefixed(df: DataFrame, prefix: str, keep: tuple[str, ...] = ("cohort_id",)) -> DataFrame:
     return df.select(*[F.col(c) if c in keep else F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 

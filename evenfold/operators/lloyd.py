@@ -7,15 +7,11 @@ rounds.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import vector_metric
-from evenfold.operators.joins import LOCAL_PROFILES, broadcast_if_small, by_size, cohort_groups, pair_within
-from evenfold.operators.kernels import CENTER, LABEL, mean_rounds
+from evenfold.operators.joins import broadcast_if_small, pair_within
 from evenfold.session import checkpoint
 
 MAX_ROUNDS = 300
@@ -75,38 +71,15 @@ def weighted_means(points: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "people", F.transform("_vector", lambda x: x["_mean"]).alias("mean_q"))
 
 
-def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean", max_iter: int = MAX_ROUNDS,
-           local_profiles: int = LOCAL_PROFILES) -> tuple[DataFrame, DataFrame]:
+def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
+           max_iter: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Labels per profile and final centroids.
 
-    Rounds end when no centroid moves, which is when no label can change any more. If
-    ``max_iter`` ends them first, the centroids are one update newer than the labels.
-    Cohorts of up to ``local_profiles`` profiles run all rounds in one task each, larger
-    ones as DataFrame rounds.
+    One DataFrame job per round for all cohorts of any size; cohorts that have settled sit out. Rounds end
+    when no centroid moves, which is when no label can change any more. If ``max_iter`` ends them
+    first, the centroids are one update newer than the labels.
     """
     vector_metric(metric)
-    small, large = by_size(profiles, local_profiles)
-    labels, centroids = [], []
-    if small is not None:
-        def solve(points: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-            return mean_rounds(points, seats, metric, max_iter)
-
-        solved = checkpoint(
-            cohort_groups(small.select("cohort_id", "profile_id", "weight", "features_q"))
-            .cogroup(cohort_groups(slots.select("cohort_id", "slot", "profile_id")))
-            .applyInPandas(solve, "cohort_id bigint, kind string, slot int, profile_id bigint, centroid array<bigint>"))
-        labels.append(solved.where(F.col("kind") == LABEL).select("cohort_id", "profile_id", "slot"))
-        centroids.append(solved.where(F.col("kind") == CENTER).select("cohort_id", "slot", "centroid"))
-    if large is not None:
-        first, second = kmeans_rounds(large, slots, metric, max_iter)
-        labels.append(first)
-        centroids.append(second)
-    return reduce(DataFrame.unionByName, labels), reduce(DataFrame.unionByName, centroids)
-
-
-def kmeans_rounds(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
-                  max_iter: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``kmeans`` as one DataFrame job per round; cohorts that have settled sit out."""
     start = start_centroids(profiles, slots)
     state = checkpoint(start.select("*", F.col("centroid").alias("before"), F.lit(True).alias("active"))
                        .repartition("cohort_id", "slot"))

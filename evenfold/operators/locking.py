@@ -8,15 +8,11 @@ every cohort in one job: as many rounds as the busiest cohort has flagged groups
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import manhattan
-from evenfold.operators.joins import cohort_groups, pair_within, prefixed, two_nearest
-from evenfold.operators.kernels import sequential_swaps
+from evenfold.operators.joins import pair_within, prefixed, two_nearest
 from evenfold.operators.ranking import rank_in_cohort
 from evenfold.session import checkpoint
 
@@ -25,9 +21,6 @@ from evenfold.session import checkpoint
 SMALLEST_GROUP = 4
 DONOR_KEEPS = 2
 
-# Cohorts of at most this many people take all their turns in one task.
-LOCAL_PEOPLE = 20_000
-
 LOG_SCHEMA = (
     "cohort_id bigint, round int, group_id int, isolation_type string, in_id bigint, "
     "donor_group int, out_id bigint, dist bigint"
@@ -187,13 +180,11 @@ def _apply(rows: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_passes: int = 1,
-                  max_rounds: int | None = None, local_people: int = LOCAL_PEOPLE) -> tuple[DataFrame, DataFrame]:
+                  max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Labels after the swaps, and the swap log.
 
     The flagged groups are listed once per pass, in ascending order; every swap is judged on
-    the labels current at its turn. ``max_rounds`` ends a pass early. Cohorts of up to
-    ``local_people`` people take their turns in one task each, larger ones in one
-    DataFrame job per turn.
+    the labels current at its turn. ``max_rounds`` ends a pass early.
     """
     base = checkpoint(labelled)
     shape = profiles.select("cohort_id", "profile_id", "peers", "cohort_rows", *_GEOMETRY)
@@ -205,7 +196,7 @@ def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_
         if turn_count is None:
             break
         turn_count = turn_count if max_rounds is None else min(turn_count, max_rounds)
-        found = _swap_pass(start, flagged, shape, rule, turn_count, turns, local_people)
+        found = _swap_turns(start, flagged, shape, rule, turn_count, turns)
         log = checkpoint(found if log is None else log.unionByName(found))
         turns += turn_count
     if log is None:
@@ -214,42 +205,13 @@ def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_
     return _apply(base, log), log
 
 
-def _swap_pass(start: DataFrame, flagged: DataFrame, shape: DataFrame, rule: SwapRule, turn_count: int,
-               turns_before: int, local_people: int) -> DataFrame:
-    sizes = shape.select("cohort_id", "cohort_rows").distinct()
-    small, large = sizes.where(F.col("cohort_rows") <= local_people), sizes.where(F.col("cohort_rows") > local_people)
-    swaps = []
-    # Cohorts without a flagged group never leave the JVM.
-    affected = start.join(flagged.select("cohort_id").distinct(), "cohort_id", "left_semi")
-    local = affected.join(small, "cohort_id", "left_semi")
-    swaps.append(_swap_cohorts(local, flagged, shape, rule, turn_count, turns_before))
-    if not large.isEmpty():
-        rest = checkpoint(affected.join(large, "cohort_id", "left_semi").select(
-            "cohort_id", "row_id", "group_id", "Gender", "Diversity", "profile_id"))
-        due = flagged.join(large, "cohort_id", "left_semi")
-        swaps.append(_swap_turns(rest, due, shape, rule, turn_count, turns_before))
-    return reduce(DataFrame.unionByName, swaps)
-
-
-def _swap_cohorts(rows: DataFrame, flagged: DataFrame, shape: DataFrame, rule: SwapRule, turn_count: int,
-                  turns_before: int) -> DataFrame:
-    """All turns of a small cohort in one task."""
-    by_gender, strict = rule.attribute == "Gender", rule.strict_donor
-    match = F.coalesce(F.col(rule.match), F.lit("")) if rule.match else F.lit("")
-    people = rows.select(
-        "cohort_id", "row_id", "group_id", "profile_id", F.col(rule.attribute).alias("trait"), match.alias("match"),
-    ).join(shape.select("cohort_id", "profile_id", *_GEOMETRY), ["cohort_id", "profile_id"])
-
-    def solve(people: pd.DataFrame, due: pd.DataFrame) -> pd.DataFrame:
-        return sequential_swaps(people, due, by_gender, strict, DONOR_KEEPS, turn_count, turns_before + 1)
-
-    return cohort_groups(people).cogroup(cohort_groups(flagged)).applyInPandas(solve, LOG_SCHEMA)
-
-
 def _swap_turns(base: DataFrame, flagged: DataFrame, shape: DataFrame, rule: SwapRule, turn_count: int,
                 turns_before: int) -> DataFrame:
     """One job per turn. The log is all that grows: two moves per swap over untouched labels."""
     shape = checkpoint(shape)
+    # Cohorts without a flagged group take no part.
+    base = checkpoint(base.join(flagged.select("cohort_id").distinct(), "cohort_id", "left_semi").select(
+        "cohort_id", "row_id", "group_id", "Gender", "Diversity", "profile_id"))
     log = base.sparkSession.createDataFrame([], LOG_SCHEMA)
     for nth in range(1, turn_count + 1):
         due = flagged.where(F.col("turn") == nth).withColumnRenamed("group_id", "flagged")

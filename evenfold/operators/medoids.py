@@ -11,15 +11,11 @@ improvement a scan over slots and then over rows would meet.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import FAR, pair_metric
-from evenfold.operators.joins import LOCAL_PROFILES, broadcast_if_small, by_size, cohort_groups, pair_within, prefixed, two_nearest
-from evenfold.operators.kernels import CENTER, LABEL, swap_rounds
+from evenfold.operators.joins import broadcast_if_small, pair_within, prefixed, two_nearest
 from evenfold.session import checkpoint
 
 MAX_SWAPS = 200
@@ -39,12 +35,17 @@ def signature(profiles: DataFrame, metric: str) -> DataFrame:
     return profiles.select("cohort_id", "profile_id", "weight", "peers", *NEEDS[metric])
 
 
+def lowest_slots(medoids: DataFrame) -> DataFrame:
+    """``cohort_id, profile_id, slot, spare``: the two lowest slots on each profile, however many it has."""
+    order = Window.partitionBy("cohort_id", "profile_id").orderBy("slot")
+    lowest = medoids.withColumn("_nth", F.row_number().over(order)).where("_nth <= 2")
+    return lowest.groupBy("cohort_id", "profile_id").agg(
+        F.min("slot").alias("slot"), F.max(F.when(F.col("_nth") == 2, F.col("slot"))).alias("spare"))
+
+
 def occupied(points: DataFrame, medoids: DataFrame) -> DataFrame:
     """One row per distinct medoid profile: its lowest slot, the next one, its columns."""
-    stacked = medoids.groupBy("cohort_id", "profile_id").agg(
-        F.sort_array(F.collect_list("slot")).alias("_slots"))
-    lowest = stacked.select("cohort_id", "profile_id", F.col("_slots")[0].alias("slot"),
-                            F.get("_slots", F.lit(1)).alias("spare"))
+    lowest = lowest_slots(medoids)
     return points.drop("weight").join(lowest, ["cohort_id", "profile_id"])
 
 
@@ -121,8 +122,7 @@ def first_improvement(parts: DataFrame, medoids: DataFrame) -> DataFrame:
     """``cohort_id, swap_slot, swap_cand`` for the cohorts that still improve."""
     owned = F.when(F.col("gain") + F.col("own") < 0, F.struct("slot", "cand"))
     # The lowest slot that owns nobody, if any: replacing it costs the gain alone.
-    stacked = medoids.groupBy("cohort_id", "profile_id").agg(F.sort_array(F.collect_list("slot")).alias("_slots"))
-    spare = stacked.groupBy("cohort_id").agg(F.min(F.get("_slots", F.lit(1))).alias("_spare"))
+    spare = lowest_slots(medoids).groupBy("cohort_id").agg(F.min("spare").alias("_spare"))
     best = parts.groupBy("cohort_id").agg(
         F.min(owned).alias("_owned"),
         F.min(F.when(F.col("gain") < 0, F.col("cand"))).alias("_free"))
@@ -133,35 +133,12 @@ def first_improvement(parts: DataFrame, medoids: DataFrame) -> DataFrame:
         "cohort_id", F.col("_swap.slot").alias("swap_slot"), F.col("_swap.cand").alias("swap_cand"))
 
 
-def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan", max_iter: int = MAX_SWAPS,
-             local_profiles: int = LOCAL_PROFILES) -> tuple[DataFrame, DataFrame]:
+def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
+             max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
     """Labels per profile and final medoids after at most ``max_iter`` swaps per cohort.
 
-    Cohorts of up to ``local_profiles`` profiles make all swaps in one task each, larger
-    ones in DataFrame rounds.
+    One DataFrame job per swap for all cohorts of any size; the driver learns only whether to go on.
     """
-    small, large = by_size(profiles, local_profiles)
-    labels, medoids = [], []
-    if small is not None:
-        def solve(points: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-            return swap_rounds(points, seats, metric, max_iter)
-
-        solved = checkpoint(
-            cohort_groups(signature(small, metric))
-            .cogroup(cohort_groups(slots.select("cohort_id", "slot", "profile_id")))
-            .applyInPandas(solve, "cohort_id bigint, kind string, slot int, profile_id bigint"))
-        labels.append(solved.where(F.col("kind") == LABEL).select("cohort_id", "profile_id", "slot"))
-        medoids.append(solved.where(F.col("kind") == CENTER).select("cohort_id", "slot", "profile_id"))
-    if large is not None:
-        first, second = kmedoids_rounds(large, slots, metric, max_iter)
-        labels.append(first)
-        medoids.append(second)
-    return reduce(DataFrame.unionByName, labels), reduce(DataFrame.unionByName, medoids)
-
-
-def kmedoids_rounds(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
-                    max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
-    """``kmedoids`` as one DataFrame job per swap; the driver learns only whether to go on."""
     points = checkpoint(signature(profiles, metric).repartition("cohort_id", "profile_id"))
     rows = points.count()
     own = slots.join(points.select("cohort_id").distinct(), "cohort_id", "left_semi")

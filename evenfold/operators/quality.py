@@ -60,22 +60,27 @@ def missing_values(people: DataFrame) -> DataFrame:
 
 
 def split_usable(people: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Rows the distances can use, and the others with a ``reason``.
+    """Rows the pipelines can use, and the others with a ``reason``.
 
-    A person without a score or a learning style has no features. Gender and diversity may
+    A person without a score or a learning style has no features, one without ``cohort_id`` or
+    ``row_id`` no place, and people who share both cannot be told apart. Gender and diversity may
     be missing. With ``strict`` such a person is an error.
     """
-    needed = [*SCORES, "Learning_Style"]
+    needed = [*KEYS, *SCORES, "Learning_Style"]
+    # Empty where the keys are sound.
+    shared = people.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*KEYS, F.lit(True).alias("_shared"))
+    marked = people.join(shared, list(KEYS), "left").select(*people.columns, F.coalesce("_shared", F.lit(False)).alias("_shared"))
     reasons = F.filter(
-        F.array(*[F.when(F.col(n).isNull(), F.lit(f"{n} is missing")) for n in needed]),
+        F.array(*[F.when(F.col(n).isNull(), F.lit(f"{n} is missing")) for n in needed],
+                F.when(F.col("_shared"), F.lit("row_id is repeated"))),
         lambda reason: reason.isNotNull(),
     )
-    unusable = F.lit(False)
+    unusable = F.col("_shared")
     for name in needed:
         unusable = unusable | F.col(name).isNull()
-    quarantine = people.where(unusable).withColumn("reason", F.array_join(reasons, "; "))
+    quarantine = marked.where(unusable).withColumn("reason", F.array_join(reasons, "; ")).drop("_shared")
     if strict:
         sample = quarantine.select("cohort_id", "row_id", "reason").take(5)
         if sample:
             raise ValueError(f"people without features, for example {[tuple(r) for r in sample]}")
-    return people.where(~unusable), quarantine
+    return marked.where(~unusable).drop("_shared"), quarantine

@@ -77,9 +77,9 @@ def comparison_table(evaluated: DataFrame) -> DataFrame:
 
 
 def best_run(evaluated: DataFrame) -> DataFrame:
-    """The run with the highest silhouette of each cohort."""
-    score = F.struct("silhouette", "run")
-    best = evaluated.where("silhouette IS NOT NULL").groupBy("cohort_id").agg(F.max(score).alias("_best"))
+    """The run with the highest silhouette of each cohort; both NULL where no run has one."""
+    score = F.when(F.col("silhouette").isNotNull(), F.struct("silhouette", "run"))
+    best = evaluated.groupBy("cohort_id").agg(F.max(score).alias("_best"))
     return best.select("cohort_id", F.col("_best.run").alias("run"), F.col("_best.silhouette").alias("best_silhouette"))
 
 

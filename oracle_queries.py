@@ -545,7 +545,7 @@ def oracle_sql() -> dict[str, str]:
         "calinski_harabasz": _all(f"cohort_id, {_r6('calinski_harabasz')} AS calinski_harabasz", "st"),
         "evaluate_clustering": _all(f"run, cohort_id, n_samples, n_clusters, {_R_SCORES}", "two"),
         "best_run": _with(f"""SELECT cohort_id, s[2] AS run, {_r6("s[1]")} AS best_silhouette FROM (
-          SELECT cohort_id, max((silhouette, run)) AS s FROM two WHERE silhouette IS NOT NULL GROUP BY cohort_id)""", "two"),
+          SELECT cohort_id, max((silhouette, run)) FILTER (WHERE silhouette IS NOT NULL) AS s FROM two GROUP BY cohort_id)""", "two"),
         "skill_variance_by_cluster": _all(
             "cohort_id, group_id, " + ", ".join(
                 f"{_r6(f'coalesce({short}, 0.0)')} AS {name}" for short, name in (

@@ -1,23 +1,16 @@
-"""Round loops of one small cohort as array code, run by Spark once per cohort.
-
-The round loops in ``lloyd``, ``medoids`` and ``locking`` are DataFrame jobs, one or more
-per round. Most cohorts have few distinct profiles; for those the callers check the bound
-and let one task do all rounds of a cohort on its profiles, so thousands of cohorts need one
-shuffle instead of one per round. Both ways give the same result.
-"""
+"""Round loops of one cohort as plain array code: expected values for the DataFrame rounds."""
 
 from __future__ import annotations
 
-import sys
-
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from evenfold.functions.measure import FAR, MICRO
-
-# Sent to executors whole, which need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from evenfold.operators.locking import DONOR_KEEPS, SwapRule
+from evenfold.operators.medoids import signature
+from evenfold.operators.ranking import rank_in_cohort
 
 LABEL, CENTER = "label", "center"
 
@@ -202,17 +195,30 @@ def sequential_swaps(people: pd.DataFrame, flagged: pd.DataFrame, by_gender: boo
     return out
 
 
-def leading_axes(cells: pd.DataFrame) -> pd.DataFrame:
-    """Eigenvectors of one small covariance matrix, largest loading positive."""
-    width = int(cells["i"].max()) + 1
-    matrix = np.zeros((width, width))
-    matrix[cells["i"], cells["j"]] = cells["value"]
-    values, vectors = np.linalg.eigh(matrix)
-    total = values.sum()
-    rows = []
-    for component, at in enumerate(np.argsort(-values, kind="stable")[:2]):
-        axis = vectors[:, at]
-        axis = axis * (1.0 if axis[np.argmax(np.abs(axis))] >= 0 else -1.0)
-        share = float(values[at] / total) if total > 0 else 0.0
-        rows.append((int(cells["cohort_id"].iloc[0]), component, axis.tolist(), share))
-    return pd.DataFrame(rows, columns=["cohort_id", "component", "axis", "explained"])
+def _by_cohort(first: DataFrame, second: DataFrame, solve) -> pd.DataFrame:
+    left, right = first.toPandas(), second.toPandas()
+    found = [solve(part, right[right.cohort_id == c].reset_index(drop=True))
+             for c, part in left.reset_index(drop=True).groupby("cohort_id") if (right.cohort_id == c).any()]
+    return pd.concat(found) if found else pd.DataFrame()
+
+
+def plain_kmeans(profiles: DataFrame, slots: DataFrame, metric: str, max_iter: int) -> pd.DataFrame:
+    points = profiles.select("cohort_id", "profile_id", "weight", "features_q").orderBy("cohort_id", "profile_id")
+    return _by_cohort(points, slots, lambda p, s: mean_rounds(p.reset_index(drop=True), s, metric, max_iter))
+
+
+def plain_kmedoids(profiles: DataFrame, slots: DataFrame, metric: str, max_iter: int) -> pd.DataFrame:
+    points = signature(profiles, metric).orderBy("cohort_id", "profile_id")
+    return _by_cohort(points, slots, lambda p, s: swap_rounds(p.reset_index(drop=True), s, metric, max_iter))
+
+
+def plain_swaps(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, turns: int) -> list[tuple]:
+    match = F.coalesce(F.col(rule.match), F.lit("")) if rule.match else F.lit("")
+    people = labelled.select(
+        "cohort_id", "row_id", "group_id", "profile_id", F.col(rule.attribute).alias("trait"), match.alias("match"),
+    ).join(profiles.select("cohort_id", "profile_id", "Learning_Style", "q_motivation", "q_esteem", "q_ethic", "q_gap"),
+           ["cohort_id", "profile_id"])
+    flagged = rank_in_cohort(rule.flag(labelled), ["group_id", "wanted"], "turn")
+    found = _by_cohort(people, flagged, lambda p, d: sequential_swaps(
+        p.reset_index(drop=True), d, rule.attribute == "Gender", rule.strict_donor, DONOR_KEEPS, turns, 1))
+    return [tuple(r) for r in found.itertuples(index=False)]

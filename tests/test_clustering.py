@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from evenfold.operators import lloyd, medoids, seeding
 from evenfold.operators.joins import join_by_weight
-from evenfold.operators.kernels import distance_matrix
 from evenfold.operators.profiles import FULL_KEYS, encode
 from evenfold.operators.ranking import rank_in_cohort
 from evenfold.plans.cohorts import prepare
 from evenfold.sources.learners import learners
+from tests.kernels import CENTER, LABEL, distance_matrix, plain_kmeans, plain_kmedoids
 from tests.conftest import SMALL, plain
 
 
@@ -62,32 +62,39 @@ def test_swaps_match_a_plain_scan(small, metric):
         assert [found[cohort, s] for s in range(len(expected))] == list(ids[expected])
 
 
-def test_swap_jobs_match_one_task(small):
+def labels_of(plain, kind, column):
+    chosen = plain[plain.kind == kind]
+    return sorted((int(r.cohort_id), int(r.profile_id), int(r.slot)) if column == "label" else
+                  (int(r.cohort_id), int(r.slot), tuple(r.centroid) if column == "centroid" else int(r.profile_id)) for r in chosen.itertuples())
+
+
+def test_swap_jobs_match_a_plain_scan(small):
     cohorts, slots = small
-    one = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3)
-    jobs = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3, local_profiles=0)
-    assert rows(one[0]) == rows(jobs[0]) and rows(one[1]) == rows(jobs[1])
+    plain = plain_kmedoids(cohorts.profiles, slots, "manhattan", 3)
+    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3)
+    assert sorted((r.cohort_id, r.profile_id, r.slot) for r in labels.collect()) == labels_of(plain, LABEL, "label")
+    assert sorted((r.cohort_id, r.slot, r.profile_id) for r in medoid.collect()) == labels_of(plain, CENTER, "medoid")
 
 
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
-def test_mean_jobs_match_one_task(small, metric):
+def test_mean_jobs_match_a_plain_loop(small, metric):
     cohorts, slots = small
-    one = lloyd.kmeans(cohorts.profiles, slots, metric, 3)
-    jobs = lloyd.kmeans(cohorts.profiles, slots, metric, 3, local_profiles=0)
-    assert rows(one[0]) == rows(jobs[0]) and rows(one[1]) == rows(jobs[1])
+    plain = plain_kmeans(cohorts.profiles, slots, metric, 3)
+    labels, centers = lloyd.kmeans(cohorts.profiles, slots, metric, 3)
+    assert sorted((r.cohort_id, r.profile_id, r.slot) for r in labels.collect()) == labels_of(plain, LABEL, "label")
+    assert sorted((r.cohort_id, r.slot, tuple(r.centroid)) for r in centers.collect()) == labels_of(plain, CENTER, "centroid")
 
 
 def test_duplicate_medoids_and_empty_clusters(spark, people):
     same = [(i, "Male", 1.0, 1.0, 1.0, "Visual", "X") for i in range(3)]
     cohorts = prepare(people([*same, (3, "Male", 4.0, 4.0, 4.0, "Visual", "X")]))
     slots = spark.createDataFrame([(1, 0, 0), (1, 1, 0)], "cohort_id bigint, slot int, profile_id bigint")
-    for local in (1024, 0):
-        labels, centers = lloyd.kmeans(cohorts.profiles, slots, "euclidean", 1, local)
-        assert {r.slot for r in labels.collect()} == {0}
-        # The empty slot keeps the centroid of profile 0.
-        assert {r.slot: r.centroid[0] for r in centers.collect()}[1] < 0
-        labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200, local)
-        assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
+    labels, centers = lloyd.kmeans(cohorts.profiles, slots, "euclidean", 1)
+    assert {r.slot for r in labels.collect()} == {0}
+    # The empty slot keeps the centroid of profile 0.
+    assert {r.slot: r.centroid[0] for r in centers.collect()}[1] < 0
+    labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200)
+    assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
 
 
 def test_one_cluster_and_as_many_as_people(people):

@@ -11,6 +11,7 @@ from evenfold.plans.generate import generate_groups
 from evenfold.plans.report import group_assignments, report_lines
 from evenfold.sources.learners import learners
 from evenfold.sources.sinks import write_assignments, write_report
+from tests.kernels import plain_swaps
 from tests.conftest import SMALL, plain
 
 
@@ -67,15 +68,14 @@ def scene(people, genders, groups):
     return grouped(cohorts.people, groups), cohorts.profiles
 
 
-@pytest.mark.parametrize("local", [20_000, 0])
-def test_swap_can_isolate_the_donor(people, local):
+def test_swap_can_isolate_the_donor(people):
     genders = ["Female", "Male", "Male", "Male", "Female", "Female", "Female", "Female"]
     labelled, profiles = scene(people, genders, [0] * 4 + [1] * 4)
-    out, log = locking.fix_isolation(labelled, profiles, locking.gender_rule(), local_people=local)
+    out, log = locking.fix_isolation(labelled, profiles, locking.gender_rule())
     counts = {(r.group_id, r.Gender): r["count"] for r in out.groupBy("group_id", "Gender").count().collect()}
     assert counts == {(0, "Female"): 2, (0, "Male"): 2, (1, "Female"): 3, (1, "Male"): 1}
     assert log.count() == 1
-    strict, log = locking.fix_isolation(labelled, profiles, locking.gender_rule(True), local_people=local)
+    strict, log = locking.fix_isolation(labelled, profiles, locking.gender_rule(True))
     assert group_of(strict) == group_of(labelled) and log.count() == 0
 
 
@@ -86,13 +86,20 @@ def test_no_donor_leaves_labels(people):
 
 
 @pytest.mark.parametrize("rule", [locking.gender_rule(), locking.gender_rule(True), locking.diversity_rule()])
-def test_swap_jobs_match_one_task(spark, rule):
+def test_swap_jobs_match_a_plain_loop(spark, rule):
     cohorts = prepare(learners(spark, SMALL).where("cohort_id < 4"))
     labelled = cohorts.people.withColumn("group_id", F.pmod(F.col("row_id"), F.lit(2)).cast("int"))
-    one, log = locking.fix_isolation(labelled, cohorts.profiles, rule, max_rounds=3)
-    jobs, log_jobs = locking.fix_isolation(labelled, cohorts.profiles, rule, max_rounds=3, local_people=0)
-    assert sorted(map(tuple, log.collect())) == sorted(map(tuple, log_jobs.collect()))
-    assert group_of(one) == group_of(jobs)
+    _, log = locking.fix_isolation(labelled, cohorts.profiles, rule, max_rounds=3)
+    assert sorted(map(tuple, log.collect())) == sorted(plain_swaps(labelled, cohorts.profiles, rule, 3))
+
+
+def test_missing_genders_match_nobody(people):
+    genders = ["Female", "Male", *[None] * 7]
+    kinds = ["A", "B", "B", "B", "B", "A", "A", "A", "A"]
+    cohorts = prepare(people([(i, g, 1.0, 1.0, 1.0, "Visual", d) for i, (g, d) in enumerate(zip(genders, kinds))]))
+    labelled = grouped(cohorts.people, [0] * 5 + [1] * 4)
+    out, log = locking.fix_isolation(labelled, cohorts.profiles, locking.diversity_rule())
+    assert log.count() == 0 and group_of(out) == group_of(labelled)
 
 
 def test_swaps_in_large_unsized_groups(spark):
@@ -101,9 +108,8 @@ def test_swaps_in_large_unsized_groups(spark):
     labelled = cohorts.people.withColumn("group_id", F.pmod(F.col("row_id"), F.lit(3)).cast("int"))
     rule = locking.diversity_rule(False)
     lone = labelled.where("Diversity <> 'Hispanic' OR row_id < 60")
-    _, one = locking.fix_isolation(lone, cohorts.profiles, rule)
-    _, jobs = locking.fix_isolation(lone, cohorts.profiles, rule, local_people=0)
-    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, jobs.collect()))
+    _, log = locking.fix_isolation(lone, cohorts.profiles, rule)
+    assert sorted(map(tuple, log.collect())) == sorted(plain_swaps(lone, cohorts.profiles, rule, 1_000))
 
 
 def test_second_pass_flags_again(spark):

@@ -69,3 +69,17 @@ def test_missing_values_and_quarantine(people):
     assert rest.first().reason == "Motivation is missing; Learning_Style is missing"
     with pytest.raises(ValueError, match="without features"):
         split_usable(df, strict=True)
+
+
+def test_nobody_is_lost(people):
+    from evenfold.operators.quality import split_usable
+    from evenfold.plans.cohorts import clean
+    from evenfold.plans.generate import generate_groups
+
+    sound = people(plain(9))
+    lost = sound.limit(1).selectExpr("CAST(NULL AS BIGINT) AS cohort_id", *sound.columns[1:])
+    everybody = sound.unionByName(lost).unionByName(sound.where("row_id = 3"))
+    usable, quarantine = split_usable(clean(everybody))
+    assert usable.count() + quarantine.count() == everybody.count() == 11
+    assert {r.reason for r in quarantine.collect()} == {"cohort_id is missing", "row_id is repeated"}
+    assert generate_groups(everybody, 4).assignments.count() == usable.count() == 8
