@@ -11,14 +11,22 @@ improvement a scan over slots and then over rows would meet.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import FAR, pair_metric
-from evenfold.operators.joins import broadcast_if_small, pair_within, prefixed, two_nearest
+from evenfold.operators.joins import broadcast_if_small, cohort_groups, pair_within, prefixed, two_nearest
+from evenfold.operators.kernels import CENTER, LABEL, swap_rounds
 from evenfold.session import checkpoint
 
 MAX_SWAPS = 200
+# Cohorts of up to so many profiles and people make their swaps in one task. The second bound keeps the sums of
+# distances, which grow with the root of the people, inside 64 bits.
+LOCAL_PROFILES = 1_024
+LOCAL_PEOPLE = 100_000_000
 
 # The columns of a profile each distance reads.
 NEEDS = {
@@ -133,12 +141,38 @@ def first_improvement(parts: DataFrame, medoids: DataFrame) -> DataFrame:
         "cohort_id", F.col("_swap.slot").alias("swap_slot"), F.col("_swap.cand").alias("swap_cand"))
 
 
-def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
-             max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
+def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan", max_iter: int = MAX_SWAPS,
+             local_profiles: int = LOCAL_PROFILES) -> tuple[DataFrame, DataFrame]:
     """Labels per profile and final medoids after at most ``max_iter`` swaps per cohort.
 
-    One DataFrame job per swap for all cohorts of any size; the driver learns only whether to go on.
+    Cohorts within both local bounds make all swaps in one task each, many side by side; the others
+    in DataFrame rounds. Both ways follow the same rule and give the same result.
     """
+    few = (F.col("peers") <= local_profiles) & (F.col("cohort_rows") <= LOCAL_PEOPLE)
+    small, large = profiles.where(few), profiles.where(~few)
+    labels, medoids = [], []
+    if not small.isEmpty():
+        def solve(points: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
+            return swap_rounds(points, seats, metric, max_iter)
+
+        own = slots.select("cohort_id", "slot", "profile_id").join(small.select("cohort_id").distinct(), "cohort_id", "left_semi")
+        solved = checkpoint(
+            cohort_groups(signature(small, metric)).cogroup(cohort_groups(own))
+            .applyInPandas(solve, "cohort_id bigint, kind string, slot int, profile_id bigint"))
+        labels.append(solved.where(F.col("kind") == LABEL).select("cohort_id", "profile_id", "slot"))
+        medoids.append(solved.where(F.col("kind") == CENTER).select("cohort_id", "slot", "profile_id"))
+    if not large.isEmpty():
+        first, second = kmedoids_rounds(large, slots, metric, max_iter)
+        labels.append(first)
+        medoids.append(second)
+    if not labels:
+        return kmedoids_rounds(profiles, slots, metric, 0)
+    return reduce(DataFrame.unionByName, labels), reduce(DataFrame.unionByName, medoids)
+
+
+def kmedoids_rounds(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
+                    max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
+    """``kmedoids`` as one DataFrame job per swap; the driver learns only whether to go on."""
     points = checkpoint(signature(profiles, metric).repartition("cohort_id", "profile_id"))
     rows = points.count()
     own = slots.join(points.select("cohort_id").distinct(), "cohort_id", "left_semi")

@@ -8,97 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import FAR, MICRO
+from evenfold.operators.kernels import CENTER, LABEL, _nearest, distance_matrix, swap_rounds
 from evenfold.operators.locking import DONOR_KEEPS, SwapRule
 from evenfold.operators.medoids import signature
 from evenfold.operators.ranking import rank_in_cohort
 
-LABEL, CENTER = "label", "center"
-
-
-def _differs(values: pd.Series) -> np.ndarray:
-    codes = pd.factorize(values, use_na_sentinel=False)[0]
-    return codes[:, None] != codes[None, :]
-
-
-def _gap(values: pd.Series) -> np.ndarray:
-    numbers = values.to_numpy()
-    return np.abs(numbers[:, None] - numbers[None, :])
-
-
-def distance_matrix(points: pd.DataFrame, metric: str) -> np.ndarray:
-    """Distances of a cohort's profiles in micro units."""
-    if metric == "manhattan":
-        total = sum(_gap(points[c]) for c in ("q_motivation", "q_esteem", "q_ethic"))
-        gaps = points["q_gap"].to_numpy()
-        return total + np.where(_differs(points["Learning_Style"]), gaps[:, None] + gaps[None, :], 0)
-    if metric == "euclidean":
-        squares = sum(_gap(points[c]) ** 2 for c in ("z_motivation", "z_esteem", "z_ethic"))
-        gaps = points["z_gap"].to_numpy() ** 2
-        total = np.sqrt(squares + np.where(_differs(points["Learning_Style"]), gaps[:, None] + gaps[None, :], 0.0))
-        return np.floor(total * MICRO + 0.5).astype(np.int64)
-    total = np.zeros((len(points), len(points)))
-    for score, span in (("Motivation", "span_motivation"), ("Self_Esteem", "span_esteem"), ("Work_Ethic", "span_ethic")):
-        width = points[span].iloc[0]
-        if width:
-            total = total + _gap(points[score]) / width
-    for category in ("Gender", "Diversity", "Learning_Style"):
-        total = total + _differs(points[category])
-    return np.floor(total / 6 * MICRO + 0.5).astype(np.int64)
-
-
-def _nearest(matrix: np.ndarray, slots: np.ndarray, at: np.ndarray):
-    """Lowest slot per distinct medoid, and n1 (as a position in it), d1, d2 per profile."""
-    _, first, copies = np.unique(at, return_index=True, return_counts=True)
-    order = np.argsort(first)
-    owners, copies = first[order], copies[order]
-    reach = matrix[:, at[owners]]
-    rows = np.arange(len(matrix))
-    n1 = reach.argmin(axis=1)
-    d1 = reach[rows, n1]
-    reach[rows, n1] = FAR
-    d2 = np.where(copies[n1] > 1, d1, reach.min(axis=1))
-    return owners, n1, d1, d2
-
-
-def swap_rounds(points: pd.DataFrame, seats: pd.DataFrame, metric: str, max_iter: int) -> pd.DataFrame:
-    """First-improvement swaps of one cohort until none improves or ``max_iter`` are made."""
-    columns = ["cohort_id", "kind", "slot", "profile_id"]
-    if points.empty or seats.empty:
-        return pd.DataFrame(columns=columns)
-    cohort = int(points["cohort_id"].iloc[0])
-    points = points.sort_values("profile_id", ignore_index=True)
-    seats = seats.sort_values("slot", ignore_index=True)
-    ids = points["profile_id"].to_numpy()
-    weight = points["weight"].to_numpy()[:, None]
-    matrix = distance_matrix(points, metric)
-    slots = seats["slot"].to_numpy()
-    at = np.searchsorted(ids, seats["profile_id"].to_numpy())
-    for _ in range(max_iter):
-        owners, n1, d1, d2 = _nearest(matrix, slots, at)
-        if float(weight.sum()) * float(max(d1.max(), np.minimum(d2, matrix.max()).max())) > 9e18:
-            raise OverflowError(f"distances of cohort {cohort} leave 64 bits")
-        closer = np.minimum(matrix, d1[:, None])
-        gain = (weight * (closer - d1[:, None])).sum(axis=0)
-        loss = weight * (np.minimum(matrix, d2[:, None]) - closer)
-        by_owner = np.argsort(n1, kind="stable")
-        used, starts = np.unique(n1[by_owner], return_index=True)
-        better = gain + np.add.reduceat(loss[by_owner], starts, axis=0) < 0
-        found = []
-        improving = np.flatnonzero(better.any(axis=1))
-        if len(improving):
-            found.append((owners[used[improving[0]]], better[improving[0]].argmax()))
-        spare = np.setdiff1d(np.arange(len(slots)), owners)
-        if len(spare) and (gain < 0).any():
-            found.append((spare[0], (gain < 0).argmax()))
-        if not found:
-            break
-        seat, candidate = min(found)
-        at[seat] = candidate
-    owners, n1, _, _ = _nearest(matrix, slots, at)
-    labels = pd.DataFrame({"kind": LABEL, "slot": slots[owners[n1]], "profile_id": ids})
-    centers = pd.DataFrame({"kind": CENTER, "slot": slots, "profile_id": ids[at]})
-    return pd.concat([labels, centers]).assign(cohort_id=cohort)[columns]
-
 
 def mean_rounds(points: pd.DataFrame, seats: pd.DataFrame, metric: str, max_iter: int) -> pd.DataFrame:
     """Assignment and mean update of one cohort until no centroid moves."""

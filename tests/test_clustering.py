@@ -71,7 +71,7 @@ def labels_of(plain, kind, column):
 def test_swap_jobs_match_a_plain_scan(small):
     cohorts, slots = small
     plain = plain_kmedoids(cohorts.profiles, slots, "manhattan", 3)
-    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3)
+    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3, local_profiles=0)
     assert sorted((r.cohort_id, r.profile_id, r.slot) for r in labels.collect()) == labels_of(plain, LABEL, "label")
     assert sorted((r.cohort_id, r.slot, r.profile_id) for r in medoid.collect()) == labels_of(plain, CENTER, "medoid")
 
@@ -93,8 +93,9 @@ def test_duplicate_medoids_and_empty_clusters(spark, people):
     assert {r.slot for r in labels.collect()} == {0}
     # The empty slot keeps the centroid of profile 0.
     assert {r.slot: r.centroid[0] for r in centers.collect()}[1] < 0
-    labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200)
-    assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
+    for local in (1024, 0):
+        labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200, local)
+        assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
 
 
 def test_one_cluster_and_as_many_as_people(people):
