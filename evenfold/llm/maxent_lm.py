@@ -33,14 +33,16 @@ from pyspark.sql import types as T
 from evenfold.llm.spans import SpanHash, mix, pieces, utf8, words
 from evenfold.llm.tables import Workspace
 
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 24
 ROWS = 1 << 14
-OWN_CLASSES, SHARED_CLASSES = 24, 40
+OWN_CLASSES, SHARED_CLASSES = 16, 24
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 FEATURES = 4
-ROUNDS = 2
-BATCH = 40_000
+ROUNDS = 1
+BATCH = 4_096  # keeps the rows of a batch in the cache
 PRIOR = 4.0
+#: A task has fewer chunks, a chunk fewer words, than these bits count.
+CHUNK_BITS, WORD_BITS = 14, 25
 END = np.int64(0x454E44)
 _U = np.uint64
 
@@ -70,7 +72,7 @@ def tokenise(df: DataFrame, id_column: str, text: str, held_out: Column) -> Data
         one = np.array([0, len(ids)], dtype=np.int32)
         lists = [pa.ListArray.from_arrays(pa.array(one), x) for x in (ids, held, pa.array(n.astype(np.int32)))]
         packed = [_press(own), _press(prefix[first]), _press(counts), _press(token.astype(np.int32))]
-        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << 32 | seq]), *lists, *[pa.array([x], pa.binary()) for x in packed]], names=schema.names)
+        return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() << CHUNK_BITS | seq]), *lists, *[pa.array([x], pa.binary()) for x in packed]], names=schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]):
         parts, size, seq = [], 0, 0
@@ -99,16 +101,16 @@ def tokenise(df: DataFrame, id_column: str, text: str, held_out: Column) -> Data
 
 
 def _dictionary(chunks: DataFrame) -> DataFrame:
-    """(word, chunk, at, prefix, n) of every chunk's dictionary."""
+    """(word, slot, prefix, n) of every chunk's dictionary; the slot is the chunk and the place in it."""
     def run(batches):
         for batch in batches:
             for chunk, w, p, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 own = _open(w, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(own), pa.array(np.full(len(own), chunk)), pa.array(np.arange(len(own), dtype=np.int32)),
-                    pa.array(_open(p, np.uint8).astype(np.int32)), pa.array(_open(n, np.int64))], names=["word", "chunk", "at", "prefix", "n"])
+                    pa.array(own), pa.array((chunk << WORD_BITS) + np.arange(len(own))),
+                    pa.array(_open(p, np.uint8).astype(np.int8)), pa.array(_open(n, np.int64))], names=["word", "slot", "prefix", "n"])
 
-    return chunks.select("chunk", "words", "prefix", "counts").mapInArrow(run, "word long, chunk long, at int, prefix int, n long")
+    return chunks.select("chunk", "words", "prefix", "counts").mapInArrow(run, "word long, slot long, prefix byte, n long")
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
@@ -116,7 +118,7 @@ def _gathered(rows: DataFrame) -> DataFrame:
     def run(batches):
         chunk, parts = None, []
         for batch in batches:
-            own, c = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            own, c = batch.column(0).to_numpy() >> WORD_BITS, batch.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
             for a, b in zip(cuts[:-1], cuts[1:]):
                 if a == b:
@@ -129,7 +131,7 @@ def _gathered(rows: DataFrame) -> DataFrame:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([_press(np.concatenate(parts))], pa.binary())], names=["chunk", "c"])
 
-    return rows.select("chunk", "at", "c").repartition("chunk").sortWithinPartitions("chunk", "at").mapInArrow(run, "chunk long, c binary")
+    return rows.select("slot", "c").repartition(F.shiftright("slot", WORD_BITS)).sortWithinPartitions("slot").mapInArrow(run, "chunk long, c binary")
 
 
 def _classes(own: np.ndarray, prefix: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -169,7 +171,7 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
     blocks = 64
 
     def run(batches):
-        table = np.zeros((ROWS, CLASSES))
+        table = np.zeros((ROWS, CLASSES), dtype=np.float32 if model else np.float64)
         for batch in batches:
             for held, n, w, p, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 own = _open(w, np.int64)
@@ -177,12 +179,12 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
                 f = _features(own[token], n)
                 keep = np.repeat(~np.array(held, dtype=bool), n)
                 f, c = f[keep], cls[token[keep]]
+                if model is None:
+                    for k in range(FEATURES):
+                        table += np.bincount(f[:, k] * CLASSES + c, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                    continue
                 for s in range(0, len(f), BATCH):
                     part = f[s:s + BATCH]
-                    if model is None:
-                        for k in range(FEATURES):
-                            table += np.bincount(part[:, k] * CLASSES + c[s:s + BATCH], minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-                        continue
                     chance = _chance(*model.value, part)
                     for k in range(FEATURES):
                         order = np.argsort(part[:, k], kind="stable")
@@ -244,7 +246,7 @@ def score(df: DataFrame, held_out: Column, id_column: str = "doc_id", text: str
         at = int(np.searchsorted(top, r["word"])) if r["word"] is not None else OWN_CLASSES + r["prefix"]
         mass[at] = r["n"], r["v"]
     total, distinct = int(mass[:, 0].sum()), int(mass[:, 1].sum())
-    counted = _dictionary(chunks).select("word", "chunk", "at").join(vocabulary.select("word", "c"), "word")
+    counted = _dictionary(chunks).select("word", "slot").join(vocabulary.select("word", "c"), "word")
     model = spark.sparkContext.broadcast(train(chunks, top, rounds))
     log_mass = np.log10(mass.sum(axis=1) + 1)
     log_all = np.log10(total + distinct + 1)
