@@ -80,15 +80,28 @@ def anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> tuple[np.ndarray,
     return p, x[first], x[last], gram[p].view(np.int64)
 
 
-def _row_anchors(buf: np.ndarray, offs: np.ndarray, length: int) -> Iterator[tuple]:
-    """Anchors of a piece; a very long row is walked in overlapping segments of bounded size."""
-    if len(buf) <= 2 * SEGMENT:
+def _row_anchors(buf: np.ndarray, offs: np.ndarray, length: int, segment: int = SEGMENT) -> Iterator[tuple]:
+    """Anchors of a piece; a very long row is walked in overlapping segments of bounded size, which changes no anchor."""
+    if len(buf) <= 2 * segment:
         yield anchors(buf, offs, length)
         return
-    for s in range(0, len(buf), SEGMENT):
-        part = buf[s:s + SEGMENT + length - 1]
-        p, a, b, g = anchors(part, np.array([0, len(part)]), length)
-        yield p + s, a + s, b + s, g
+    for start, stop in zip(offs[:-1].tolist(), offs[1:].tolist()):
+        held = None
+        for s in range(start, stop, segment):
+            part = buf[s:min(s + segment + length - 1, stop)]
+            p, a, b, g = anchors(part, np.array([0, len(part)]), length)
+            if not len(p):
+                continue
+            p, a, b = p + s, a + s, b + s
+            if held is not None:
+                if held[0][0] == p[0]:  # its windows go on over the edge
+                    a[0] = held[1][0]
+                else:
+                    yield held
+            yield p[:-1], a[:-1], b[:-1], g[:-1]
+            held = p[-1:], a[-1:], b[-1:], g[-1:]
+        if held is not None:
+            yield held
 
 
 def _batches(batch: pa.RecordBatch, column: int = 0):
@@ -97,15 +110,15 @@ def _batches(batch: pa.RecordBatch, column: int = 0):
         yield a, b, buf[offs[a]:offs[b]], offs[a:b + 1] - offs[a]
 
 
-def _indexed(df: DataFrame, text: str, length: int) -> DataFrame:
+def _indexed(df: DataFrame, text: str, length: int, segment: int = SEGMENT) -> DataFrame:
     """(key, tid, n): how often each anchor gram is in each text; a text once per task."""
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             for _, _, buf, offs in _batches(batch):
                 names = text_name(buf, offs)
-                rows, keys = [], []
-                for p, _, _, gram in _row_anchors(buf, offs, length):
+                rows, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for p, _, _, gram in _row_anchors(buf, offs, length, segment):
                     rows.append(np.searchsorted(offs, p, side="right") - 1)
                     keys.append(gram)
                 fresh = np.zeros(len(names), dtype=bool)
@@ -172,7 +185,7 @@ def _packed(df: DataFrame, text: str) -> DataFrame:
 CONTEXT = "key long, tid long, p long, x1 long, x2 long, left int, around binary"
 
 
-def _contexts(texts: DataFrame, length: int) -> DataFrame:
+def _contexts(texts: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
     """The bytes around every anchor of (tid, z, keys) whose gram is in ``keys``."""
     reach = length - length // 2
 
@@ -182,7 +195,7 @@ def _contexts(texts: DataFrame, length: int) -> DataFrame:
             for tid, z, keys in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 raw = open_.decompress(z)
                 buf, wanted = np.frombuffer(raw, dtype=np.uint8), np.array(keys, dtype=np.int64)
-                for p, x1, x2, gram in _row_anchors(buf, np.array([0, len(buf)]), length):
+                for p, x1, x2, gram in _row_anchors(buf, np.array([0, len(buf)]), length, segment):
                     own = np.isin(gram, wanted)
                     p, x1, x2, gram = p[own], x1[own], x2[own], gram[own]
                     from_ = np.maximum(p - reach, 0)
@@ -436,20 +449,21 @@ def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
     return contexts.mapInArrow(run, SPANS)
 
 
-def repeated_spans(df: DataFrame, text: str, length: int, work: Workspace, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def repeated_spans(df: DataFrame, text: str, length: int, work: Workspace, group_limit: int = GROUP_LIMIT,
+                   segment: int = SEGMENT) -> DataFrame:
     """(tid, spans): repeated byte ranges of every text that has any; ranges may overlap."""
-    hits = work.write(_repeated(_indexed(df, text, length)).select("key", "tid"), "hits")
+    hits = work.write(_repeated(_indexed(df, text, length, segment)).select("key", "tid"), "hits")
     heavy = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key", F.lit(True).alias("heavy"))
     wanted = hits.join(heavy, "key", "left").groupBy("tid").agg(
         F.collect_set(F.when(F.col("heavy").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("heavy"), F.col("key"))).alias("heavy"))
     wanted = work.write(wanted, "wanted")
     # Of equal texts one stands for all; the copies are removed whole.
     texts = _packed(df, text).join(wanted, "tid").dropDuplicates(["tid"])
-    contexts = _contexts(texts.select("tid", "z", "keys"), length)
+    contexts = _contexts(texts.select("tid", "z", "keys"), length, segment)
     found = _spans(contexts.repartition("key").sortWithinPartitions("key"), length, True).select("tid", "lo", "hi")
     if not wanted.where(F.size("heavy") > 0).isEmpty():
         large = texts.where(F.size("heavy") > 0).select("tid", "z", F.col("heavy").alias("keys"))
-        parts = work.write(_spans(_contexts(large, length), length, False), "parts")
+        parts = work.write(_spans(_contexts(large, length, segment), length, False), "parts")
         across = _repeated(parts.where("key IS NOT NULL")).where("tid IS NOT NULL")
         found = found.unionByName(parts.where("key IS NULL").select("tid", "lo", "hi")).unionByName(across.select("tid", "lo", "hi"))
     return found.groupBy("tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
@@ -481,13 +495,13 @@ def _named(df: DataFrame, text: str) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, text: str = "text", length: int = 400, group_limit: int = GROUP_LIMIT,
-                   characters: bool = False) -> DataFrame:
+                   characters: bool = False, segment: int = SEGMENT) -> DataFrame:
     """Add ``_cut``: struct of removed runs and, as bytes, the kept rest of every row's text.
 
     With ``characters``, what a cut leaves of a character goes, too, so the rest is text.
     """
     work = Workspace(df.sparkSession, "suffixes")
-    spans = work.write(repeated_spans(df, text, length, work, group_limit), "spans")
+    spans = work.write(repeated_spans(df, text, length, work, group_limit, segment), "spans")
     named = _named(df, text)
     copies = work.write(_named(df.select(text), text).groupBy("_tid").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "copies")
     marks = spans.join(copies, spans["tid"] == copies["_tid"], "full").select(

@@ -2,9 +2,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
-from evenfold.llm.suffix_dedup import digest, remove_repeats
+from evenfold.llm.suffix_dedup import _row_anchors, digest, remove_repeats
 from tests.llm.brute import suffix_digest
 
 
@@ -46,3 +47,23 @@ def test_matches_a_table_of_all_windows(spark, seed, limit):
 
 def test_empty_table(spark):
     assert digest(remove_repeats(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def test_segments_of_long_texts_change_no_anchor():
+    rng = random.Random(4)
+    raws = [bytes(rng.randrange(97, 123) for _ in range(9000)), b" " * 3000, b"abc" * 10, b"", bytes(rng.randrange(97, 99) for _ in range(2500))]
+    buf, offs = np.frombuffer(b"".join(raws), np.uint8), np.cumsum([0, *map(len, raws)])
+    whole = list(zip(*(np.concatenate(c).tolist() for c in zip(*_row_anchors(buf, offs, 400)))))
+    for segment in (90, 250, 601, 4000):
+        assert list(zip(*(np.concatenate(c).tolist() for c in zip(*_row_anchors(buf, offs, 400, segment))))) == whole
+
+
+@pytest.mark.parametrize("limit", [8000, 4])
+def test_edges_of_segments_are_no_repeats(spark, limit):
+    texts = _texts(5)
+    texts += ["".join(random.Random(i).choices("abcdefgh", k=6000)) for i in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: tuple(r)[1:] for r in digest(remove_repeats(df, group_limit=limit, segment=300)).collect()}
+    expected = suffix_digest(texts)
+    assert [i for i in range(len(texts)) if got[i] != expected[i]] == []
+    assert [e[1] for e in expected[-3:]] == [0, 0, 0]
