@@ -57,6 +57,6 @@ def byte_shards(df: DataFrame, shards: int, id_column: str = "doc_id", text: str
 
 
 def _cut(start: Column, size: Column, total: Column, shards: int) -> Column:
-    """The shard whose byte range holds the middle of [start, start + size)."""
-    middle = (2 * start + size).cast("decimal(38,0)")
-    return F.floor(middle * shards / (2 * total)).cast("int")
+    """The shard whose byte range holds the middle of [start, start + size); whole numbers only, so nothing is rounded up."""
+    middle = (2 * start + size).cast("decimal(27,0)")
+    return F.call_function("div", middle * F.lit(shards).cast("decimal(10,0)"), (2 * total).cast("decimal(27,0)")).cast("int")

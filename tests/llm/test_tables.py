@@ -59,6 +59,18 @@ def test_shards(spark):
     assert sharding.byte_shards(empty(spark), 16).count() == 0
 
 
+def test_cuts_are_not_rounded_up(spark):
+    rows = []
+    for total in (3 * 10 ** 10, 10 ** 12, 4 * 10 ** 18):
+        for size in (1, 10, 500, 1800):
+            rows += [(total - size, size, total), (0, size, total)]
+            rows += [(total * s // 16 + d, size, total) for s in range(1, 16) for d in (-2000, -size, -1, 0, 1)]
+    df = spark.createDataFrame(rows, "start long, size long, total long")
+    got = df.select("start", "size", "total", sharding._cut(F.col("start"), F.col("size"), F.col("total"), 16).alias("shard")).collect()
+    assert [tuple(r) for r in got if r["shard"] != (2 * r["start"] + r["size"]) * 16 // (2 * r["total"])] == []
+    assert max(r["shard"] for r in got) == 15
+
+
 def test_mix_keeps_targets(spark):
     for df in (odd(spark), spark.read.parquet(f"{SMALL}/documents.parquet")):
         mixed = mixing.mix(df, F.array("source"))
