@@ -14,7 +14,7 @@ Every string of ``length`` bytes that occurs twice is found, and each byte it co
   repeated at all; where the neighbours leave a gap below that bound, the group is compared
   directly, so the result is exact.
 
-Groups larger than ``group_limit`` never meet in one task. They are cut anywhere into chunks, each of which proves
+Groups of more than ``group_limit`` occurrences never meet in one task. They are cut anywhere into chunks, each of which proves
 what it can by the same sort. Windows that a chunk cannot prove, and one of each kind that it has proven, are then
 matched across chunks by a shuffle on their hash, which spreads any group.
 
@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,7 @@ from evenfold.llm.tables import Workspace
 GROUP_LIMIT = 4_000
 CHUNK_BYTES = 1_500_000
 SEGMENT = 1 << 22
+SLICE = 1024
 _POS = np.uint64((1 << 24) - 1)
 
 
@@ -156,7 +158,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
             done = table.slice(0, table.num_rows - 1).filter(pa.array(twice[:-1]))
             held = table.slice(table.num_rows - 1)
             if twice[-1]:
-                held = held.set_column(held.schema.get_field_index("n"), "n", pa.array([2], pa.int64()))
+                held = held.set_column(held.schema.get_field_index("n"), "n", pa.array([max(2, held.column("n")[0].as_py())], pa.int64()))
             yield from done.to_batches()
         if held is not None and held.num_rows:
             yield from held.filter(pa.array(held.column("n").to_numpy() > 1)).to_batches()
@@ -182,13 +184,45 @@ def _packed(df: DataFrame, text: str) -> DataFrame:
     return df.select(text).mapInArrow(run, "tid long, z binary")
 
 
-CONTEXT = "key long, tid long, p long, x1 long, x2 long, left int, around binary"
+CONTEXT = "key long, tid long, least int, most int, left int, around binary, p array<long>"
+
+
+def _context_name(buf: np.ndarray, first: np.ndarray, last: np.ndarray, key: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Equal for equal contexts: bytes [first, last) of ``buf`` around an anchor of gram ``key``, ``left`` bytes in."""
+    return SpanHash(buf, seed=19)(first, last) ^ mix(key.view(np.uint64)) ^ mix(left.astype(np.uint64))
 
 
 def _contexts(texts: DataFrame, length: int, segment: int = SEGMENT) -> DataFrame:
-    """The bytes around every anchor of (tid, z, keys) whose gram is in ``keys``."""
+    """The bytes around every anchor of (tid, z, keys) whose gram is in ``keys``.
+
+    Equal contexts of one walk over a text are one row with the list of their positions, so a run of one character is a
+    few hundred rows. Rows leave in slices of SLICE rows, each of at most SLICE positions.
+    """
     reach = length - length // 2
 
+    def folded(raw: bytes, tid: int, p: np.ndarray, least: np.ndarray, most: np.ndarray, gram: np.ndarray):
+        first, last = np.maximum(p - reach, 0), np.minimum(p + length, len(raw))
+        left = p - first
+        order, kind = np.arange(len(p)), np.arange(len(p))
+        if len(np.unique(gram)) < len(p):
+            at = int(first[0])
+            near = np.frombuffer(raw, np.uint8, int(last[-1]) - at, at)
+            _, kind = np.unique(_context_name(near, first - at, last - at, gram, left), return_inverse=True)
+            order = np.argsort(kind, kind="stable")
+            kind = kind[order]
+        # A row begins with each kind and after SLICE positions of one.
+        head = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        since = np.arange(len(p)) - np.repeat(head, np.diff(np.append(head, len(p))))
+        row = np.append(np.flatnonzero(since % SLICE == 0), len(p))
+        for r in range(0, len(row) - 1, SLICE):
+            edge = row[r:r + SLICE + 1]
+            one = order[edge[:-1]]
+            around = [raw[a:b] for a, b in zip(first[one].tolist(), last[one].tolist())]
+            places = pa.ListArray.from_arrays(pa.array((edge - edge[0]).astype(np.int32)), pa.array(p[order[edge[0]:edge[-1]]]))
+            small = (c[one].astype(np.int32) for c in (least, most, left))
+            yield pa.RecordBatch.from_arrays([pa.array(gram[one]), pa.array(np.full(len(one), tid, dtype=np.int64)), *map(pa.array, small),
+                                              pa.array(around, pa.binary()), places], names=["key", "tid", "least", "most", "left", "around", "p"])
+
     def run(batches):
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -197,12 +231,8 @@ def _contexts(texts: DataFrame, length: int, segment: int = SEGMENT) -> DataFram
                 buf, wanted = np.frombuffer(raw, dtype=np.uint8), np.array(keys, dtype=np.int64)
                 for p, x1, x2, gram in _row_anchors(buf, np.array([0, len(buf)]), length, segment):
                     own = np.isin(gram, wanted)
-                    p, x1, x2, gram = p[own], x1[own], x2[own], gram[own]
-                    from_ = np.maximum(p - reach, 0)
-                    around = [raw[a:b + length] for a, b in zip(from_.tolist(), p.tolist())]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(gram), pa.array(np.full(len(p), tid, dtype=np.int64)), pa.array(p), pa.array(x1), pa.array(x2),
-                         pa.array((p - from_).astype(np.int32)), pa.array(around, pa.binary())], names=["key", "tid", "p", "x1", "x2", "left", "around"])
+                    if own.any():
+                        yield from folded(raw, tid, p[own], (p - x2)[own], (p - x1)[own], gram[own])
 
     return texts.select("tid", "z", "keys").mapInArrow(run, CONTEXT)
 
@@ -373,23 +403,29 @@ def _chunk_spans(table: pa.Table, length: int, settle: bool = True) -> Iterator[
     Without ``settle`` the groups may go on elsewhere: with them come rows (h, tid, lo) of the windows left
     open, and (h) alone of the kinds of windows proven here.
     """
-    key, tid, p, x1, x2 = (table.column(c).to_numpy() for c in ("key", "tid", "p", "x1", "x2"))
-    left = table.column("left").to_numpy().astype(np.int64)
+    key, tid, least, most, left = (table.column(c).to_numpy().astype(np.int64) for c in ("key", "tid", "least", "most", "left"))
     buf, offs = utf8(table.column("around"))
-    name = np.concatenate([SpanHash(buf[offs[a]:offs[b]], seed=19)(offs[a:b] - offs[a], offs[a + 1:b + 1] - offs[a]) for a, b in pieces(offs)])
-    name ^= mix(key.view(np.uint64)) ^ mix(left.astype(np.uint64))
+    name = np.concatenate([_context_name(buf[offs[a]:offs[b]], offs[a:b] - offs[a], offs[a + 1:b + 1] - offs[a], key[a:b], left[a:b])
+                           for a, b in pieces(offs)])
     _, one, which = np.unique(name, return_index=True, return_inverse=True)
-    many = np.bincount(which, minlength=len(one)) > 1
+    # From here on, one entry per occurrence: its text, place and kind of context.
+    places = pa.concat_arrays(table.column("p").chunks)
+    times = pc.list_value_length(places).to_numpy()
+    p, tid, which = places.flatten().to_numpy(), np.repeat(tid, times), np.repeat(which, times)
+    order = np.lexsort((p, tid, which))
+    fresh = np.ones(len(p), dtype=bool)
+    fresh[1:] = np.any([c[order][1:] != c[order][:-1] for c in (p, tid, which)], axis=0)
+    many = np.bincount(which[order][fresh], minlength=len(one)) > 1
     _, group = np.unique(key[one], return_inverse=True)
     raw = buf.tobytes()
     around = [raw[a:b] for a, b in zip(offs[one].tolist(), offs[one + 1].tolist())]
     size = np.fromiter(map(len, around), np.int64, len(around))
     start = np.cumsum(size) - size
     s = Suffixes(np.frombuffer(b"".join(around), np.uint8), start + left[one], left[one], size - left[one], group)
-    least, most = (p - x2)[one], (p - x1)[one]
+    least, most = least[one], most[one]
     reach_l, reach_r, gap = repeated_around(s, many, least, most, length, settle)
     row = np.flatnonzero(reach_l[which] >= 0)
-    yield _rows(np.zeros(0, np.int64), tid[row], p[row] - reach_l[which[row]], p[row] + reach_r[which[row]])
+    yield _rows(np.zeros(0, np.int64), *_joined(tid[row], p[row] - reach_l[which[row]], p[row] + reach_r[which[row]]))
     if settle:
         return
     other = SpanHash(s.buf, seed=23)
@@ -414,6 +450,21 @@ def _chunk_spans(table: pa.Table, length: int, settle: bool = True) -> Iterator[
             yield _rows(h, tid[a + at], lo, lo + length)
 
 
+def _joined(tid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the same texts with those that meet made one, so a long run is not carried as a span per byte."""
+    if not len(tid):
+        return tid, lo, hi
+    order = np.lexsort((lo, tid))
+    tid, lo, hi = tid[order], lo[order], hi[order]
+    # Texts are set apart on one axis, so the furthest end so far never comes from another text.
+    _, rank = np.unique(tid, return_inverse=True)
+    base = rank * (int(hi.max()) + 2)
+    far = np.maximum.accumulate(hi + base)
+    head = np.flatnonzero(np.concatenate(([True], (lo + base)[1:] > far[:-1])))
+    tail = np.append(head[1:], len(tid)) - 1
+    return tid[head], lo[head], far[tail] - base[tail]
+
+
 def _rows(h, tid, lo, hi) -> pa.RecordBatch:
     """A batch of (key, tid, lo, hi, n); an absent column is null."""
     n = len(tid) if tid is not None else len(h)
@@ -426,6 +477,9 @@ SPANS = "key long, tid long, lo long, hi long, n long"
 
 def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
     """Spans of contexts in key order, in chunks of bounded bytes; with ``settle`` chunks are of whole groups."""
+    def weight(table: pa.Table) -> int:
+        return table.num_rows * (length * 3 // 2 + 60) + 8 * (pc.sum(pc.list_value_length(table.column("p"))).as_py() or 0)
+
     def run(batches):
         held: list[pa.Table] = []
         size = 0
@@ -433,7 +487,7 @@ def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 table = pa.Table.from_batches([batch.slice(at, 1024)])
                 held.append(table)
-                size += table.num_rows * (length * 3 // 2 + 60)
+                size += weight(table)
                 if size < CHUNK_BYTES:
                     continue
                 table = pa.concat_tables(held).combine_chunks()
@@ -442,7 +496,7 @@ def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
                 if cut:
                     yield from _chunk_spans(table.slice(0, cut).combine_chunks(), length, settle)
                 held = [table.slice(cut)]
-                size = (len(key) - cut) * (length * 3 // 2 + 60)
+                size = weight(held[0])
         if held and (table := pa.concat_tables(held).combine_chunks()).num_rows:
             yield from _chunk_spans(table, length, settle)
 
@@ -452,9 +506,10 @@ def _spans(contexts: DataFrame, length: int, settle: bool) -> DataFrame:
 def repeated_spans(df: DataFrame, text: str, length: int, work: Workspace, group_limit: int = GROUP_LIMIT,
                    segment: int = SEGMENT) -> DataFrame:
     """(tid, spans): repeated byte ranges of every text that has any; ranges may overlap."""
-    hits = work.write(_repeated(_indexed(df, text, length, segment)).select("key", "tid"), "hits")
-    heavy = hits.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group_limit).select("key", F.lit(True).alias("heavy"))
-    wanted = hits.join(heavy, "key", "left").groupBy("tid").agg(
+    hits = work.write(_repeated(_indexed(df, text, length, segment)).select("key", "tid", "n"), "hits")
+    # By occurrences: a gram may be frequent inside one text.
+    heavy = hits.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > group_limit).select("key", F.lit(True).alias("heavy"))
+    wanted = hits.drop("n").join(heavy, "key", "left").groupBy("tid").agg(
         F.collect_set(F.when(F.col("heavy").isNull(), F.col("key"))).alias("keys"), F.collect_set(F.when(F.col("heavy"), F.col("key"))).alias("heavy"))
     wanted = work.write(wanted, "wanted")
     # Of equal texts one stands for all; the copies are removed whole.

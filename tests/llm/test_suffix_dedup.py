@@ -1,11 +1,14 @@
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evenfold.llm.suffix_dedup import _row_anchors, digest, remove_repeats
+from evenfold.llm.suffix_dedup import _contexts, _indexed, _packed, _repeated, _row_anchors, digest, remove_repeats, repeated_spans
+from evenfold.llm.tables import Workspace
 from tests.llm.brute import suffix_digest
 
 
@@ -67,3 +70,26 @@ def test_edges_of_segments_are_no_repeats(spark, limit):
     expected = suffix_digest(texts)
     assert [i for i in range(len(texts)) if got[i] != expected[i]] == []
     assert [e[1] for e in expected[-3:]] == [0, 0, 0]
+
+
+def test_runs_inside_one_text_are_few_contexts(spark):
+    df = spark.createDataFrame([(" " * 100_000,), ("0123456789" * 10_000 + "!",)], "text string")
+    hits = _repeated(_indexed(df, "text", 400)).groupBy("tid").agg(F.collect_set("key").alias("keys"))
+    rows = _contexts(_packed(df, "text").join(hits, "tid"), 400)
+    size = rows.select(F.sum(F.octet_length("around")), F.sum(F.size("p")), F.max(F.size("p"))).first()
+    assert size[0] < 2_000_000 and size[1] > 100_000 and size[2] <= 1024
+
+
+def test_grams_frequent_in_one_text_are_heavy(spark):
+    rng = random.Random(6)
+    passage = "".join(rng.choices("abcdefgh", k=450))
+    many = "".join(passage[rng.randrange(30):] + "".join(rng.choices("xyz", k=rng.randrange(60))) for _ in range(40))
+    texts = [many, " " * 3000, "no repeat " + "".join(rng.choices("abcdefgh", k=900)), "=" * 2000 + many[:300]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    work = Workspace(spark, "heavy")
+    repeated_spans(df, "text", 400, work, 20).collect()
+    assert os.path.isdir(f"{work.root}/parts".removeprefix("file:"))  # written for heavy grams only
+    expected = suffix_digest(texts)
+    for segment in (300, 1 << 22):
+        got = {r["doc_id"]: tuple(r)[1:] for r in digest(remove_repeats(df, group_limit=20, segment=segment)).collect()}
+        assert [got[i] for i in range(len(texts))] == expected
