@@ -35,10 +35,10 @@ from evenfold.llm.tables import Workspace
 
 CHUNK_BYTES = 1 << 24
 ROWS = 1 << 14
-OWN_CLASSES, SHARED_CLASSES = 16, 24
+OWN_CLASSES, SHARED_CLASSES = 24, 40
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 FEATURES = 4
-ROUNDS = 1
+ROUNDS = 2
 BATCH = 4_096  # keeps the rows of a batch in the cache
 PRIOR = 4.0
 #: A task has fewer chunks, a chunk fewer words, than these bits count.

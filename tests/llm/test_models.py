@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -77,3 +78,18 @@ def test_language_model_base_and_gain(spark, odd_table):
 
 def test_language_model_on_an_empty_table(spark):
     assert maxent_lm.score(empty(spark), F.lit(False)).count() == 0
+
+
+def test_training_has_several_rounds_and_all_classes(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        w = [rng.randrange(60)]
+        for _ in range(80):
+            w.append((w[-1] * 7 + 3) % 60 if rng.random() < 0.8 else rng.randrange(60))
+        rows.append((i, " ".join(f"{chr(97 + x % 26)}{x}" for x in w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = F.col("doc_id") % 5 == 0
+    total = lambda scored: scored.where("held_out").agg(F.sum("score")).first()[0]
+    once, default = total(maxent_lm.score(df, held, rounds=1)), total(maxent_lm.score(df, held))
+    assert default > once + 1 and maxent_lm.ROUNDS > 1 and maxent_lm.CLASSES == 64
