@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from evenfold.llm.license_scan import PHRASES, TEMPLATES, Choice, Gap, parse
 from evenfold.llm.quality_rules import STOP_WORDS, SYMBOLS
 
 SPACE = " || ".join(f"chr({k})" for k in (32, 9, 10, 11, 12, 13))
@@ -73,4 +74,79 @@ SELECT doc_id, n::BIGINT AS n_words, coalesce(chars, 0)::BIGINT AS word_chars, s
 FROM v
 """
 
-SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op2_source_mix": OP2, "op4_vector_file": OP4, "op8_quality_rules": OP8}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _pattern(parts) -> str:
+    """A template as a regular expression over words that each follow a blank."""
+    out = ""
+    for part in parts:
+        if isinstance(part, Gap):
+            out += f"(?: [^ ]+){{{part.least},{part.most}}}"
+        elif isinstance(part, Choice):
+            out += f"(?:{'|'.join(_pattern(run) for run in part.runs)})"
+        else:
+            out += "".join(f" {w}" for w in part.words)
+    return out
+
+
+_BASE = [(label, _pattern(parse(phrase)).split()) for label, phrase in PHRASES]
+_STARTS = ", ".join(
+    f"list_transform(list_filter(range(1, len(w) + 1), lambda i: {' AND '.join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))}), lambda i: i - 1)"
+    for _, words in _BASE)
+_LABELS = "list_filter([" + ", ".join(f"CASE WHEN len(found[{k + 1}]) > 0 THEN '{label}' END" for k, (label, _) in enumerate(_BASE)) + "], lambda x: x IS NOT NULL)"
+_OWN = "list_filter([" + ", ".join(f"CASE WHEN regexp_matches(t, '{_pattern(parse(x))} ') THEN '{label}' END" for label, x in TEMPLATES) + "], lambda x: x IS NOT NULL)"
+OP11 = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT *, ' ' || array_to_string(w, ' ') || ' ' AS t, [{_STARTS}] AS found FROM d),
+l AS (SELECT *, {_LABELS} AS base, {_OWN} AS own, flatten(found) AS places FROM p)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(places)::BIGINT AS n_base, list_min(places)::BIGINT AS first_word, list_max(places)::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, own))), ','), '') AS labels,
+  CASE WHEN len(own) > 0 THEN 1.0 WHEN len(base) > 0 THEN 0.5 ELSE 0.0 END::DOUBLE AS score
+FROM l
+"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""
+far{r} AS (SELECT x.k, x.p, c.e, sum((x.x - c.x) * (x.x - c.x)) AS far FROM x JOIN c{r} c USING (p, d) GROUP BY ALL),
+near{r} AS (SELECT k, p, arg_min(e, (far, e)) AS e, min(far) AS far FROM far{r} GROUP BY ALL)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS (SELECT x.p, n.e, x.d, sum(x.x) AS s, count(*) AS n FROM x JOIN near{r} n USING (k, p) GROUP BY ALL),
+c{r + 1} AS (SELECT c.p, c.e, c.d, CASE WHEN m.n IS NULL THEN c.x ELSE ((m.s - ((m.s % m.n) + m.n) % m.n) // m.n)::BIGINT END AS x
+  FROM c{r} c LEFT JOIN m{r} m USING (p, e, d))""")
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) - 1 AS k, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 4096)::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT k, (i - 1) // (len(v) // {parts}) AS p, (i - 1) % (len(v) // {parts}) AS d, v[i] AS x FROM (SELECT k, v, unnest(range(1, len(v) + 1)) AS i FROM v)),
+c0 AS (SELECT p, k AS e, d, x FROM x WHERE k < {entries}),{",".join(steps)},
+code AS (SELECT k, string_agg(printf('%02x', e::INT), '' ORDER BY p) AS code, sum(far)::BIGINT AS error FROM near{rounds} GROUP BY k),
+sha AS (SELECT sha256(string_agg(x::VARCHAR, ',' ORDER BY p, e, d)) AS sha FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM v JOIN code USING (k), sha
+"""
+
+
+OP12 = _codes_sql()
+
+_TERMS = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+OP13 = rf"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all({LOWER}, {_TERMS}) AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, sum(len(w))::BIGINT AS total FROM d),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({LOWER}, {_TERMS})) AS term FROM benchmark),
+t AS (SELECT k, unnest(w) AS term FROM d),
+tf AS (SELECT k, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, s GROUP BY term, n_docs),
+m AS (SELECT k, doc_id, 50 + (50 * len(w) * n_docs) // total AS m FROM d, s WHERE len(w) > 0),
+scored AS (SELECT item_id, k, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN tf USING (term) JOIN weight USING (term) JOIN m USING (k) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score
+  FROM scored JOIN m USING (k) WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 50
+"""
+
+SQL: dict[str, str] = {"op1_jaccard_join": OP1, "op2_source_mix": OP2, "op4_vector_file": OP4, "op8_quality_rules": OP8,
+                       "op11_license_scan": OP11, "op12_vector_codes": OP12, "op13_lexical_search": OP13}

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.llm import byte_bpe, jaccard_join, line_crf, maxent_lm, mixing, quality_rules, sharding, suffix_dedup, toxicity, vector_file
+from evenfold.llm import (
+    byte_bpe, jaccard_join, lexical_search, license_scan, line_crf, maxent_lm, mixing, quality_rules, sharding, suffix_dedup, toxicity,
+    vector_codes, vector_file)
 from evenfold.llm.labelled import held_out, training_sample
 from evenfold.llm.tables import documents, remainder
 
@@ -73,5 +75,17 @@ def op10_byte_shards(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.byte_shards(documents(spark, sf), 16)
 
 
+def op11_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.with_licenses(documents(spark, sf).select("doc_id", "text"), name="found").select("doc_id", "found.*")
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf), spark.read.parquet(f"{sf}/benchmark.parquet"), 50)
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_jaccard_join, op2_source_mix, op3_maxent_lm, op4_vector_file, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_line_crf,
-    op10_byte_shards)}
+    op10_byte_shards, op11_license_scan, op12_vector_codes, op13_lexical_search)}
