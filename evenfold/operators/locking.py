@@ -1,19 +1,24 @@
 """Isolation: find groups where somebody is alone, and swap people to end it.
 
 A cohort treats its flagged groups one after the other, each on the labels the one before
-left. Cohorts do not touch each other, so round r handles the r-th flagged group of
-every cohort in one job: as many rounds as the busiest cohort has flagged groups.
+left. A round takes a batch of the next flagged groups of every cohort: joins list the nearest donors for all of
+them at once, then ``turns`` goes through the batch in order and commits every turn whose best swap these
+lists decide. A batch holds a bounded number of groups and people, whatever the size of the cohort.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import manhattan
-from evenfold.operators.joins import pair_within, prefixed, two_nearest
+from evenfold.operators.joins import cohort_groups, pair_within, prefixed, two_nearest
 from evenfold.operators.ranking import rank_in_cohort
+from evenfold.operators.turns import take_turns
 from evenfold.session import checkpoint
 
 # A smaller group cannot isolate anybody; a donor must hold more than this
@@ -21,6 +26,14 @@ from evenfold.session import checkpoint
 SMALLEST_GROUP = 4
 DONOR_KEEPS = 2
 
+# Donor groups listed for each kind of person who may leave; kinds listed although nobody of them is in a due
+# group yet; turns in a batch; people that a batch brings together at most, from which larger cohorts derive fewer turns.
+# All of them bound a batch and none a result: what a batch does not decide opens the next one.
+CHOICES = 16
+COMMON_KINDS = 512
+BATCH_TURNS = 512
+BATCH_PEOPLE = 200_000
+
 LOG_SCHEMA = (
     "cohort_id bigint, round int, group_id int, isolation_type string, in_id bigint, "
     "donor_group int, out_id bigint, dist bigint"
@@ -125,15 +138,13 @@ def donor_cells(rows: DataFrame, rule: SwapRule) -> DataFrame:
     return group_cells(rows, rule).where(rule.can_spare() & F.col("trait").isNotNull())
 
 
-def best_swaps(rows: DataFrame, pending: DataFrame, profiles: DataFrame, rule: SwapRule,
-               many: bool = True) -> DataFrame:
+def best_swaps(rows: DataFrame, pending: DataFrame, profiles: DataFrame, rule: SwapRule) -> DataFrame:
     """The cheapest swap of each pending group on the labels in ``rows``.
 
     ``pending`` has ``cohort_id, flagged, wanted, given``. Ties go to the lowest donor group,
     then incoming row, then outgoing row. Groups without a possible swap are absent. Of
     the people to bring in, only the two lowest donor groups per trait and profile can win,
-    the second in case the first is the flagged group itself. ``many`` tells that a
-    cohort may have several pending groups at once.
+    the second in case the first is the flagged group itself.
     """
     cells = group_cells(rows, rule)
     spare = cells.where(rule.can_spare() & F.col("trait").isNotNull())
@@ -147,16 +158,11 @@ def best_swaps(rows: DataFrame, pending: DataFrame, profiles: DataFrame, rule: S
     keys = ["cohort_id", "wanted", "match"]
     coming = coming.withColumnRenamed("trait", "wanted").join(shape, ["cohort_id", "profile_id"])
     going = going.join(shape, ["cohort_id", "profile_id"])
-    if many:
-        load = going.groupBy(*keys).agg(F.count(F.lit(1)).alias("load"))
-        going, coming = going.join(load, keys), coming.join(load, keys)
-        kept = (*keys, "load")
-        pairs = pair_within(prefixed(going, "b_", keep=kept), prefixed(coming, "a_", keep=kept),
-                            keys, ["b_flagged", "b_profile_id"], "load")
-    else:
-        kept = (*keys, "peers")
-        pairs = pair_within(prefixed(coming, "a_", keep=kept), prefixed(going, "b_", keep=kept),
-                            keys, ["a_profile_id"], "peers")
+    load = going.groupBy(*keys).agg(F.count(F.lit(1)).alias("load"))
+    going, coming = going.join(load, keys), coming.join(load, keys)
+    kept = (*keys, "load")
+    pairs = pair_within(prefixed(going, "b_", keep=kept), prefixed(coming, "a_", keep=kept),
+                        keys, ["b_flagged", "b_profile_id"], "load")
     own = F.col("a_first_value") == F.col("b_flagged")
     donor = F.when(own, F.col("a_second_value")).otherwise(F.col("a_first_value"))
     bring = F.when(own, F.col("a_second_id")).otherwise(F.col("a_first_id"))
@@ -168,13 +174,80 @@ def best_swaps(rows: DataFrame, pending: DataFrame, profiles: DataFrame, rule: S
         "cohort_id", "flagged", "_best.in_id", "_best.donor_group", "_best.out_id", "_best.dist")
 
 
-def _apply(rows: DataFrame, log: DataFrame) -> DataFrame:
+def donor_lists(cells: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule, choices: int) -> DataFrame:
+    """``cohort_id, wanted, match, profile_id, donor_group, in_id, dist``: the nearest donors, ``choices`` at most.
+
+    One list for each trait a due group wants and each kind of person (match and profile) in the group; also for the
+    commonest kinds of the cohort, as they may come into a due group before its turn. Of a profile to bring in, only
+    the ``choices`` lowest donor groups can be in a list.
+    """
+    spare = cells.where(rule.can_spare() & F.col("trait").isNotNull() & F.col("match").isNotNull())
+    lowest = Window.partitionBy("cohort_id", "trait", "match", "profile_id").orderBy("group_id")
+    coming = (
+        spare.withColumn("_nth", F.row_number().over(lowest)).where(F.col("_nth") <= choices)
+        .select("cohort_id", F.col("trait").alias("wanted"), "match", "profile_id", "group_id", "row_id"))
+    inside = cells.join(due.select("cohort_id", F.col("flagged").alias("group_id"), "wanted"), ["cohort_id", "group_id"])
+    common = Window.partitionBy("cohort_id").orderBy(F.desc("_n"), "match", "profile_id")
+    kinds = cells.groupBy("cohort_id", "match", "profile_id").agg(F.count(F.lit(1)).alias("_n")).withColumn(
+        "_nth", F.row_number().over(common)).where(F.col("_nth") <= COMMON_KINDS)
+    may_come = kinds.join(due.select("cohort_id", "wanted").distinct(), "cohort_id")
+    going = inside.select("cohort_id", "wanted", "match", "profile_id").union(
+        may_come.select("cohort_id", "wanted", "match", "profile_id")).where("match IS NOT NULL").distinct()
+    keys = ["cohort_id", "wanted", "match"]
+    load = going.groupBy(*keys).agg(F.count(F.lit(1)).alias("load"))
+    going, coming = (side.join(shape, ["cohort_id", "profile_id"]).join(load, keys) for side in (going, coming))
+    kept = (*keys, "load")
+    pairs = pair_within(prefixed(going, "b_", keep=kept), prefixed(coming, "a_", keep=kept), keys, ["b_profile_id"], "load")
+    kind = ["cohort_id", "wanted", "match", F.col("b_profile_id").alias("profile_id")]
+    nearest = pairs.groupBy(*kind, F.col("a_group_id").alias("donor_group")).agg(
+        F.min(F.struct(manhattan("a_", "b_").alias("dist"), F.col("a_row_id").alias("in_id"))).alias("_best"))
+    order = Window.partitionBy("cohort_id", "wanted", "match", "profile_id").orderBy("_best.dist", "donor_group")
+    return nearest.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= choices).select(
+        "cohort_id", "wanted", "match", "profile_id", "donor_group", "_best.in_id", "_best.dist")
+
+
+def _known_people(rows: DataFrame, due: DataFrame, lists: DataFrame, shape: DataFrame, rule: SwapRule) -> DataFrame:
+    """People of the due groups and of all listed donors, with how many of their trait the group holds.
+
+    Of people alike in group, trait, match and profile a batch can move one per turn, so the first ``turns`` of them are enough.
+    """
+    groups = due.select("cohort_id", F.col("flagged").alias("group_id")).union(lists.select("cohort_id", "donor_group")).distinct()
+    turns = due.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("turns"))
+    match = F.col(rule.match) if rule.match else F.lit("")
+    people = rows.join(groups, ["cohort_id", "group_id"], "left_semi").select(
+        "cohort_id", "group_id", "row_id", "profile_id", F.col(rule.attribute).alias("trait"), match.alias("match")).where("trait IS NOT NULL")
+    alike = Window.partitionBy("cohort_id", "group_id", "trait", "match", "profile_id").orderBy("row_id")
+    counts = people.groupBy("cohort_id", "group_id", "trait").agg(F.count(F.lit(1)).alias("held"))
+    first = people.withColumn("_nth", F.row_number().over(alike)).join(F.broadcast(turns), "cohort_id").where(F.col("_nth") <= F.col("turns"))
+    return first.drop("_nth", "turns").join(counts, ["cohort_id", "group_id", "trait"]).join(shape, ["cohort_id", "profile_id"])
+
+
+def _batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule) -> DataFrame:
+    """The decided turns of every cohort: the log's columns by ``turn``, without ids where no swap is possible."""
+    lists = checkpoint(donor_lists(group_cells(rows, rule), due, shape, rule, CHOICES))
+    people = _known_people(rows, due, lists, shape, rule)
+    whole = F.lit(0).cast("bigint")
+    known = people.select(F.lit("person").alias("kind"), "cohort_id", "group_id", "row_id", "trait", "match", "profile_id", "held",
+                          *_GEOMETRY, whole.alias("dist")).unionByName(
+        lists.select(F.lit("entry").alias("kind"), "cohort_id", F.col("donor_group").alias("group_id"), F.col("in_id").alias("row_id"),
+                     F.col("wanted").alias("trait"), "match", "profile_id", whole.alias("held"), F.lit(None).cast("string").alias("Learning_Style"),
+                     *[whole.alias(c) for c in _GEOMETRY[1:]], "dist"))
+    by_gender, strict_donor, keeps, choices = rule.attribute == "Gender", rule.strict_donor, DONOR_KEEPS, CHOICES
+
+    def solve(due: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return take_turns(due, known, by_gender, strict_donor, keeps, choices)
+
+    return cohort_groups(due).cogroup(cohort_groups(known)).applyInPandas(
+        solve, "cohort_id bigint, turn bigint, group_id int, isolation_type string, in_id bigint, donor_group int, out_id bigint, dist bigint")
+
+
+def _apply(rows: DataFrame, log: DataFrame, order: str = "round") -> DataFrame:
     """Current labels: the last swap a person was in decides."""
-    moves = log.select("cohort_id", "round", F.explode(F.array(
+    moves = log.select("cohort_id", order, F.explode(F.array(
         F.struct(F.col("in_id").alias("row_id"), F.col("group_id").alias("_to")),
         F.struct(F.col("out_id").alias("row_id"), F.col("donor_group").alias("_to")))).alias("_m"))
     last = moves.groupBy("cohort_id", F.col("_m.row_id").alias("row_id")).agg(
-        F.max_by("_m._to", "round").alias("_to"))
+        F.max_by("_m._to", order).alias("_to"))
     return rows.join(last, ["cohort_id", "row_id"], "left").withColumn(
         "group_id", F.coalesce("_to", "group_id")).drop("_to")
 
@@ -187,7 +260,7 @@ def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_
     the labels current at its turn. ``max_rounds`` ends a pass early.
     """
     base = checkpoint(labelled)
-    shape = profiles.select("cohort_id", "profile_id", "peers", "cohort_rows", *_GEOMETRY)
+    shape = checkpoint(profiles.select("cohort_id", "profile_id", *_GEOMETRY))
     log, turns = None, 0
     for _ in range(max_passes):
         start = base if log is None else _apply(base, log)
@@ -196,8 +269,8 @@ def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_
         if turn_count is None:
             break
         turn_count = turn_count if max_rounds is None else min(turn_count, max_rounds)
-        found = _swap_turns(start, flagged, shape, rule, turn_count, turns)
-        log = checkpoint(found if log is None else log.unionByName(found))
+        found = _swap_turns(start, flagged.where(F.col("turn") <= turn_count), shape, rule, turns)
+        log = found if log is None else log.unionByName(found)
         turns += turn_count
     if log is None:
         log = base.sparkSession.createDataFrame([], LOG_SCHEMA)
@@ -205,23 +278,30 @@ def fix_isolation(labelled: DataFrame, profiles: DataFrame, rule: SwapRule, max_
     return _apply(base, log), log
 
 
-def _swap_turns(base: DataFrame, flagged: DataFrame, shape: DataFrame, rule: SwapRule, turn_count: int,
-                turns_before: int) -> DataFrame:
-    """One job per turn. The log is all that grows: two moves per swap over untouched labels."""
-    shape = checkpoint(shape)
-    # Cohorts without a flagged group take no part.
-    base = checkpoint(base.join(flagged.select("cohort_id").distinct(), "cohort_id", "left_semi").select(
-        "cohort_id", "row_id", "group_id", "Gender", "Diversity", "profile_id"))
-    log = base.sparkSession.createDataFrame([], LOG_SCHEMA)
-    for nth in range(1, turn_count + 1):
-        due = flagged.where(F.col("turn") == nth).withColumnRenamed("group_id", "flagged")
-        current = _apply(base.join(due.select("cohort_id"), "cohort_id", "left_semi"), log)
-        found = best_swaps(current, due.select("cohort_id", "flagged", "wanted", "given"), shape, rule, many=False)
-        found = found.join(due.select("cohort_id", "flagged", "isolation_type"), ["cohort_id", "flagged"]).select(
-            "cohort_id", F.lit(turns_before + nth).alias("round"), F.col("flagged").alias("group_id"),
-            "isolation_type", "in_id", "donor_group", "out_id", "dist")
-        log = checkpoint(log.unionByName(found).repartition("cohort_id"))
-    return log
+def _swap_turns(base: DataFrame, flagged: DataFrame, shape: DataFrame, rule: SwapRule, turns_before: int) -> DataFrame:
+    """The log of one pass, batch after batch; cohorts whose turns are over drop out."""
+    largest = base.groupBy("cohort_id", "group_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("cohort_id").agg(
+        F.max("_n").alias("_largest"), F.sum("_n").alias("_rows"))
+    # A listed donor for each person of each due group: as many people at most come together.
+    fit = F.floor(F.lit(BATCH_PEOPLE) / (CHOICES * F.col("_largest") * F.col("_largest")))
+    turns = F.when(F.col("_rows") <= BATCH_PEOPLE, F.lit(BATCH_TURNS)).otherwise(F.greatest(F.lit(1), F.least(F.lit(BATCH_TURNS), fit)))
+    pending = checkpoint(flagged.withColumnRenamed("group_id", "flagged").join(
+        largest.select("cohort_id", turns.cast("bigint").alias("batch")), "cohort_id"))
+    rows = base.select("cohort_id", "row_id", "group_id", "Gender", "Diversity", "profile_id").join(
+        pending.select("cohort_id").distinct(), "cohort_id", "left_semi")
+    rows, done = checkpoint(rows), []
+    while not pending.isEmpty():
+        begun = pending.groupBy("cohort_id").agg(F.min("turn").alias("_begun"))
+        due = pending.join(begun, "cohort_id").where(F.col("turn") < F.col("_begun") + F.col("batch")).drop("_begun", "batch")
+        decided = checkpoint(_batch(rows, due, shape, rule))
+        done.append(decided)
+        over = decided.groupBy("cohort_id").agg(F.max("turn").alias("_over"))
+        pending = checkpoint(pending.join(over, "cohort_id").where(F.col("turn") > F.col("_over")).drop("_over"))
+        rows = checkpoint(_apply(rows, decided.where("in_id IS NOT NULL"), "turn").join(
+            pending.select("cohort_id").distinct(), "cohort_id", "left_semi"))
+    log = reduce(DataFrame.unionByName, done).where("in_id IS NOT NULL")
+    return log.select("cohort_id", (F.col("turn") + turns_before).cast("int").alias("round"), "group_id", "isolation_type", "in_id",
+                      "donor_group", "out_id", "dist")
 
 
 def fix_gender_isolation(labelled: DataFrame, profiles: DataFrame, max_passes: int = 1,

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenfold.operators import balance, locking, separation, sizing
+from evenfold.operators.ranking import rank_in_cohort
 from evenfold.plans.cohorts import prepare
 from evenfold.plans.generate import generate_groups
 from evenfold.plans.report import group_assignments, report_lines
+from evenfold.session import checkpoint
 from evenfold.sources.learners import learners
 from evenfold.sources.sinks import write_assignments, write_report
 from tests.kernels import plain_swaps
@@ -112,6 +114,53 @@ def test_swaps_in_large_unsized_groups(spark):
     assert sorted(map(tuple, log.collect())) == sorted(plain_swaps(lone, cohorts.profiles, rule, 1_000))
 
 
+def one_cohort(spark, sf, size):
+    """Everybody in one cohort, in groups of ``size`` neighbours."""
+    people = learners(spark, sf).withColumn("row_id", F.col("cohort_id") * 1_000_000 + F.col("row_id")).withColumn("cohort_id", F.lit(1).cast("bigint"))
+    cohorts = prepare(people)
+    ranked = rank_in_cohort(cohorts.people, ["row_id"])
+    return checkpoint(ranked.withColumn("group_id", F.floor((F.col("rn") - 1) / size).cast("int")).drop("rn")), cohorts.profiles
+
+
+@pytest.fixture
+def batches(monkeypatch):
+    """How many batches were solved."""
+    solved = []
+    solve = locking._batch
+    monkeypatch.setattr(locking, "_batch", lambda *args: solved.append(1) or solve(*args))
+    return solved
+
+
+@pytest.mark.parametrize("rule", [locking.gender_rule(), locking.diversity_rule()])
+def test_batches_cut_anywhere_give_the_same_swaps(spark, monkeypatch, batches, rule):
+    """Short lists, few turns and no spare kinds: batches end early, for every reason there is."""
+    labelled, profiles = one_cohort(spark, SMALL, 5)
+    monkeypatch.setattr(locking, "CHOICES", 2)
+    monkeypatch.setattr(locking, "COMMON_KINDS", 0)
+    monkeypatch.setattr(locking, "BATCH_TURNS", 5)
+    _, log = locking.fix_isolation(labelled, profiles, rule, max_rounds=13)
+    expected = plain_swaps(labelled, profiles, rule, 13)
+    assert len(expected) > 5 and sorted(map(tuple, log.collect())) == sorted(expected)
+    assert len(batches) > 2
+
+
+def test_batches_are_bounded_in_people(spark, monkeypatch, batches):
+    labelled, profiles = one_cohort(spark, SMALL, 5)
+    monkeypatch.setattr(locking, "BATCH_PEOPLE", 100)  # one turn a batch
+    _, log = locking.fix_isolation(labelled, profiles, locking.gender_rule(), max_rounds=3)
+    assert sorted(map(tuple, log.collect())) == sorted(plain_swaps(labelled, profiles, locking.gender_rule(), 3))
+    assert len(batches) == 3
+
+
+def test_a_large_cohort_takes_few_batches(spark, batches):
+    labelled, profiles = one_cohort(spark, "/root/testdata/sf0.1", 5)
+    flagged = locking.gender_isolation(labelled).count()
+    _, log = locking.fix_isolation(labelled, profiles, locking.gender_rule())
+    expected = plain_swaps(labelled, profiles, locking.gender_rule(), flagged)
+    assert len(expected) > 1_000 and sorted(map(tuple, log.collect())) == sorted(expected)
+    assert labelled.count() == 15_000 and len(batches) <= flagged / 300
+
+
 def test_second_pass_flags_again(spark):
     cohorts = prepare(learners(spark, SMALL))
     labelled = cohorts.people.withColumn("group_id", F.pmod(F.col("row_id"), F.lit(2)).cast("int"))
