@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from evenfold.functions.measure import vector_metric
 from evenfold.operators.joins import broadcast_if_small, pair_within
+from evenfold.operators.seeding import split_idle
 from evenfold.session import checkpoint
 
 MAX_ROUNDS = 300
@@ -80,7 +81,8 @@ def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
     first, the centroids are one update newer than the labels.
     """
     vector_metric(metric)
-    start = start_centroids(profiles, slots)
+    used, idle = split_idle(slots, max_iter + 2)
+    start = start_centroids(profiles, used)
     state = checkpoint(start.select("*", F.col("centroid").alias("before"), F.lit(True).alias("active"))
                        .repartition("cohort_id", "slot"))
     rows = state.count()
@@ -101,4 +103,5 @@ def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
         if state.where("active").isEmpty():
             break
     labels = assign(profiles, state.select("cohort_id", "slot", "peers", F.col("before").alias("centroid")), metric, rows)
-    return labels, state.select("cohort_id", "slot", "centroid")
+    still = start_centroids(profiles, idle)
+    return labels, state.select("cohort_id", "slot", "centroid").unionByName(still.select("cohort_id", "slot", "centroid"))

@@ -1,7 +1,6 @@
-"""K-Medoids: swap rounds over profiles, all cohorts at once.
+"""K-Medoids over profiles, all cohorts at once.
 
-A round looks at every (slot, candidate) swap of a cohort in one aggregation. With
-n1, d1, d2 the nearest slot, its distance and the next distance of a profile,
+With n1, d1, d2 the nearest slot, its distance and the next distance of a profile,
 
     delta(s, c) = sum w * (min(d, d1) - d1)  +  sum over n1 = s of w * (min(d, d2) - min(d, d1))
 
@@ -11,22 +10,18 @@ improvement a scan over slots and then over rows would meet.
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import FAR, pair_metric
-from evenfold.operators.joins import broadcast_if_small, cohort_groups, pair_within, prefixed, two_nearest
-from evenfold.operators.kernels import CENTER, LABEL, swap_rounds
-from evenfold.session import checkpoint
+from evenfold.operators.joins import broadcast_if_small, pair_within, prefixed, two_nearest
+from evenfold.operators.seeding import split_idle
+from evenfold.operators.swap_search import CENTER, LABEL, PAIR, POINT, SCHEMA, SEAT, search
+from evenfold.session import BROADCAST_ROWS, checkpoint, slot_count
 
 MAX_SWAPS = 200
-# Cohorts of up to so many profiles and people make their swaps in one task. The second bound keeps the sums of
-# distances, which grow with the root of the people, inside 64 bits.
-LOCAL_PROFILES = 1_024
-LOCAL_PEOPLE = 100_000_000
+# So many profiles of a cohort make one more share of its candidates.
+SHARE_PROFILES = 1_024
 
 # The columns of a profile each distance reads.
 NEEDS = {
@@ -126,73 +121,88 @@ def swap_deltas(profiles: DataFrame, medoids: DataFrame, metric: str) -> DataFra
         "cohort_id", "slot", "cand", (F.col("gain") + F.coalesce("own", F.lit(0))).alias("delta"))
 
 
-def first_improvement(parts: DataFrame, medoids: DataFrame) -> DataFrame:
-    """``cohort_id, swap_slot, swap_cand`` for the cohorts that still improve."""
-    owned = F.when(F.col("gain") + F.col("own") < 0, F.struct("slot", "cand"))
-    # The lowest slot that owns nobody, if any: replacing it costs the gain alone.
-    spare = lowest_slots(medoids).groupBy("cohort_id").agg(F.min("spare").alias("_spare"))
-    best = parts.groupBy("cohort_id").agg(
-        F.min(owned).alias("_owned"),
-        F.min(F.when(F.col("gain") < 0, F.col("cand"))).alias("_free"))
-    unused = F.when(F.col("_free").isNotNull() & F.col("_spare").isNotNull(),
-                    F.struct(F.col("_spare").alias("slot"), F.col("_free").alias("cand")))
-    chosen = best.join(spare, "cohort_id").select("cohort_id", F.least("_owned", unused).alias("_swap"))
-    return chosen.where("_swap IS NOT NULL").select(
-        "cohort_id", F.col("_swap.slot").alias("swap_slot"), F.col("_swap.cand").alias("swap_cand"))
+def _shares(peers: Column, tasks: int) -> Column:
+    """How many tasks share the candidates of a cohort."""
+    return F.least(F.lit(tasks), F.greatest(F.lit(1), F.ceil(peers / F.lit(SHARE_PROFILES)))).cast("int")
+
+
+def _solved(points: DataFrame, slots: DataFrame, metric: str | None, max_iter: int, distances: DataFrame | None = None) -> DataFrame:
+    """``cohort_id, kind, slot, profile_id, swaps, converged``: labels of all points and final medoids.
 
+    Points carry ``peers``. ``distances`` has both directions of every pair. Of slots on one profile only the lowest ``max_iter + 2`` can come into
+    play, as a swap moves one of them at most; the others stay where they are and are added to the result.
+    """
+    tasks = slot_count(points.sparkSession)
+    busy, idle = split_idle(slots.select("cohort_id", "slot", "profile_id"), max_iter + 2)
+    sizes = points.groupBy("cohort_id").agg(_shares(F.max("peers"), tasks).alias("shares"))
+    own = F.pmod(F.xxhash64("profile_id"), _shares(F.col("peers"), tasks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")
+    columns = [c for c in points.columns if c not in ("cohort_id", "profile_id", "weight", "peers")]
+    rows = points.select(F.lit(POINT).alias("kind"), "cohort_id", _shares(F.col("peers"), tasks).alias("shares"), "profile_id", "weight",
+                         own.alias("own"), *columns).select("*", every)
+    seats = busy.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_ROWS else sizes, "cohort_id").select(
+        F.lit(SEAT).alias("kind"), "cohort_id", "shares", "profile_id", "slot").select("*", every)
+    dealt = rows.unionByName(seats, allowMissingColumns=True)
+    if distances is not None:
+        pairs = distances.join(sizes, "cohort_id").select(
+            F.lit(PAIR).alias("kind"), "cohort_id", "shares", F.col("id_a").alias("profile_id"), F.col("id_b").alias("cand"), "dist",
+            F.pmod(F.xxhash64("id_b"), F.col("shares")).cast("int").alias("share"))
+        dealt = dealt.unionByName(pairs, allowMissingColumns=True)
+    # The pieces of a cohort have to meet in the task of their share; its candidates are what is split.
+    dealt = dealt.fillna(0, ["weight", "own", "slot", *(["cand", "dist"] if distances is not None else [])])
+    dealt = dealt.repartition(tasks, "cohort_id", "share").sortWithinPartitions("cohort_id", "share")
+
+    def run(batches):
+        return search(batches, metric, max_iter)
+
+    solved = checkpoint(dealt.mapInArrow(run, SCHEMA, barrier=True))
+    state = solved.groupBy("cohort_id").agg(F.max("swaps").alias("swaps"), F.bool_and("converged").alias("converged"))
+    rest = idle.join(state, "cohort_id").select("cohort_id", F.lit(CENTER).alias("kind"), "slot", "profile_id", "swaps", "converged")
+    return solved.unionByName(rest)
+
+
+def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
+             max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
+    """Labels per profile, and final medoids after at most ``max_iter`` swaps per cohort.
+
+    Medoids also tell how many ``swaps`` their cohort made and whether it ``converged`` before the limit.
+    """
+    return _split(_solved(signature(profiles, metric), slots, metric, max_iter))
 
-def kmedoids(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan", max_iter: int = MAX_SWAPS,
-             local_profiles: int = LOCAL_PROFILES) -> tuple[DataFrame, DataFrame]:
-    """Labels per profile and final medoids after at most ``max_iter`` swaps per cohort.
 
-    Cohorts within both local bounds make all swaps in one task each, many side by side; the others
-    in DataFrame rounds. Both ways follow the same rule and give the same result.
+def _split(solved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return (solved.where(F.col("kind") == LABEL).select("cohort_id", "profile_id", "slot"),
+            solved.where(F.col("kind") == CENTER).select("cohort_id", "slot", "profile_id", "swaps", "converged"))
+
+
+def both_ways(distances: DataFrame) -> DataFrame:
+    """``cohort_id, id_a, id_b, dist`` in both directions from a table that has each pair once or twice.
+
+    A pair given twice needs equal distances, and every pair of a cohort's ids has to be there: cohorts for which this does
+    not hold raise an error. Rows of an id with itself only name the id.
+    """
+    given = distances.select("cohort_id", F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.col("dist").cast("bigint").alias("dist"))
+    once = checkpoint(given.groupBy("cohort_id", "id_a", "id_b").agg(F.min("dist").alias("dist"), F.max("dist").alias("_most"), F.count_if(F.col("dist").isNull()).alias("_null")))
+    ids = once.select("cohort_id", F.explode(F.array("id_a", "id_b")).alias("id")).distinct().groupBy("cohort_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = once.groupBy("cohort_id").agg(
+        F.count_if(F.col("id_a") != F.col("id_b")).alias("pairs"),
+        F.count_if((F.col("_null") > 0) | (F.col("dist") != F.col("_most")) | (F.col("dist") < 0)
+                   | ((F.col("id_a") == F.col("id_b")) & (F.col("dist") != 0))).alias("bad"))
+    wrong = ids.join(pairs, "cohort_id").where("2 * pairs <> n * (n - 1) OR bad > 0").select("cohort_id", "n", "pairs", "bad").take(20)
+    if wrong:
+        raise ValueError(f"distances are missing, null, negative or contradict each other in cohorts (id, ids, pairs, bad): {[tuple(r) for r in wrong]}")
+    return once.select("cohort_id", "id_a", "id_b", "dist").unionByName(
+        once.where("id_a <> id_b").select("cohort_id", F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "dist"))
+
+
+def kmedoids_given(distances: DataFrame, slots: DataFrame, max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
+    """K-Medoids on a table of distances (``cohort_id, id_a, id_b, dist``), whole numbers, each pair once.
+
+    ``slots`` has ``cohort_id, slot, row_id``. Labels are ``cohort_id, row_id, slot``; medoids as in ``kmedoids``.
     """
-    few = (F.col("peers") <= local_profiles) & (F.col("cohort_rows") <= LOCAL_PEOPLE)
-    small, large = profiles.where(few), profiles.where(~few)
-    labels, medoids = [], []
-    if not small.isEmpty():
-        def solve(points: pd.DataFrame, seats: pd.DataFrame) -> pd.DataFrame:
-            return swap_rounds(points, seats, metric, max_iter)
-
-        own = slots.select("cohort_id", "slot", "profile_id").join(small.select("cohort_id").distinct(), "cohort_id", "left_semi")
-        solved = checkpoint(
-            cohort_groups(signature(small, metric)).cogroup(cohort_groups(own))
-            .applyInPandas(solve, "cohort_id bigint, kind string, slot int, profile_id bigint"))
-        labels.append(solved.where(F.col("kind") == LABEL).select("cohort_id", "profile_id", "slot"))
-        medoids.append(solved.where(F.col("kind") == CENTER).select("cohort_id", "slot", "profile_id"))
-    if not large.isEmpty():
-        first, second = kmedoids_rounds(large, slots, metric, max_iter)
-        labels.append(first)
-        medoids.append(second)
-    if not labels:
-        return kmedoids_rounds(profiles, slots, metric, 0)
-    return reduce(DataFrame.unionByName, labels), reduce(DataFrame.unionByName, medoids)
-
-
-def kmedoids_rounds(profiles: DataFrame, slots: DataFrame, metric: str = "manhattan",
-                    max_iter: int = MAX_SWAPS) -> tuple[DataFrame, DataFrame]:
-    """``kmedoids`` as one DataFrame job per swap; the driver learns only whether to go on."""
-    points = checkpoint(signature(profiles, metric).repartition("cohort_id", "profile_id"))
-    rows = points.count()
-    own = slots.join(points.select("cohort_id").distinct(), "cohort_id", "left_semi")
-    state = checkpoint(own.select("cohort_id", "slot", "profile_id", F.lit(True).alias("active"))
-                       .repartition("cohort_id", "slot"))
-    seats = state.count()
-    for _ in range(max_iter):
-        busy = state.where("active").drop("active")
-        # A settled cohort has no busy medoid, so the inner joins leave it out.
-        near = nearest_medoids(points, busy, metric, seats)
-        swaps = first_improvement(swap_parts(near, metric, rows), busy)
-        state = checkpoint(
-            state.join(broadcast_if_small(swaps, seats), "cohort_id", "left").select(
-                "cohort_id", "slot",
-                F.when(F.col("slot") == F.col("swap_slot"), F.col("swap_cand")).otherwise(F.col("profile_id"))
-                .alias("profile_id"),
-                F.col("swap_slot").isNotNull().alias("active")))
-        if state.where("active").isEmpty():
-            break
-    medoids = state.drop("active")
-    labels = nearest_medoids(points, medoids, metric, seats).select(
-        "cohort_id", "profile_id", F.col("n1").alias("slot"))
-    return labels, medoids
+    table = checkpoint(both_ways(distances))
+    points = table.groupBy("cohort_id", F.col("id_a").alias("profile_id")).agg(F.lit(1).cast("bigint").alias("weight"))
+    peers = points.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("peers"))
+    labels, medoids = _split(_solved(points.join(peers, "cohort_id"), slots.withColumnRenamed("row_id", "profile_id"), None, max_iter,
+                                     table.where("id_a <> id_b")))
+    return labels.withColumnRenamed("profile_id", "row_id"), medoids.withColumnRenamed("profile_id", "row_id")

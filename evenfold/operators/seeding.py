@@ -61,17 +61,19 @@ def init_slots(people: DataFrame, config: DataFrame, seed: int = 42, extra: tupl
 
 
 def init_medoids(people: DataFrame, profiles: DataFrame, config: DataFrame, keys: tuple[str, ...] = SKILL_KEYS,
-                 seed: int = 42, keep: int | None = None) -> DataFrame:
-    """First centres as profiles: ``cohort_id, slot, profile_id``.
+                 seed: int = 42) -> DataFrame:
+    """First centres as profiles: ``cohort_id, slot, profile_id``."""
+    slots = init_slots(people, config, seed, keys)
+    return attach_profiles(slots, profiles, keys, ("profile_id",)).select("cohort_id", "slot", "profile_id")
+
 
-    In a huge cohort many slots start on the same profile. A round moves at most one
-    slot away from a profile and only the lowest slots on it can win anything, so a loop
-    of r rounds never looks past the lowest r + 2 of them: ``keep`` leaves the others out
-    without changing any result.
+def split_idle(slots: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """The lowest ``keep`` slots of every profile, and the others.
+
+    In a huge cohort many slots start on the same profile. A round moves at most one of them away
+    and only the lowest can win anything, so a loop of r rounds never looks past the lowest r + 2 of
+    them: the others stay as they are, whatever happens.
     """
-    slots = init_slots(people, config, seed, keys)
-    placed = attach_profiles(slots, profiles, keys, ("profile_id",)).select("cohort_id", "slot", "profile_id")
-    if keep is None:
-        return placed
     order = Window.partitionBy("cohort_id", "profile_id").orderBy("slot")
-    return placed.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= keep).drop("_nth")
+    ranked = slots.withColumn("_nth", F.row_number().over(order))
+    return ranked.where(F.col("_nth") <= keep).drop("_nth"), ranked.where(F.col("_nth") > keep).drop("_nth")

@@ -23,7 +23,7 @@ def form_balanced_groups(people: DataFrame, n_groups: int, seed: int = 42, enfor
     cohorts = prepare(people)
     config = group_config(cohorts.people, 1, k=n_groups)
     check_clusters(config)
-    slots = init_medoids(cohorts.people, cohorts.profiles, config, seed=seed, keep=max_iter + 2)
+    slots = init_medoids(cohorts.people, cohorts.profiles, config, seed=seed)
     labels, _ = kmeans(cohorts.profiles, slots, "euclidean", max_iter)
     labelled = label_people(cohorts, labels).withColumnRenamed("label", "group_id")
     if enforce_gender_balance:

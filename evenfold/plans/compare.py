@@ -23,8 +23,7 @@ def compare_metrics(people: DataFrame, n_clusters: int, seed: int = 42, use_kmed
     cohorts = prepare(people)
     config = group_config(cohorts.people, 1, k=n_clusters)
     check_clusters(config)
-    slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed,
-                                    keep=max(max_rounds, max_swaps) + 2))
+    slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed))
 
     def finish(run: str, labels: DataFrame) -> DataFrame:
         rows = label_people(cohorts, labels)

@@ -38,7 +38,7 @@ def generate_groups(people: DataFrame, target_size: int, seed: int = SEED, max_i
     cohorts = prepare(people, fit_scope=fit_scope, strict=strict)
     config = group_config(cohorts.people, size)
     check_clusters(config)
-    slots = init_medoids(cohorts.people, cohorts.profiles, config, seed=seed, keep=max_iter + 2)
+    slots = init_medoids(cohorts.people, cohorts.profiles, config, seed=seed)
     labels, _ = kmedoids(cohorts.profiles, slots, "manhattan", max_iter)
     sized = enforce_group_size(label_people(cohorts, labels), size, cohorts.profiles, "manhattan")
     fixed, log = fix_gender_isolation(sized.drop("label"), cohorts.profiles, max_passes, max_rounds, strict_donor)

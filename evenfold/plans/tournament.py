@@ -56,8 +56,7 @@ def tournament(people: DataFrame, group_size: int = 5, n_clusters: int | None =
     check_clusters(config)
     full = encode(cohorts.people.drop("profile_id"), FULL_KEYS, fit_scope)
     wide = Cohorts(attach_profiles(cohorts.people.drop("profile_id"), full, FULL_KEYS), full, cohorts.quarantine, FULL_KEYS)
-    keep = max(max_rounds, max_swaps) + 2
-    slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed, keep=keep))
+    slots = checkpoint(init_medoids(cohorts.people, cohorts.profiles, config, seed=seed))
 
     def named(run: str, labels: DataFrame, source: Cohorts = cohorts) -> DataFrame:
         rows = label_people(source, labels)
@@ -71,7 +70,7 @@ def tournament(people: DataFrame, group_size: int = 5, n_clusters: int | None =
     euclidean, _ = kmeans(cohorts.profiles, slots, "euclidean", max_rounds)
     manhattan, _ = kmeans(cohorts.profiles, slots, "manhattan", max_rounds)
     swapped, _ = kmedoids(cohorts.profiles, slots, "manhattan", max_swaps)
-    first = init_medoids(wide.people, wide.profiles, config, FULL_KEYS, seed, max_swaps + 2)
+    first = init_medoids(wide.people, wide.profiles, config, FULL_KEYS, seed)
     mixed, _ = kmedoids(wide.profiles, first, "gower", max_swaps)
     by_manhattan = [named("kmeans_manhattan", manhattan), named("kmedoids_manhattan", swapped),
                     named("kmedoids_gower", mixed, wide)]

@@ -65,3 +65,9 @@ def task_count(spark: SparkSession) -> int:
     configured = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cores = spark.sparkContext.defaultParallelism
     return max(cores, min(configured, 4 * cores))
+
+
+def slot_count(spark: SparkSession) -> int:
+    """Tasks that surely run side by side, for barrier jobs: the cores known to the session."""
+    return max(1, spark.sparkContext.defaultParallelism if spark.sparkContext.master.startswith("local") else
+               spark._jsc.sc().maxNumConcurrentTasks(spark._jsc.sc().resourceProfileManager().defaultResourceProfile()))

@@ -214,6 +214,22 @@ _lloyd("kmeans_l2", _GAP2, "slots")
 _lloyd("kmeans_l1", _GAP1, "slots")
 _pam("pam_l1", "dist_l1", "slots")
 _pam("pam_gower", "dist_gower", "slots")
+_cte("dist_given", """SELECT a.cohort_id, a.row_id AS i, b.row_id AS j, CASE WHEN a.row_id = b.row_id THEN 0 ELSE
+    CAST(abs(a.Motivation - b.Motivation) AS BIGINT) * 1000000 + CASE WHEN a.Gender IS NOT DISTINCT FROM b.Gender THEN 0 ELSE 700000 END
+    + CASE WHEN a.Diversity IS NOT DISTINCT FROM b.Diversity THEN 0 ELSE 300000 END + (a.row_id + b.row_id) % 97 * 1000 END AS d
+  FROM people a JOIN people b ON a.cohort_id = b.cohort_id""", "people")
+_pam("pam_given", "dist_given", "slots")
+_cte("given_rows", "SELECT run, cohort_id, row_id, group_id FROM stripe UNION ALL SELECT run, cohort_id, row_id, group_id FROM chunk", "stripe", "chunk")
+_cte("given_sizes", "SELECT run, cohort_id, group_id, count(*) AS size FROM given_rows GROUP BY ALL", "given_rows")
+_cte("given_reach", """SELECT l.run, l.cohort_id, l.row_id, l.group_id AS own, r.group_id AS other, sum(d.d) AS total
+  FROM given_rows l JOIN dist_given d ON d.cohort_id = l.cohort_id AND d.i = l.row_id
+  JOIN given_rows r ON r.run = l.run AND r.cohort_id = l.cohort_id AND r.row_id = d.j GROUP BY ALL""", "given_rows", "dist_given")
+_cte("given_parts", """SELECT e.run, e.cohort_id, e.row_id, max(CASE WHEN own = other THEN size END) AS own_size,
+    max(CASE WHEN own = other THEN total / nullif(size - 1, 0) END) AS a, min(CASE WHEN own <> other THEN total / size END) AS b
+  FROM given_reach e JOIN given_sizes g ON g.run = e.run AND g.cohort_id = e.cohort_id AND g.group_id = e.other GROUP BY ALL""",
+     "given_reach", "given_sizes")
+_cte("given_silhouette", """SELECT run, cohort_id, avg(CASE WHEN own_size = 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0
+    ELSE (b - a) / greatest(a, b) END) AS silhouette FROM given_parts GROUP BY ALL""", "given_parts")
 
 _cte("first_medoids", "SELECT cohort_id, slot, row_id AS m FROM slots", "slots")
 _cte("medoid_near", """SELECT m.cohort_id, d.i, arg_min(m.slot, (d.d, m.slot)) AS slot, min(d.d) AS d1
@@ -608,6 +624,10 @@ def oracle_sql() -> dict[str, str]:
           GROUP BY s.cohort_id, s.slot, t.j""", "first_medoids", "dist_l1", "people", "medoid_near"),
         "kmedoids_manhattan": _all("cohort_id, row_id, label", "pam_l1"),
         "kmedoids_gower": _all("cohort_id, row_id, label", "pam_gower"),
+        "kmedoids_given_distances": _all("cohort_id, row_id, label", "pam_given"),
+        "silhouette_given_distances": _with(f"""SELECT run, cohort_id, CASE WHEN k BETWEEN 2 AND n - 1 THEN {_r6("silhouette")} END AS silhouette
+          FROM given_silhouette JOIN (SELECT run, cohort_id, count(*) AS k, sum(size) AS n FROM given_sizes GROUP BY ALL) USING (run, cohort_id)""",
+          "given_silhouette", "given_sizes"),
         "kmedoids_no_improving_swap": _with("""SELECT s.cohort_id, CAST(s.slot AS INT) AS slot, t.j AS cand,
             CAST(sum(least(t.d, coalesce(o.best, 1000000000000)) - c.d1) AS BIGINT) AS delta
           FROM pam_l1_medoids s JOIN dist_l1 t ON t.cohort_id = s.cohort_id

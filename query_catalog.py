@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenfold.operators import balance, locking, lloyd, medoids, projection, quality, seeding, separation, sizing
 from evenfold.operators.distances import profile_distances
-from evenfold.operators.joins import join_by_weight
+from evenfold.operators.joins import join_by_weight, pair_within, prefixed
 from evenfold.operators.normalize import normalize_people
 from evenfold.operators.profiles import FULL_KEYS, assemble, encode, features
 from evenfold.operators.ranking import rank_in_cohort
@@ -367,6 +367,31 @@ def no_improving_swap(spark: SparkSession, sf: str) -> DataFrame:
     return medoids.swap_deltas(cohorts.profiles, final, "manhattan").where("delta < 0")
 
 
+def _given(people: DataFrame) -> DataFrame:
+    """A table of distances as it might come from elsewhere: each pair of a cohort's people once."""
+    sides = people.select("cohort_id", "row_id", "Motivation", "Gender", "Diversity").join(
+        people.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("_n")), "cohort_id")
+    pairs = pair_within(prefixed(sides, "a_", keep=("cohort_id", "_n")), prefixed(sides, "b_", keep=("cohort_id", "_n")),
+                        ["cohort_id"], ["a_row_id"], "_n").where("a_row_id < b_row_id")
+    apart = lambda c, cost: F.when(F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}")), 0).otherwise(cost)
+    dist = F.abs(F.col("a_Motivation") - F.col("b_Motivation")).cast("bigint") * 1_000_000 + apart("Gender", 700_000) + apart(
+        "Diversity", 300_000) + (F.col("a_row_id") + F.col("b_row_id")) % 97 * 1_000
+    return pairs.select("cohort_id", F.col("a_row_id").alias("id_a"), F.col("b_row_id").alias("id_b"), dist.cast("bigint").alias("dist"))
+
+
+def kmedoids_given(spark: SparkSession, sf: str) -> DataFrame:
+    people = checkpoint(_people(spark, sf))
+    slots = seeding.init_slots(people, seeding.group_config(people, SIZE))
+    labels, _ = medoids.kmedoids_given(_given(people), slots)
+    return labels.select("cohort_id", "row_id", F.col("slot").alias("label"))
+
+
+def silhouette_given(spark: SparkSession, sf: str) -> DataFrame:
+    labelled, cohorts = _both(spark, sf)
+    found = separation.silhouette_given(labelled, _given(cohorts.people))
+    return found.select("run", "cohort_id", r6("silhouette").alias("silhouette"))
+
+
 # --- sizes ----------------------------------------------------------------------------------
 
 def core_groups(spark: SparkSession, sf: str) -> DataFrame:
@@ -477,6 +502,8 @@ QUERIES: dict[str, Query] = {
     "kmedoids_manhattan": kmedoids("manhattan"),
     "kmedoids_gower": kmedoids("gower"),
     "kmedoids_no_improving_swap": no_improving_swap,
+    "kmedoids_given_distances": kmedoids_given,
+    "silhouette_given_distances": silhouette_given,
     "core_groups": core_groups,
     "group_centers": group_centers,
     "smart_fill": smart_fill,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from evenfold.operators import lloyd, medoids, seeding
 from evenfold.operators.joins import join_by_weight
-from evenfold.operators.profiles import FULL_KEYS, encode
+from evenfold.operators.profiles import FULL_KEYS, SKILL_KEYS, encode
 from evenfold.operators.ranking import rank_in_cohort
 from evenfold.plans.cohorts import prepare
 from evenfold.sources.learners import learners
@@ -20,7 +20,7 @@ from tests.conftest import SMALL, plain
 def small(spark):
     cohorts = prepare(learners(spark, SMALL))
     config = seeding.group_config(cohorts.people, 3)
-    slots = seeding.init_medoids(cohorts.people, cohorts.profiles, config, keep=302).cache()
+    slots = seeding.init_medoids(cohorts.people, cohorts.profiles, config).cache()
     return cohorts, slots
 
 
@@ -71,11 +71,72 @@ def labels_of(plain, kind, column):
 def test_swap_jobs_match_a_plain_scan(small):
     cohorts, slots = small
     plain = plain_kmedoids(cohorts.profiles, slots, "manhattan", 3)
-    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3, local_profiles=0)
+    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 3)
     assert sorted((r.cohort_id, r.profile_id, r.slot) for r in labels.collect()) == labels_of(plain, LABEL, "label")
     assert sorted((r.cohort_id, r.slot, r.profile_id) for r in medoid.collect()) == labels_of(plain, CENTER, "medoid")
 
 
+@pytest.mark.parametrize("metric", ["manhattan", "euclidean", "gower"])
+def test_shares_of_one_cohort_agree(spark, monkeypatch, metric):
+    """Everybody in one cohort whose candidates are dealt to several tasks, against the plain loop."""
+    people = learners(spark, "/root/testdata/sf0.01").withColumn("row_id", F.col("cohort_id") * 1_000 + F.col("row_id")).withColumn("cohort_id", F.lit(1).cast("bigint"))
+    keys = FULL_KEYS if metric == "gower" else SKILL_KEYS
+    cohorts = prepare(people.where("row_id % 3 = 0") if metric == "gower" else people, keys)
+    slots = seeding.init_medoids(cohorts.people, cohorts.profiles, seeding.group_config(cohorts.people, 1, k=12), keys).cache()
+    monkeypatch.setattr(medoids, "SHARE_PROFILES", 40)
+    plain = plain_kmedoids(cohorts.profiles, slots, metric, 200)
+    labels, medoid = medoids.kmedoids(cohorts.profiles, slots, metric)
+    found = medoid.collect()
+    assert sorted((r.cohort_id, r.profile_id, r.slot) for r in labels.collect()) == labels_of(plain, LABEL, "label")
+    assert sorted((r.cohort_id, r.slot, r.profile_id) for r in found) == labels_of(plain, CENTER, "medoid")
+    assert {r.converged for r in found} == {True} and found[0].swaps > 3
+    _, cut = medoids.kmedoids(cohorts.profiles, slots, metric, 2)
+    assert {(r.swaps, r.converged) for r in cut.collect()} == {(2, False)}
+
+
+def test_given_distances(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows, matrices, seats = [], {}, []
+    for cohort, n in ((1, 40), (2, 9), (3, 2)):
+        d = rng.integers(1, 30, (n, n))
+        d = np.triu(d, 1) + np.triu(d, 1).T
+        matrices[cohort] = d
+        rows += [(cohort, 10 * j, 10 * i, int(d[i, j])) for i in range(n) for j in range(i)]
+        seats += [(cohort, s, 10 * s) for s in range(min(4, n))]
+    table = spark.createDataFrame(rows, "cohort_id bigint, id_a bigint, id_b bigint, dist bigint")
+    slots = spark.createDataFrame(seats, "cohort_id bigint, slot int, row_id bigint")
+    for share in (1024, 5):
+        monkeypatch.setattr(medoids, "SHARE_PROFILES", share)
+        labels, found = medoids.kmedoids_given(table.repartition(3), slots)
+        at = {(r.cohort_id, r.slot): r.row_id for r in found.collect()}
+        for cohort, d in matrices.items():
+            expected = scan(d, np.ones(len(d), int), list(range(min(4, len(d)))), 200)
+            assert [at[cohort, s] for s in range(len(expected))] == [10 * x for x in expected]
+            near = d[:, expected].argmin(axis=1)
+            assert {(r.row_id, r.slot) for r in labels.where(F.col("cohort_id") == cohort).collect()} == {(10 * i, int(s)) for i, s in enumerate(near)}
+    start, _ = medoids.kmedoids_given(table, slots, 0)
+    assert start.count() == 51
+
+
+@pytest.mark.parametrize("broken", ["id_a <> 10 OR id_b <> 0", "contradiction", "null", "negative"])
+def test_given_distances_are_checked(spark, broken):
+    rows = [(1, i, j, 5) for i in (0, 10, 20) for j in (0, 10, 20) if i > j]
+    table = spark.createDataFrame(rows, "cohort_id bigint, id_a bigint, id_b bigint, dist bigint")
+    extra = {"contradiction": (1, 0, 10, 6), "null": (1, 0, 10, None), "negative": (1, 30, 30, -1)}
+    table = table.where(broken) if broken not in extra else table.union(spark.createDataFrame([extra[broken]], table.schema))
+    with pytest.raises(ValueError, match="cohorts"):
+        medoids.both_ways(table)
+
+
+def test_many_slots_on_one_profile_all_come_back(spark, people):
+    cohorts = prepare(people([*[(i, "Male", 1.0, 1.0, 1.0, "Visual", "X") for i in range(9)], (9, "Male", 4.0, 4.0, 4.0, "Visual", "X")]))
+    slots = spark.createDataFrame([(1, s, 0) for s in range(8)], "cohort_id bigint, slot int, profile_id bigint")
+    _, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 2)
+    assert sorted((r.slot, r.profile_id) for r in found.collect()) == [(0, 9), *[(s, 0) for s in range(1, 8)]]
+    _, centers = lloyd.kmeans(cohorts.profiles, slots, "euclidean", 2)
+    assert centers.count() == 8
+
+
 @pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
 def test_mean_jobs_match_a_plain_loop(small, metric):
     cohorts, slots = small
@@ -93,9 +154,8 @@ def test_duplicate_medoids_and_empty_clusters(spark, people):
     assert {r.slot for r in labels.collect()} == {0}
     # The empty slot keeps the centroid of profile 0.
     assert {r.slot: r.centroid[0] for r in centers.collect()}[1] < 0
-    for local in (1024, 0):
-        labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200, local)
-        assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
+    labels, found = medoids.kmedoids(cohorts.profiles, slots, "manhattan", 200)
+    assert {(r.slot, r.profile_id) for r in found.collect()} == {(0, 3), (1, 0)}
 
 
 def test_one_cluster_and_as_many_as_people(people):
