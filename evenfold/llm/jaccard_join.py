@@ -365,7 +365,7 @@ def jaccard_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", l
         more = _open_pairs(stars, comp, sketches, like, block, forest).join(tried, ["a", "b"], "left_anti")
         more = work.write(more, f"tried{at}")
         if more.isEmpty():
-            break
+            continue  # a forest without untried pairs says nothing about the other pairs of its buckets
         tried = tried.unionByName(more)
         found = work.write(_linked(more, packed, like), f"links{at}")
         if not found.isEmpty():
