@@ -237,6 +237,22 @@ def pre_tokens(points: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
+def _told_apart(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, example: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans that only share a hash with their example become examples of their own."""
+    size, like = ends - starts, example[which]
+    differs = size != size[like]
+    rows = np.flatnonzero(~differs & (like != np.arange(len(like))))
+    for part in np.array_split(rows, max(1, int(size[rows].sum()) >> 20)):
+        n = size[part]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        unlike = buf[np.repeat(starts[part], n) + inside] != buf[np.repeat(starts[like[part]], n) + inside]
+        differs[np.repeat(part, n)[unlike]] = True
+    own = np.flatnonzero(differs)
+    which = which.copy()
+    which[own] = len(example) + np.arange(len(own))
+    return np.concatenate((example, own)), which
+
+
 class Encoder:
     """Encodes batches; remembers merged pre-tokens in two generations of bounded size."""
 
@@ -266,10 +282,11 @@ class Encoder:
         hashes = SpanHash(buf, seed=7)(starts, ends)
         found = self.v.find(hashes, buf, starts, ends)
         missing = np.flatnonzero(found < 0)
-        # Equal misses are encoded once: equal in two independent hashes and in length.
+        # Equal misses are encoded once: one example per hash, and one more for each that differs from it in a byte.
         other = SpanHash(buf, seed=11).raw(starts[missing], ends[missing])
         key = mix(hashes[missing]) ^ other
         _, example, which = np.unique(key, return_index=True, return_inverse=True)
+        example, which = _told_apart(buf, starts[missing], ends[missing], example, which)
         raw = buf.tobytes()
         lists = [self.merged(raw[a:b]) for a, b in zip(starts[missing[example]].tolist(), ends[missing[example]].tolist())]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))

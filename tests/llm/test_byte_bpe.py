@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -48,3 +49,17 @@ def test_odd_rows(spark, library):
     assert got == sorted(((r[0], r[1], library.encode_ordinary(r[1] or "")) for r in odd_rows()), key=repr)
     assert byte_bpe.digests(encoded, shared).count() == len(odd_rows())
     assert byte_bpe.digests(byte_bpe.encode(empty(spark), shared), shared).count() == 0
+
+
+def test_words_with_one_hash_get_their_own_ids():
+    """1,024 letters in the pattern of bit parity and with both letters swapped meet in any polynomial hash modulo a power of two."""
+    first = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = first.translate(str.maketrans("ab", "ba"))
+    ranks = byte_bpe.read_ranks(rank_file())
+    coder = byte_bpe.Encoder(byte_bpe.Vocabulary(ranks))
+    raw = [w.encode() for w in (first, other, first, f"{other} {first}")]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ids, at = coder.encode(buf, offs)
+    tokens = coder.v.tokens
+    assert [b"".join(tokens[i] for i in ids[a:b].tolist()) for a, b in zip(at, at[1:])] == raw
+    assert ids[at[0]:at[1]].tolist() == ids[at[2]:at[3]].tolist() != ids[at[1]:at[2]].tolist()
