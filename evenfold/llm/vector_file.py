@@ -49,15 +49,18 @@ class Cells:
     """Cells of equal width over each dimension's range."""
 
     def __init__(self, low: np.ndarray, high: np.ndarray, bits: int):
-        self.low, self.width = low, -((low - high - 1) // (1 << bits))
+        # A range may be wider than 63 bits: widths come from whole numbers of any size.
+        widths = [-((int(a) - int(b) - 1) // (1 << bits)) for a, b in zip(low.tolist(), high.tolist())]
+        self.low, self.width = low, np.array(widths, dtype=np.uint64)
         self.widest = np.maximum(-low.astype(np.float64), high)
 
     def encode(self, v: np.ndarray) -> np.ndarray:
-        return ((v - self.low) // self.width).astype(np.uint8)
+        return ((v.astype(np.uint64) - self.low.astype(np.uint64)) // self.width).astype(np.uint8)
 
     def middle(self, cells: np.ndarray) -> np.ndarray:
         """Middle of the integers in each cell; the farthest of them is (width - 1) / 2 away."""
-        return self.low + cells * self.width.astype(np.float64) + (self.width - 1) / 2
+        width = self.width.astype(np.float64)
+        return self.low + cells * width + (width - 1) / 2
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -89,7 +92,8 @@ def _blocks(vectors: DataFrame, dims: int, per_block: int, cells: Cells | None)
 
 def _bounds(pairs: DataFrame, dims: int, k: int, cells: Cells) -> DataFrame:
     """Scan block pairs; per query, the candidates that its own blocks cannot rule out."""
-    half = (cells.width - 1) / 2
+    half = (cells.width.astype(np.float64) - 1) / 2
+    edge = 2.0 ** 63  # scores are cut to 64 bits, so bounds are as well
 
     def run(batches):
         for batch in batches:
@@ -100,14 +104,17 @@ def _bounds(pairs: DataFrame, dims: int, k: int, cells: Cells) -> DataFrame:
                 score = q @ middle.T
                 # Wider than the rounding of the sums.
                 slack = np.abs(q) @ (half + cells.widest * 1e-12) + 1
-                score[q_id[:, None] == c_id[None, :]] = -np.inf
+                own = q_id[:, None] == c_id[None, :]
+                least = np.clip(score - slack[:, None], -edge, edge)
+                most = np.clip(score + slack[:, None], -edge, edge)
+                least[own] = -np.inf
                 best = min(k, score.shape[1])
                 # A block with a repeated id rules nothing out: k rows need not be k ids.
                 sure = best == k and len(np.unique(c_id)) == len(c_id)
-                kth = -np.partition(-score, best - 1, axis=1)[:, best - 1] - slack if sure else np.full(len(q), -np.inf)
-                row, col = np.nonzero((score + slack[:, None] >= kth[:, None]) & (score > -np.inf))
+                kth = -np.partition(-least, best - 1, axis=1)[:, best - 1] if sure else np.full(len(q), -np.inf)
+                row, col = np.nonzero((most >= kth[:, None]) & ~own)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_id[row]), pa.array(c_id[col]), pa.array(score[row, col] - slack[row]), pa.array(score[row, col] + slack[row])],
+                    [pa.array(q_id[row]), pa.array(c_id[col]), pa.array(least[row, col]), pa.array(most[row, col])],
                     names=["query_id", "vec_id", "low", "high"])
 
     return pairs.mapInArrow(run, "query_id long, vec_id long, low double, high double")
@@ -151,11 +158,12 @@ def top_k(df: DataFrame, queries: Column, k: int, id_column: str = "vec_id", vec
                     at, best = q_id[i], []
                 if len(best) == k and bound[i] < best[-1][0]:
                     continue  # bounds fall: nothing that follows can be better
-                s = sum(a * b for a, b in zip(q[i], v[i]))
+                s = max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(q[i], v[i]))))
                 keep.append(i)
-                score.append(max(-(1 << 63), min((1 << 63) - 1, s)))
+                score.append(s)
                 known = [b for b in best if b[1] == c_id[i]]
-                best = sorted([*(b for b in best if b[1] != c_id[i]), max([(s, c_id[i]), *known])], reverse=True)[:k]
+                # Of equal scores the smaller id is the better one.
+                best = sorted([*(b for b in best if b[1] != c_id[i]), max([(s, c_id[i]), *known])], key=lambda b: (-b[0], b[1]))[:k]
             yield pa.RecordBatch.from_arrays([pa.array(q_id[keep]), pa.array(c_id[keep]), pa.array(score, pa.int64())], names=["query_id", "vec_id", "score"])
 
     exact = read.repartition("query_id").sortWithinPartitions("query_id", F.desc("high")).mapInArrow(refine, "query_id long, vec_id long, score long")
