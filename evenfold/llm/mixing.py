@@ -122,7 +122,8 @@ def mix(df: DataFrame, sources: Column, text: str = "text", id_column: str = "do
         s.isNull().alias("nil"), F.coalesce(s, F.lit("")).alias("name"))))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), pattern.alias("pattern"),
                      count_words(F.col(f"`{text}`")).alias("size"),
-                     F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")))).alias("seat"))
+                     F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(f"`{id_column}`").cast("string"), F.lit("")),
+                                       F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))))).alias("seat"))
     cells = [F.conv(F.substring("seat", 1 + 3 * k, 3), 16, 10).cast("int") for k in range(2)]
     sized = rows.select("pattern", "size", "seat", *[c.alias(f"cell{k}") for k, c in enumerate(cells)])
     totals = sized.groupBy("pattern").agg(F.sum("size").alias("tokens"))

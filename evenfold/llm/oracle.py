@@ -9,7 +9,7 @@ SPACE = " || ".join(f"chr({k})" for k in (32, 9, 10, 11, 12, 13))
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 OP2 = rf"""
-WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS seat FROM documents),
+WITH d AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size, md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS seat FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3 + 1)::INT] AS weight,
   row_number() OVER (ORDER BY source IS NULL, encode(source)) AS seq FROM s),

@@ -118,3 +118,24 @@ def test_vectors_against_all_pairs(spark):
     got = vector_file.top_k(df, F.col("vec_id") % 50 == 0, 5, vectors_per_block=64, queries_per_block=4)
     assert sorted(map(tuple, got.collect())) == sorted(expected)
     assert vector_file.top_k(df.limit(0), F.col("vec_id") % 50 == 0, 5).count() == 0
+
+
+def test_vectors_of_the_whole_range(spark):
+    """Ranges wider than 63 bits, and scores that are cut: the best is found, ties go to the smaller id."""
+    rows = [(0, [1.0])] + [(i, [x]) for i, x in enumerate((4.7e18, -4.7e18, 3e18, 5.0, 4.6e18, 9.0, -7.0), 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vector_file.top_k(df, F.col("vec_id") % 50 == 0, 5, scale=1, vectors_per_block=2)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 5, 3, 6, 4]
+    rows = [(0, [4e9, 1.0])] + [(i, [4e9 + 40 - i, 0.0]) for i in range(1, 30)] + [(99, [-1.0, 0.0])]
+    got = vector_file.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 5, scale=1)
+    assert [(r["vec_id"], r["score"]) for r in got.orderBy("rank").collect()] == [(i, (1 << 63) - 1) for i in range(1, 6)]
+
+
+def test_mix_of_rows_without_ids(spark):
+    """Null ids are no common seat: a source of rows without ids meets its target, too."""
+    df = spark.createDataFrame([(None if i % 3 else i, " ".join(f"w{i}x{k}" for k in range(5)), "a" if i < 90 else "b") for i in range(200)],
+                               "doc_id long, text string, source string")
+    rows = mixing.mix(df, F.array("source")).select("source", "_mix.*").collect()
+    for source in ("a", "b"):
+        own = [r for r in rows if r["source"] == source]
+        assert abs(sum(r["times"] * r["size"] for r in own) - own[0]["target"]) <= 5
