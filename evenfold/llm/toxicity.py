@@ -35,10 +35,13 @@ SAMPLE_ROWS = 6_000
 LANDMARKS = 192
 DECAY, SPAN, WIDEST = 0.85, 6, 40
 BEGIN, END = 62, 63
+#: Three symbols of six bits.
+CODES = 1 << 18
 NO_WORD = -3.0
 #: One string's weight in training stops here, which keeps the descent well conditioned.
 MOST_WEIGHT = 30.0
 SHARPNESS = 4.0
+ALONE = 0.25
 
 
 def _alphabet() -> np.ndarray:
@@ -152,17 +155,38 @@ def summed(value: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
     return np.stack((top, top + np.log(np.maximum(soft, 1e-9)) / SHARPNESS * (soft > 0)), axis=1)
 
 
-def _kernel(buf, starts, ends, landmarks: np.ndarray) -> np.ndarray:
-    """Kernel values of strings with landmarks, given the landmarks' dense subsequence weights."""
-    used = np.flatnonzero(landmarks.any(axis=0))
-    place = np.full(landmarks.shape[1], len(used), dtype=np.int64)
-    place[used] = np.arange(len(used))
-    columns = np.vstack((landmarks[:, used].T, np.zeros((1, len(landmarks))))).astype(np.float32)
-    out = np.zeros((len(starts), len(landmarks)))
-    for part, code, weight in subsequences(buf, starts, ends):
-        for s in range(0, len(part), 250):
-            out[part[s:s + 250]] = np.einsum("wt,wtm->wm", weight[s:s + 250].astype(np.float32), columns[place[code[s:s + 250]]])
-    return out
+@dataclass(frozen=True)
+class Landmarks:
+    """Subsequence weights of the landmarks, as columns of the codes that occur in any of them."""
+
+    codes: np.ndarray
+    weights: np.ndarray
+
+    @classmethod
+    def of(cls, buf, starts, ends) -> Landmarks:
+        found = [(part, code, weight) for part, code, weight in subsequences(buf, starts, ends)]
+        codes = np.unique(np.concatenate([code.ravel() for _, code, _ in found]))
+        dense = np.zeros((len(starts), len(codes)))
+        for part, code, weight in found:
+            np.add.at(dense, (part[:, None], np.searchsorted(codes, code)), weight)
+        return cls(codes, dense)
+
+    def kernel(self, buf, starts, ends) -> np.ndarray:
+        """Kernel values of strings with the landmarks."""
+        place = np.full(CODES, len(self.codes), dtype=np.int32)
+        place[self.codes] = np.arange(len(self.codes))
+        columns = np.vstack((self.weights.T, np.zeros((1, len(self.weights))))).astype(np.float32)
+        out = np.zeros((len(starts), len(self.weights)))
+        for part, code, weight in subsequences(buf, starts, ends):
+            for s in range(0, len(part), 250):
+                out[part[s:s + 250]] = np.einsum("wt,wtm->wm", weight[s:s + 250].astype(np.float32), columns[place[code[s:s + 250]]])
+        return out
+
+    def spread(self, function: np.ndarray) -> np.ndarray:
+        """One weight per subsequence from one per landmark."""
+        table = np.zeros(CODES)
+        table[self.codes] = function @ self.weights
+        return table
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 500) -> np.ndarray:
@@ -209,7 +233,7 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
     """Fit on (text, 1 toxic / 0 clean). Without both labels every text scores as the only label seen."""
     y = np.array([label for _, label in examples])
     if not len(y) or y.min() == y.max():
-        return Machine(np.zeros(1 << 18), 0.0, (0.0, 0.0, 4.0 if len(y) and y.min() else -4.0))
+        return Machine(np.zeros(CODES), 0.0, (0.0, 0.0, 4.0 if len(y) and y.min() else -4.0))
     whole, offs = utf8(pa.array([t for t, _ in examples], pa.string()))
     buf, a, b, row, which = _strings(whole, offs)
     toxic, clean = y.sum(), len(y) - y.sum()
@@ -221,10 +245,8 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
     strong = strong[tie[strong] > 0]
     common = np.argsort(-neg, kind="stable")[:landmarks - len(strong)]
     chosen = np.concatenate((strong, common[~np.isin(common, strong)]))
-    dense = np.zeros((len(chosen), 1 << 18))
-    for part, code, weight in subsequences(buf, a[chosen], b[chosen]):
-        np.add.at(dense, (part[:, None], code), weight)
-    own = _kernel(buf, a[chosen], b[chosen], dense)
+    marks = Landmarks.of(buf, a[chosen], b[chosen])
+    own = marks.kernel(buf, a[chosen], b[chosen])
     values, vectors = np.linalg.eigh((own + own.T) / 2)
     root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-3))) @ vectors.T
 
@@ -243,20 +265,21 @@ def train(examples: list[tuple[str, int]], landmarks: int = LANDMARKS, rounds: i
     machine = None
     for at in range(rounds):
         witness, times = np.unique(worst_of(value, bad), return_counts=True)
-        fit = value[witness] > (0 if at == 0 else -0.5)  # texts without a likely string teach nothing
-        witness, times = witness[fit], times[fit]
+        # Texts without a likely string teach nothing; the choice of a single text may be a chance word of it and counts less.
+        fit = value[witness] > (0 if at == 0 else -0.5)
+        witness, times = witness[fit], np.where(times[fit] > 1, times[fit], ALONE)
         if not len(witness):
             break
         against = np.unique(np.concatenate((against, worst_of(value, ~bad), witness[in_clean[witness] > 0])))
         mine = np.concatenate((witness, against))
-        x = _kernel(buf, a[mine], b[mine], dense) @ root
+        x = marks.kernel(buf, a[mine], b[mine]) @ root
         sign = np.concatenate((np.ones(len(witness)), -np.ones(len(against))))
         weight = np.concatenate((times * clean / toxic, in_clean[against]))
         w = _hinge(x, sign, np.minimum(weight, MOST_WEIGHT))
-        machine = Machine((root @ w[:-1]) @ dense, float(w[-1]), (0.0, 0.0, 0.0))
+        machine = Machine(marks.spread(root @ w[:-1]), float(w[-1]), (0.0, 0.0, 0.0))
         value = machine.strings(buf, a, b)
     if machine is None:
-        return Machine(np.zeros(1 << 18), 0.0, (0.0, 0.0, float(np.log(toxic / clean))))
+        return Machine(np.zeros(CODES), 0.0, (0.0, 0.0, float(np.log(toxic / clean))))
     summary = [machine.summary(whole[offs[s]:offs[e]], offs[s:e + 1] - offs[s]) for s, e in pieces(offs)]
     curve = logistic(np.concatenate(summary), y.astype(np.float64))
     return Machine(machine.table.astype(np.float32), machine.bias, curve)
