@@ -527,6 +527,11 @@ def oracle_sql() -> dict[str, str]:
         f", CASE WHEN bool_or({any_null}) THEN 'Data contains missing values.' END], lambda x: x IS NOT NULL)"
     sql = {
         "load_people": _all(_CORE_PEOPLE, "dirty"),
+        "load_people_broken": _with("""SELECT CASE WHEN reason IS NULL OR row_id % 17 <> 3 THEN cohort_id END AS cohort_id, row_id,
+            CASE WHEN reason IS NULL THEN CASE WHEN row_id % 13 = 5 THEN 'Ann "A", ' || Name WHEN row_id % 23 = 6 THEN 'two' || chr(10) || Name ELSE Name END END AS Name,
+            CASE WHEN reason IS NULL THEN Diversity END AS Diversity, reason
+          FROM (SELECT *, CASE WHEN row_id % 19 = 4 OR row_id % 29 = 7 THEN 'wrong number of fields'
+            WHEN row_id % 17 = 3 THEN 'cohort_id is no whole number' END AS reason FROM dirty)""", "dirty"),
         "validate_people": _with(f"""SELECT cohort_id, len(errors) = 0 AS is_valid, array_to_string(errors, ' | ') AS errors
           FROM (SELECT cohort_id, {errors} AS errors FROM dirty GROUP BY cohort_id)""", "dirty"),
         "missing_values": _with(" UNION ALL ".join(

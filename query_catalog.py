@@ -23,7 +23,7 @@ from evenfold.plans.report import group_assignments, report_lines
 from evenfold.plans.tournament import tournament
 from evenfold.session import checkpoint, shared_dir
 from evenfold.sources.learners import learners, learners_dirty
-from evenfold.sources.people import read_people, read_people_csv
+from evenfold.sources.people import read_people, read_people_csv, split_people_csv
 
 SIZE = 10
 N_GROUPS = 5
@@ -103,6 +103,26 @@ def load_people(spark: SparkSession, sf: str) -> DataFrame:
     return read_people_csv(spark, path)
 
 
+def load_broken(spark: SparkSession, sf: str) -> DataFrame:
+    """Hand-made CSV lines with quotes, line ends, bad keys and wrong numbers of fields: kept people and rejected records."""
+    names = ("cohort_id", "row_id", "Name", "Gender", "Motivation", "Self_Esteem", "Work_Ethic", "Learning_Style", "Diversity")
+    row = F.col("row_id")
+    name = F.when(row % 13 == 5, F.concat(F.lit('"Ann ""A"", '), "Name", F.lit('"'))).when(
+        row % 23 == 6, F.concat(F.lit('"two\n'), "Name", F.lit('"'))).otherwise(F.col("Name"))
+    key = F.when(row % 17 == 3, F.lit("abc")).otherwise(F.col("cohort_id").cast("string"))
+    rest = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in names[3:]])
+    line = F.when(row % 19 == 4, F.concat_ws(",", key, row.cast("string"), name)).when(
+        row % 29 == 7, F.concat_ws(",", key, row.cast("string"), name, rest, F.lit("more"))).otherwise(
+        F.concat_ws(",", key, row.cast("string"), name, rest))
+    path = f"{shared_dir(spark)}/people-{uuid.uuid4().hex}"
+    learners_dirty(spark, sf).select(line.alias("value")).write.text(path)
+    people, rejected = split_people_csv(spark, path, columns=names)
+    kept = people.select("cohort_id", "row_id", "Name", "Diversity", F.lit(None).cast("string").alias("reason"))
+    bad = rejected.select(F.expr("try_cast(cohort_key AS BIGINT)").alias("cohort_id"), F.col("row_key").cast("bigint").alias("row_id"),
+                          F.lit(None).cast("string").alias("Name"), F.lit(None).cast("string").alias("Diversity"), "reason")
+    return kept.unionByName(bad)
+
+
 def validate(spark: SparkSession, sf: str) -> DataFrame:
     verdicts = quality.validate_people(read_people(learners_dirty(spark, sf)))
     return verdicts.withColumn("errors", F.array_join("errors", " | "))
@@ -453,6 +473,7 @@ def compare(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "load_people": load_people,
+    "load_people_broken": load_broken,
     "validate_people": validate,
     "missing_values": missing,
     "quarantined_people": quarantined,

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from evenfold.functions.text import title_case
 from evenfold.operators.normalize import normalize_people
 from evenfold.operators.quality import missing_values, split_usable, validate_people
-from evenfold.sources.people import read_people, read_people_csv, require_columns
+from evenfold.sources.people import read_people, read_people_csv, require_columns, split_people_csv
+from evenfold.sources.sinks import write_comparison
 from tests.conftest import plain
 
 
@@ -83,3 +84,27 @@ def test_nobody_is_lost(people):
     assert usable.count() + quarantine.count() == everybody.count() == 11
     assert {r.reason for r in quarantine.collect()} == {"cohort_id is missing", "row_id is repeated"}
     assert generate_groups(everybody, 4).assignments.count() == usable.count() == 8
+
+
+def test_broken_csv_records_are_set_aside(spark, tmp_path):
+    head = "cohort_id,row_id,Name,Gender,Motivation,Self_Esteem,Work_Ethic,Learning_Style,Diversity\n"
+    lines = ['1,0,"Ann ""A"" B",F,1,2,3,Visual,X', '1,1,"two\nlines, one name",M,1,2,3,Visual,X', "abc,2,Bad,F,1,2,3,Visual,X", "1,x,Bad,F,1,2,3,Visual,X",
+             "1,4,Short,F", "1,5,Long,F,1,2,3,Visual,X,more,more", " 1 , 6 ,Blank keys,F,1,2,3,Visual,X", "1,99999999999999999999,Wide,F,1,2,3,Visual,X"]
+    (tmp_path / "people.csv").write_text(head + "\n".join(lines) + "\n")
+    people, rejected = split_people_csv(spark, str(tmp_path / "people.csv"))
+    assert sorted((r.row_id, r.Name) for r in people.collect()) == [(0, 'Ann "A" B'), (1, "two\nlines, one name"), (6, "Blank keys")]
+    # Reading fewer columns finds the same records.
+    assert people.select("row_id").count() == 3 and rejected.select("reason").count() == 5
+    found = {r.row_key: r for r in rejected.collect()}
+    assert {k: r.reason.split(" ")[0] for k, r in found.items()} == {
+        "2": "cohort_id", "x": "row_id", "4": "wrong", "5": "wrong", "99999999999999999999": "row_id"}
+    assert found["4"].record == "1,4,Short,F" and found["2"].file.endswith("people.csv") and found["2"].record.startswith("abc,2,Bad")
+    plain = read_people_csv(spark, str(tmp_path / "people.csv"))
+    assert plain.count() == 3 and plain.columns == people.columns
+
+
+def test_comparison_sink(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "K-Means", "0.5000"), (2, "K-Medoids", None)], "cohort_id bigint, Algorithm string, `Silhouette Score` string")
+    write_comparison(rows, str(tmp_path / "table"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "table"))
+    assert back.columns == rows.columns and sorted(r[1] for r in back.collect()) == ["K-Means", "K-Medoids"]
