@@ -237,6 +237,38 @@ _cte("medoid_near", """SELECT m.cohort_id, d.i, arg_min(m.slot, (d.d, m.slot)) A
      "first_medoids", "dist_l1")
 
 
+# --- principal axes as projections --------------------------------------------------------
+def _axis(name: str, matrix: str) -> None:
+    """``name``: (cohort_id, i, j, v) of the projection on the leading axis of ``matrix``, by squaring it again and again."""
+    _cte(f"{name}_loop", f"""
+  SELECT cohort_id, 0 AS r, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY cohort_id) AS v FROM {matrix}
+  UNION ALL
+  SELECT * FROM (
+    WITH cur AS (SELECT * FROM {name}_loop WHERE r < 30),
+    squared AS (SELECT a.cohort_id, a.r + 1 AS r, a.i, b.j, sum(a.v * b.v) AS v FROM cur a
+      JOIN cur b ON b.cohort_id = a.cohort_id AND b.i = a.j GROUP BY a.cohort_id, a.r, a.i, b.j)
+    SELECT cohort_id, r, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY cohort_id) FROM squared)""", matrix)
+    _cte(name, f"SELECT cohort_id, i, j, v FROM {name}_loop WHERE r = 30", f"{name}_loop")
+
+
+_cte("covariances", """SELECT a.cohort_id, a.pos AS i, b.pos AS j, covar_samp(a.z, b.z) AS v
+  FROM features a JOIN features b ON a.cohort_id = b.cohort_id AND a.row_id = b.row_id GROUP BY ALL""", "features")
+_axis("axis1", "covariances")
+_cte("values1", "SELECT cohort_id, sum(p.v * c.v) AS value FROM axis1 p JOIN covariances c USING (cohort_id, i, j) GROUP BY ALL", "axis1", "covariances")
+_cte("deflated", """SELECT c.cohort_id, c.i, c.j, c.v - value * p.v AS v FROM covariances c JOIN axis1 p USING (cohort_id, i, j)
+  JOIN values1 USING (cohort_id)""", "covariances", "axis1", "values1")
+_axis("axis2", "deflated")
+_cte("explained", """SELECT cohort_id, (any_value(value) + sum(q.v * c.v)) / sum(CASE WHEN i = j THEN c.v END) AS explained
+  FROM covariances c JOIN axis2 q USING (cohort_id, i, j) JOIN values1 USING (cohort_id) GROUP BY cohort_id""", "covariances", "axis2", "values1")
+
+
+def _squared(points: str, keys: str, value: str) -> str:
+    """Squared positions of ``points`` (one row per place ``pos``) on both axes."""
+    return f"""SELECT {keys}, {_r6(f"sum(a.{value} * p.v * b.{value})")} AS pc1_squared, {_r6(f"sum(a.{value} * q.v * b.{value})")} AS pc2_squared
+  FROM {points} a JOIN {points} b USING ({keys}) JOIN axis1 p ON p.cohort_id = a.cohort_id AND p.i = a.pos AND p.j = b.pos
+  JOIN axis2 q ON q.cohort_id = a.cohort_id AND q.i = a.pos AND q.j = b.pos GROUP BY {keys}"""
+
+
 # --- equal sizes --------------------------------------------------------------------------
 def _sized(name: str, labels: str, gap: str | None, size: int = SIZE) -> None:
     """``name``: (cohort_id, row_id, group_id); ``name_core``, ``name_centers`` on the way."""
@@ -549,6 +581,12 @@ def oracle_sql() -> dict[str, str]:
         "feature_covariance": _with(f"""SELECT a.cohort_id, a.pos AS i, b.pos AS j, {_r6("covar_samp(a.z, b.z)")} AS value
           FROM features a JOIN features b ON a.cohort_id = b.cohort_id AND a.row_id = b.row_id
           GROUP BY a.cohort_id, a.pos, b.pos""", "features"),
+        "pca_squares": _with(f"""SELECT cohort_id, row_id AS profile_id, n AS weight, pc1_squared, pc2_squared, {_r6("explained")} AS explained
+          FROM ({_squared("features", "cohort_id, row_id", "z")}) JOIN explained USING (cohort_id)
+          JOIN (SELECT cohort_id, min(row_id) AS row_id, count(*) AS n FROM people GROUP BY cohort_id, {_SKILL}) USING (cohort_id, row_id)""",
+          "features", "axis1", "axis2", "explained", "people"),
+        "pca_centroids": _with(f"""SELECT cohort_id, group_id, n AS people, pc1_squared, pc2_squared
+          FROM ({_squared("st_centers", "cohort_id, group_id, n", "c")})""", "st_centers", "axis1", "axis2"),
         # fixed labels
         "cluster_sizes": _all("cohort_id, group_id, size", "st_groups"),
         "gender_breakdown": _with("""SELECT cohort_id, group_id, Gender AS category, count(*) AS n FROM stripe

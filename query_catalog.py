@@ -178,6 +178,26 @@ def pca_2d(spark: SparkSession, sf: str) -> DataFrame:
         "cohort_id", "profile_id", "weight", r6("pc1").alias("pc1"), r6("pc2").alias("pc2"), r6("explained").alias("explained"))
 
 
+def _squares(points: DataFrame, axes: DataFrame, vector: str, *columns: str) -> DataFrame:
+    """Squared positions on both axes, which no choice of signs changes."""
+    return projection.project_2d(points, axes, vector).select(
+        "cohort_id", *columns, *[r6(F.col(pc) * F.col(pc)).alias(f"{pc}_squared") for pc in ("pc1", "pc2")])
+
+
+def pca_squares(spark: SparkSession, sf: str) -> DataFrame:
+    profiles = encode(_people(spark, sf))
+    axes = checkpoint(projection.principal_axes(profiles))
+    shown = axes.groupBy("cohort_id").agg(r6(F.sum("explained")).alias("explained"))
+    return _squares(profiles, axes, "features", "profile_id", "weight").join(shown, "cohort_id")
+
+
+def pca_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """The centroids of the groups on the axes of their cohort."""
+    labelled, cohorts = _stripe(spark, sf)
+    centers = separation.label_centroids(separation.group_profiles(labelled), cohorts.profiles)
+    return _squares(centers, projection.principal_axes(cohorts.profiles), "centroid", "group_id", "people")
+
+
 # --- scores of fixed labellings -------------------------------------------------------------
 
 def sizes(spark: SparkSession, sf: str) -> DataFrame:
@@ -486,6 +506,8 @@ QUERIES: dict[str, Query] = {
     "pairwise_gower": pairwise("gower"),
     "feature_covariance": covariance,
     "pca_2d": pca_2d,
+    "pca_squares": pca_squares,
+    "pca_centroids": pca_centroids,
     "cluster_sizes": sizes,
     "gender_breakdown": breakdown("Gender"),
     "diversity_breakdown": breakdown("Diversity"),

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenfold.operators import lloyd, medoids, seeding
+from evenfold.operators import lloyd, medoids, projection, seeding
 from evenfold.operators.joins import join_by_weight
 from evenfold.operators.profiles import FULL_KEYS, SKILL_KEYS, encode
 from evenfold.operators.ranking import rank_in_cohort
@@ -197,6 +197,30 @@ def test_global_fit_uses_all_cohorts(people):
     assert abs(mean) < 1e-9 and out.select("cohort_id").distinct().count() == 2
 
 
+def test_principal_axes_are_eigenvectors(spark, small, people):
+    cohorts, _ = small
+    profiles = cohorts.profiles.unionByName(encode(people(plain(4, start=900), cohort=99).withColumn("Self_Esteem", F.lit(1.0)).withColumn(
+        "Motivation", F.lit(1.0))))  # a cohort without any variance
+    found = {(r.cohort_id, r.component): r for r in projection.principal_axes(profiles).collect()}
+    cells = projection.feature_covariance(profiles).toPandas()
+    for cohort, own in cells.groupby("cohort_id"):
+        n = own["i"].max() + 1
+        matrix = np.zeros((n, n))
+        matrix[own["i"], own["j"]] = own["value"]
+        values, vectors = np.linalg.eigh(matrix)
+        if cohort == 99:
+            assert found[cohort, 0].explained == found[cohort, 1].explained == 0 and not any(found[cohort, 0].axis)
+            continue
+        for component in (0, 1):
+            axis, r = vectors[:, -1 - component], found[cohort, component]
+            axis = axis * (1 if axis[np.abs(axis).argmax()] > 0 else -1)
+            assert r.explained == pytest.approx(values[-1 - component] / values.sum())
+            if values[-1 - component] - values[-2 - component] > 1e-6 * values[-1]:
+                assert np.abs(r.axis) == pytest.approx(np.abs(axis), abs=1e-7)
+    shown = projection.project_2d(profiles.where("cohort_id <> 99"), projection.principal_axes(profiles)).agg(F.sum(F.col("weight") * F.col("pc1"))).first()[0]
+    assert abs(shown) < 1e-6
+
+
 def test_unknown_metric_fails(people):
     cohorts = prepare(people(plain(3)))
     with pytest.raises(ValueError, match="unknown metric"):

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from evenfold.operators import balance, locking, medoids, separation
+from evenfold.operators import balance, locking, medoids, projection, separation
 from evenfold.operators.distances import profile_distances
 from evenfold.plans.cohorts import clean, prepare
 from evenfold.sources.learners import learners
@@ -25,9 +25,10 @@ def test_no_operator_needs_one_partition_or_a_cross_join(spark):
         medoids.swap_parts(near, "manhattan"),
         locking.gender_isolation(labelled),
         balance.cluster_balance(labelled),
+        projection.principal_axes(cohorts.profiles),
     ):
         plan = physical(df)
-        for word in ("SinglePartition", "CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
+        for word in ("SinglePartition", "CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas", "MapInArrow"):
             assert word not in plan
 
 
