@@ -1,7 +1,7 @@
 """Text of Arrow batches as bytes in numpy: words, hashes of any span, bounded pieces.
 
-Strings are read in place from the Arrow buffers. A span is hashed from prefix sums of
-``table[byte] * base ** position`` modulo 2**64, so the hash of any span costs two look-ups.
+Strings are read in place from the Arrow buffers. A span is hashed from prefix sums over pairs of neighbouring
+bytes times ``base ** position``, modulo 2**64, so the hash of any span costs a few look-ups.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=32)
 def _byte_table(seed: int, lower: bool) -> np.ndarray:
     table = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     if lower:
@@ -74,20 +74,36 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class SpanHash:
-    """Hashes of spans of one buffer."""
+    """Hashes of spans of one buffer.
+
+    The summand of a position is the product of two table entries, of its byte and of the next one. Were it a function of one
+    byte alone, two letters in the pattern of bit parity and the same letters swapped would meet for every
+    base and every table, because that pattern's sum is divisible by each power of two from some length on. The last byte
+    of a span, whose successor is outside, is added by itself.
+    """
 
     def __init__(self, buf: np.ndarray, seed: int = 1, lower: bool = False):
-        powers, self.inverse = _powers(len(buf) + 1)
+        self.powers, self.inverse = _powers(len(buf) + 1)
+        table = _byte_table(seed, lower)
+        self.last = table[buf]
         self.prefix = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_byte_table(seed, lower)[buf] * powers[:len(buf)], out=self.prefix[1:])
+        if len(buf):
+            pairs = _byte_table(seed + 1_000_003, lower)[buf]
+            pairs[:-1] *= self.last[1:]
+            pairs *= self.powers[:len(buf)]
+            np.cumsum(pairs, out=self.prefix[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        raw = (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
-        return mix(raw + (ends - starts).astype(np.uint64))
+        return mix(self.raw(starts, ends) + (ends - starts).astype(np.uint64))
 
     def raw(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Equal for equal spans of equal length; not spread."""
-        return (self.prefix[ends] - self.prefix[starts]) * self.inverse[starts]
+        if not len(self.last):
+            return np.zeros(len(starts), dtype=np.uint64)
+        final = np.maximum(ends - 1, starts)
+        out = (self.prefix[final] - self.prefix[starts]) * self.inverse[starts]
+        at = np.minimum(final, len(self.last) - 1)
+        return out + np.where(ends > starts, self.last[at] * self.powers[final - starts], np.uint64(0))
 
 
 _IS_WORD = np.ones(256, dtype=bool)

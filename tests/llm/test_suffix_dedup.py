@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evenfold.llm.suffix_dedup import _contexts, _indexed, _packed, _repeated, _row_anchors, digest, remove_repeats, repeated_spans
 from evenfold.llm.tables import Workspace
+from evenfold.llm.spans import SpanHash
 from tests.llm.brute import suffix_digest
 
 
@@ -93,3 +94,22 @@ def test_grams_frequent_in_one_text_are_heavy(spark):
     for segment in (300, 1 << 22):
         got = {r["doc_id"]: tuple(r)[1:] for r in digest(remove_repeats(df, group_limit=20, segment=segment)).collect()}
         assert [got[i] for i in range(len(texts))] == expected
+
+
+def test_texts_that_fool_polynomial_hashes_stay(spark):
+    """Letters in the pattern of bit parity, and swapped: different texts without a repeat of 400 bytes."""
+    first = "".join("ab"[k.bit_count() % 2] for k in range(2048))
+    texts = [first, first.translate(str.maketrans("ab", "ba")), "x" * 50 + first[:300] + "y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in digest(remove_repeats(rows)).collect()}
+    assert [got[i] for i in range(3)] == suffix_digest(texts)
+
+
+def test_spans_of_one_buffer_hash_alike_only_if_equal():
+    rng = np.random.default_rng(1)
+    buf = rng.integers(97, 100, 400).astype(np.uint8)
+    starts = rng.integers(0, 400, 3000)
+    ends = np.minimum(400, starts + rng.integers(0, 9, 3000))
+    names = SpanHash(buf, seed=3)(starts, ends).tolist()
+    raw = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
+    assert len(set(zip(names, raw))) == len(set(names)) == len(set(raw))
