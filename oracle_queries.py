@@ -155,28 +155,28 @@ _cte("centroid_update", """SELECT a.cohort_id, a.slot, f.pos, CAST(round(sum(f.q
 
 
 # --- round loops as recursive queries -----------------------------------------------------
-def _lloyd(name: str, gap: str, slots: str, cap: int = 300) -> None:
-    """``name``: final (cohort_id, row_id, label)."""
+def _lloyd(name: str, gap: str, slots: str, cap: int = 300, of: str = "") -> None:
+    """``name``: final (cohort_id, row_id, label); ``of``: what the names of the points' tables begin with."""
     _cte(f"{name}_loop", f"""
   SELECT s.cohort_id, 0 AS r, CAST([] AS INT[]) AS labels, list(v.q ORDER BY s.slot) AS centres, true AS active
-  FROM {slots} s JOIN vectors v USING (cohort_id, row_id) GROUP BY s.cohort_id
+  FROM {slots} s JOIN {of}vectors v USING (cohort_id, row_id) GROUP BY s.cohort_id
   UNION ALL
   SELECT * FROM (
     WITH cur AS (SELECT * FROM {name}_loop WHERE active AND r < {cap}),
     seats AS (SELECT cohort_id, unnest(range(len(centres))) AS slot, unnest(centres) AS q FROM cur),
     near AS (SELECT v.cohort_id, v.row_id, CAST(arg_min(c.slot, ({gap}, c.slot)) AS INT) AS slot
-      FROM vectors v JOIN seats c ON c.cohort_id = v.cohort_id GROUP BY v.cohort_id, v.row_id),
+      FROM {of}vectors v JOIN seats c ON c.cohort_id = v.cohort_id GROUP BY v.cohort_id, v.row_id),
     fresh AS (SELECT cohort_id, list(slot ORDER BY row_id) AS labels FROM near GROUP BY cohort_id),
     sums AS (SELECT n.cohort_id, n.slot, f.pos, CAST(round(sum(f.q) / count(*)) AS BIGINT) AS m
-      FROM near n JOIN features f USING (cohort_id, row_id) GROUP BY n.cohort_id, n.slot, f.pos),
+      FROM near n JOIN {of}features f USING (cohort_id, row_id) GROUP BY n.cohort_id, n.slot, f.pos),
     means AS (SELECT cohort_id, slot, list(m ORDER BY pos) AS q FROM sums GROUP BY cohort_id, slot),
     moved AS (SELECT s.cohort_id, list(coalesce(m.q, s.q) ORDER BY s.slot) AS centres
       FROM seats s LEFT JOIN means m USING (cohort_id, slot) GROUP BY s.cohort_id)
     SELECT c.cohort_id, c.r + 1, f.labels, m.centres, f.labels <> c.labels
-    FROM cur c JOIN fresh f USING (cohort_id) JOIN moved m USING (cohort_id))""", slots, "vectors", "features")
-    _cte(name, f"""SELECT n.cohort_id, n.row_id, l.labels[n.nth] AS label FROM numbered n JOIN (
+    FROM cur c JOIN fresh f USING (cohort_id) JOIN moved m USING (cohort_id))""", slots, f"{of}vectors", f"{of}features")
+    _cte(name, f"""SELECT n.cohort_id, n.row_id, l.labels[n.nth] AS label FROM {of}numbered n JOIN (
     SELECT cohort_id, arg_max(labels, r) AS labels FROM {name}_loop GROUP BY cohort_id) l USING (cohort_id)""",
-         f"{name}_loop", "numbered")
+         f"{name}_loop", f"{of}numbered")
 
 
 def _pam(name: str, dist: str, slots: str, cap: int = 200) -> None:
@@ -487,6 +487,37 @@ _scores("four", {
 })
 
 
+# --- any vectors: all embeddings as one cohort ---------------------------------------------
+VECTOR_GROUPS = 6
+_cte("vec_vectors", """SELECT CAST(0 AS BIGINT) AS cohort_id, vec_id AS row_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS z,
+    list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT)) AS q FROM embeddings""")
+_cte("vec_features", """SELECT cohort_id, row_id, label, unnest(range(len(q))) AS pos, unnest(z) AS z, unnest(q) AS q FROM vec_vectors""", "vec_vectors")
+_cte("vec_numbered", "SELECT cohort_id, row_id, row_number() OVER (PARTITION BY cohort_id ORDER BY row_id) AS nth FROM vec_vectors", "vec_vectors")
+_cte("vec_slots", f"""SELECT cohort_id, CAST(row_number() OVER (PARTITION BY cohort_id ORDER BY
+      (row_id % 2147483648 * 2654435761 + {SEED * 40503}) % 4294967296, row_id) - 1 AS INT) AS slot, row_id
+    FROM vec_vectors QUALIFY slot < {VECTOR_GROUPS}""", "vec_vectors")
+_lloyd("vec_means", _GAP2, "vec_slots", of="vec_")
+_cte("vec_sizes", "SELECT label, count(*) AS size FROM vec_vectors GROUP BY label", "vec_vectors")
+_cte("vec_reach", """SELECT a.row_id, a.label AS own, b.label AS other, sum(list_distance(a.z, b.z)) AS total
+    FROM vec_vectors a JOIN vec_vectors b USING (cohort_id) GROUP BY a.row_id, a.label, b.label""", "vec_vectors")
+_cte("vec_silhouette", """SELECT avg(CASE WHEN size = 1 THEN 0.0 WHEN greatest(a, b) = 0 THEN 0.0 ELSE (b - a) / greatest(a, b) END) AS silhouette
+    FROM (SELECT row_id, max(CASE WHEN own = other THEN s.size END) AS size,
+        max(CASE WHEN own = other AND s.size > 1 THEN total / (s.size - 1) ELSE 0.0 END) AS a, min(CASE WHEN own <> other THEN total / s.size END) AS b
+      FROM vec_reach r JOIN vec_sizes s ON s.label = r.other GROUP BY row_id)""", "vec_reach", "vec_sizes")
+_cte("vec_centers", """SELECT label, list(c ORDER BY pos) AS c FROM (
+    SELECT label, pos, avg(z) AS c FROM vec_features GROUP BY label, pos) GROUP BY label""", "vec_features")
+_cte("vec_spread", """SELECT v.label, avg(list_distance(v.z, c.c)) AS s, sum(list_distance(v.z, c.c) ** 2) AS ss
+    FROM vec_vectors v JOIN vec_centers c USING (label) GROUP BY v.label""", "vec_vectors", "vec_centers")
+_cte("vec_db", """SELECT avg(worst) AS davies_bouldin FROM (
+    SELECT a.label, max(CASE WHEN list_distance(a.c, b.c) = 0 THEN 0.0 ELSE (x.s + y.s) / list_distance(a.c, b.c) END) AS worst
+    FROM vec_centers a JOIN vec_centers b ON a.label <> b.label JOIN vec_spread x ON x.label = a.label JOIN vec_spread y ON y.label = b.label
+    GROUP BY a.label)""", "vec_centers", "vec_spread")
+_cte("vec_ch", """SELECT (between / (k - 1)) / (within / (n - k)) AS calinski_harabasz FROM
+    (SELECT sum(size * list_distance(c.c, m.c) ** 2) AS between, count(*) AS k, sum(size) AS n FROM vec_centers c JOIN vec_sizes USING (label),
+      (SELECT list(c ORDER BY pos) AS c FROM (SELECT pos, avg(z) AS c FROM vec_features GROUP BY pos)) m),
+    (SELECT sum(ss) AS within FROM vec_spread)""", "vec_centers", "vec_sizes", "vec_features", "vec_spread")
+
+
 def _with(select: str, *needs: str) -> str:
     """``select`` behind every expression it needs, in order."""
     ordered: list[str] = []
@@ -650,6 +681,11 @@ def oracle_sql() -> dict[str, str]:
         "centroid_update": _all("cohort_id, slot, pos, centroid_q", "centroid_update"),
         "kmeans_euclidean": _all("cohort_id, row_id, label", "kmeans_l2"),
         "kmeans_manhattan": _all("cohort_id, row_id, label", "kmeans_l1"),
+        "kmeans_vectors": _all("cohort_id, row_id, label", "vec_means"),
+        "separation_vectors": _with(f"""SELECT 'label' AS run, CAST(0 AS BIGINT) AS cohort_id, n AS n_samples, k AS n_clusters, {_r6("silhouette")} AS silhouette,
+            {_r6("davies_bouldin")} AS davies_bouldin, {_r6("calinski_harabasz")} AS calinski_harabasz
+          FROM vec_silhouette, vec_db, vec_ch, (SELECT sum(size) AS n, count(*) AS k FROM vec_sizes)""",
+          "vec_silhouette", "vec_db", "vec_ch", "vec_sizes"),
         "medoid_assign": _all("cohort_id, i AS row_id, slot, d1 AS dist", "medoid_near"),
         "medoid_cost": _with("""SELECT cohort_id, CAST(sum(d1) AS BIGINT) AS cost FROM medoid_near GROUP BY cohort_id""",
                              "medoid_near"),

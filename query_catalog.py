@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenfold.operators import balance, locking, lloyd, medoids, projection, quality, seeding, separation, sizing
+from evenfold.operators import balance, locking, lloyd, medoids, projection, quality, seeding, separation, sizing, vectors
 from evenfold.operators.distances import profile_distances
 from evenfold.operators.joins import join_by_weight, pair_within, prefixed
 from evenfold.operators.normalize import normalize_people
@@ -27,6 +27,7 @@ from evenfold.sources.people import read_people, read_people_csv, split_people_c
 
 SIZE = 10
 N_GROUPS = 5
+VECTOR_GROUPS = 6
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -365,6 +366,22 @@ def centroid_update(spark: SparkSession, sf: str) -> DataFrame:
     return long_vector(moved, ["cohort_id", "slot"], "centroid", "centroid_q")
 
 
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings as one cohort, under the group they are labelled with."""
+    return spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        F.lit("label").alias("run"), F.lit(0).cast("bigint").alias("cohort_id"), F.col("vec_id").alias("row_id"),
+        F.col("label").alias("group_id"), F.col("embedding").alias("vector"))
+
+
+def kmeans_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.kmeans_vectors(_embeddings(spark, sf), VECTOR_GROUPS)[0]
+
+
+def separation_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    found = vectors.separation_vectors(_embeddings(spark, sf))
+    return found.select("run", "cohort_id", "n_samples", "n_clusters", *[r6(s).alias(s) for s in _SCORES[:3]])
+
+
 def kmeans(metric: str) -> Query:
     def query(spark: SparkSession, sf: str) -> DataFrame:
         cohorts = prepare(learners(spark, sf))
@@ -539,6 +556,8 @@ QUERIES: dict[str, Query] = {
     "centroid_update": centroid_update,
     "kmeans_euclidean": kmeans("euclidean"),
     "kmeans_manhattan": kmeans("manhattan"),
+    "kmeans_vectors": kmeans_vectors,
+    "separation_vectors": separation_vectors,
     "medoid_assign": medoid_assign,
     "medoid_cost": medoid_cost,
     "medoid_swap_deltas": swap_deltas,

@@ -14,7 +14,8 @@ QUERIES, SQL = query_catalog.QUERIES, oracle_queries.oracle_sql()
 # A sample over all kinds of queries, to keep the run short.
 SAMPLE = ("validate_people", "normalize_dirty_people", "missing_values", "pairwise_gower", "evaluate_clustering",
           "medoid_swap_deltas", "enforce_group_size", "best_swaps", "fix_gender_isolation", "generate_groups",
-          "load_people_broken", "pca_squares", "pca_centroids", "kmedoids_gower", "kmedoids_given_distances", "silhouette_given_distances")
+          "load_people_broken", "pca_squares", "pca_centroids", "kmedoids_gower", "kmedoids_given_distances", "silhouette_given_distances",
+          "kmeans_vectors", "separation_vectors")
 
 
 def test_every_query_has_sql_but_the_projection():
