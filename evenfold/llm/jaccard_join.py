@@ -5,8 +5,10 @@ member to one bit of one of K words and flips it. Two sketches differ in no more
 the sets differ in members, so two sets within a difference D differ in at most D words of the sketch:
 of K = D + 1 + G words at least G + 1 agree. A set therefore files only its D + 1 words with the
 most bits (ties to the lower place): what two sets agree on is ranked alike in both, so the
-strongest word on which they agree is filed by both. Sizes fall in bands; a set files words for
-its own band and for the one below, where it can be the larger partner.
+strongest word on which they agree is filed by both. The K words share 2**48 bits and are held as the
+XOR of their bits' hashes, so that sets without a common member have hardly a word in common, however
+many sets there are. Sizes fall in bands; a set files words for its own band and for the one below, where
+it can be the larger partner.
 
 Sets that share a filed word are candidates. A second, compact sketch (a power of two of words, so that
 sizes differ by folding) travels with each set; its Hamming distance rejects most candidates, and the sets
@@ -109,6 +111,20 @@ def sketch(members: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+def wide_sketch(members: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The XOR of the hashes of the odd bits, and their number, of each of k words that share 2**48 bits."""
+    bits = members >> _U(16)  # members are sorted, so bits and the words they fall in are, too
+    heads = np.flatnonzero(np.concatenate(([True], bits[1:] != bits[:-1])))
+    bits = bits[heads][np.diff(heads, append=len(members)) & 1 == 1]
+    value, count = np.zeros(k, dtype=_U), np.zeros(k, dtype=np.int64)
+    if len(bits):
+        word = (((bits >> _U(16)) * _U(k)) >> _U(32)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        value[word[first]] = np.bitwise_xor.reduceat(mix(bits ^ _U(0x2545F4914F6CDD1D)), first)
+        count[word[first]] = np.diff(first, append=len(bits))
+    return value, count
+
+
 def filed_keys(members: np.ndarray, like: Likeness) -> np.ndarray:
     """The bucket keys of a set: strongest sketch words for its band and the band below."""
     bands = _bands(like)
@@ -121,9 +137,9 @@ def filed_keys(members: np.ndarray, like: Likeness) -> np.ndarray:
         if not most:
             continue  # only equal sets link, and those are one node
         spare = (most + 2) // 3
-        s = sketch(members, most + 1 + spare)
-        strong = np.argsort(-np.bitwise_count(s).astype(np.int16), kind="stable")[:most + 1]
-        keys.append(mix(mix(s[strong]) + (strong.astype(_U) + _U((band + 1) << 40)) * _U(0xD1342543DE82EF95)))
+        value, count = wide_sketch(members, most + 1 + spare)
+        strong = np.argsort(-count, kind="stable")[:most + 1]
+        keys.append(mix(mix(value[strong]) + (strong.astype(_U) + _U((band + 1) << 40)) * _U(0xD1342543DE82EF95)))
     return np.concatenate(keys) if keys else np.zeros(0, dtype=_U)
 
 
