@@ -185,8 +185,8 @@ def _filed(df: DataFrame, text: str, like: Likeness) -> DataFrame:
 
 
 def compact(members: np.ndarray) -> np.ndarray:
-    """A sketch whose words are a power of two, about a sixteenth of the members."""
-    return sketch(members, 1 << max(4, int(len(members) >> 4).bit_length()))
+    """A sketch whose words are a power of two, so that there are one to two bits for each member."""
+    return sketch(members, 1 << max(4, int(len(members) >> 6).bit_length()))
 
 
 def folded(s: np.ndarray, k: int) -> np.ndarray:
