@@ -396,24 +396,48 @@ def jaccard_join(df: DataFrame, id_column: str = "doc_id", text: str = "text", l
         "doc_id", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "node", "comp")
 
 
-def with_node(df: DataFrame, like: Likeness, text: str = "text", name: str = "_node") -> DataFrame:
-    """Add the name of every row's set; null without words."""
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of the table has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def with_node(df: DataFrame, like: Likeness, id_column: str, text: str, name: str) -> DataFrame:
+    """Rows with words and, as ``name``, their set; later copies of a set in a task only if their id is smaller (null last)."""
     schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
 
     def run(batches):
+        least: dict[int, tuple] = {}
         for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(id_column)).to_pylist()
             for a, b, buf, offs in _texts(batch, text):
-                nodes = [node_of(s) if len(s) else None for s in shingle_sets(buf, offs, like.width)]
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(nodes, pa.int64())], names=schema.names)
+                rows, nodes = [], []
+                for i, s in enumerate(shingle_sets(buf, offs, like.width), start=a):
+                    if len(s):
+                        node, rank = node_of(s), (ids[i] is None, ids[i])
+                        if node not in least or (rank[0], rank[1] or 0) < (least[node][0], least[node][1] or 0):
+                            least[node] = rank
+                            rows.append(i)
+                            nodes.append(node)
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows, pa.int64())).columns, pa.array(nodes, pa.int64())], names=schema.names)
 
     return df.mapInArrow(run, schema)
 
 
 def keep_one(df: DataFrame, like: Likeness, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every group of linked rows, that of the least id (null last); rows without words all stay."""
+    """One row of every group of linked rows, that of the least id (null last); rows without words all stay.
+
+    Ids are whole numbers. The table may have columns of any other names. Copies of a set leave a task only once or
+    with smaller ids, so a set with a third of all rows is met a few times per task.
+    """
     joined = jaccard_join(df, id_column, text, like).where("node IS NOT NULL")
     first = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("w"))
-    winners = first.select(F.col("w.node").alias("_node"), F.col("w.doc_id").alias("_id"))
-    named = with_node(df, like, text)
-    kept = named.join(winners, "_node").where(F.col(f"`{id_column}`").eqNullSafe(F.col("_id"))).drop("_id").dropDuplicates(["_node"])
-    return kept.unionByName(named.where("_node IS NULL")).select(*[f"`{c}`" for c in df.columns])
+    node, wanted = unused(df, "_node"), unused(df, "_id")
+    winners = first.select(F.col("w.node").alias(node), F.col("w.doc_id").alias(wanted))
+    # Dealt by set once: what the join needs is what dropDuplicates needs.
+    named = with_node(df, like, id_column, text, node).repartition(node)
+    kept = named.join(winners, node).where(F.col(f"`{id_column}`").eqNullSafe(F.col(wanted))).dropDuplicates([node])
+    wordless = df.where(~F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return kept.select(*[f"`{c}`" for c in df.columns]).unionByName(wordless)

@@ -76,5 +76,16 @@ def test_odd_rows(spark):
         not (r[1] or "").strip(" \t\n") for r in rows)
 
 
+def test_keep_one_among_clashing_names_and_copies(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(i, text if i % 3 else text + " more", i, i) for i in range(9, 60)] + [(None, text, 0, 0), (9, text, 1, 1), (3, " ", 7, 7), (None, None, 8, 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _node long, _id long").repartition(5)
+    kept = keep_one(df, Likeness(5, 80, 100))
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], bool((r["text"] or "").strip())) for r in kept.collect()), key=repr)
+    assert got == sorted([(9, True), (3, False), (None, False)], key=repr)
+    assert all(r["_node"] in (1, 7, 8, 9) for r in kept.collect())
+
+
 def test_empty_table(spark):
     assert jaccard_join(empty(spark)).count() == 0 and keep_one(empty(spark), Likeness()).count() == 0
