@@ -436,8 +436,8 @@ def keep_one(df: DataFrame, like: Likeness, id_column: str = "doc_id", text: str
     first = joined.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nil"), "doc_id", "node")).alias("w"))
     node, wanted = unused(df, "_node"), unused(df, "_id")
     winners = first.select(F.col("w.node").alias(node), F.col("w.doc_id").alias(wanted))
-    # Dealt by set once: what the join needs is what dropDuplicates needs.
-    named = with_node(df, like, id_column, text, node).repartition(node)
-    kept = named.join(winners, node).where(F.col(f"`{id_column}`").eqNullSafe(F.col(wanted))).dropDuplicates([node])
+    # A merge join deals texts by set, which is what dropDuplicates needs, too: they are shuffled once.
+    named = with_node(df, like, id_column, text, node)
+    kept = named.join(winners.hint("merge"), node).where(F.col(f"`{id_column}`").eqNullSafe(F.col(wanted))).dropDuplicates([node])
     wordless = df.where(~F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     return kept.select(*[f"`{c}`" for c in df.columns]).unionByName(wordless)
