@@ -40,6 +40,7 @@ CLASSES = OWN_CLASSES + SHARED_CLASSES
 FEATURES = 4
 ROUNDS = 2
 BATCH = 4_096  # keeps the rows of a batch in the cache
+COUNTED = 1 << 18  # tokens counted at once: a few arrays of 2 MB
 PRIOR = 4.0
 #: A task has fewer chunks, a chunk fewer words, than these bits count.
 CHUNK_BITS, WORD_BITS = 14, 25
@@ -140,19 +141,28 @@ def _classes(own: np.ndarray, prefix: np.ndarray, top: np.ndarray) -> np.ndarray
     return np.where(top[at] == own, at, OWN_CLASSES + prefix.astype(np.int64)) if len(top) else OWN_CLASSES + prefix.astype(np.int64)
 
 
-def _features(h: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Hashed feature rows (tokens x FEATURES) of every token's history inside its text."""
-    place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    x = mix(h.view(_U))
+class _History:
+    """Hashed feature rows of the tokens of a chunk, made for a slice of tokens at a time."""
 
-    def back(k: int) -> np.ndarray:
-        out = np.full(len(x), _U(k), dtype=_U)
-        out[k:] = x[:-k]
-        return np.where(place >= k, out, _U(k))
+    def __init__(self, own: np.ndarray, token: np.ndarray, n: np.ndarray):
+        self.mixed, self.token = mix(own.view(_U)), token
+        self.starts = np.cumsum(n) - n
 
-    one, two, three = back(1), back(2), back(3)
-    raw = [one, two * _U(0x9E3779B97F4A7C15) + _U(1), mix(one * _U(3) + two), three * _U(0xD1342543DE82EF95) + _U(2)]
-    return np.stack([(mix(r + _U(k)) >> _U(50)).astype(np.int64) for k, r in enumerate(raw)], axis=1)
+    def features(self, a: int, b: int) -> np.ndarray:
+        """Feature rows (tokens x FEATURES) of tokens ``a`` to ``b``: what stands before them in their texts."""
+        here = np.arange(a, b)
+        place = here - self.starts[np.searchsorted(self.starts, here, "right") - 1]
+        x = self.mixed[self.token[max(0, a - 3):b]]
+
+        def back(k: int) -> np.ndarray:
+            out = np.full(b - a, _U(k), dtype=_U)
+            some = x[:len(x) - k][-(b - a):]
+            out[b - a - len(some):] = some
+            return np.where(place >= k, out, _U(k))
+
+        one, two, three = back(1), back(2), back(3)
+        raw = [one, two * _U(0x9E3779B97F4A7C15) + _U(1), mix(one * _U(3) + two), three * _U(0xD1342543DE82EF95) + _U(2)]
+        return np.stack([(mix(r + _U(k)) & _U(ROWS - 1)).astype(np.int64) for k, r in enumerate(raw)], axis=1)
 
 
 def _chance(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
@@ -176,15 +186,19 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
             for held, n, w, p, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 own = _open(w, np.int64)
                 cls, token, n = _classes(own, _open(p, np.uint8), top), _open(t, np.int32), np.array(n)
-                f = _features(own[token], n)
+                history = _History(own, token, n)
                 keep = np.repeat(~np.array(held, dtype=bool), n)
-                f, c = f[keep], cls[token[keep]]
-                if model is None:
-                    for k in range(FEATURES):
-                        table += np.bincount(f[:, k] * CLASSES + c, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
-                    continue
-                for s in range(0, len(f), BATCH):
-                    part = f[s:s + BATCH]
+                size = BATCH if model else COUNTED
+                for s in range(0, len(token), size):
+                    kept = keep[s:s + size]
+                    part = history.features(s, min(len(token), s + size))[kept]
+                    if model is None:
+                        c = cls[token[s:s + size][kept]]
+                        for k in range(FEATURES):
+                            table += np.bincount(part[:, k] * CLASSES + c, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                        continue
+                    if not len(part):
+                        continue
                     chance = _chance(*model.value, part)
                     for k in range(FEATURES):
                         order = np.argsort(part[:, k], kind="stable")
@@ -260,10 +274,10 @@ def score(df: DataFrame, held_out: Column, id_column: str = "doc_id", text: str
                 w, p, t, z = (batch.column(i)[r].as_py() for i in range(3, 7))
                 own, token, n, c = _open(w, np.int64), _open(t, np.int32), sizes.to_numpy().astype(np.int64), _open(z, np.int64)
                 cls = _classes(own, _open(p, np.uint8), top)
-                f = _features(own[token], n)
+                history = _History(own, token, n)
                 chance = np.empty(len(token))
                 for s in range(0, len(token), BATCH):
-                    part = _chance(*model.value, f[s:s + BATCH])
+                    part = _chance(*model.value, history.features(s, min(len(token), s + BATCH)))
                     chance[s:s + BATCH] = part[np.arange(len(part)), cls[token[s:s + BATCH]]]
                 first = np.cumsum(n) - n
                 log_c = np.add.reduceat(np.log10(c + 1.0)[token], first)
