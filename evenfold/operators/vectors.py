@@ -132,8 +132,8 @@ def separation_vectors(labelled: DataFrame, vector: str = "vector") -> DataFrame
     profiles = vector_profiles(distinct, vector)
     placed = attach_vector_profiles(distinct, profiles, vector)
     cells = separation.group_profiles(rows.select("run", "cohort_id", "row_id", "group_id").join(placed, ["cohort_id", "row_id"]))
-    scores = separation.run_summary(cells)
-    for part in (silhouette_vectors(cells, profiles), separation.davies_bouldin(cells, profiles),
-                 separation.calinski_harabasz(cells, profiles)):
+    scores, moments = separation.run_summary(cells), separation.group_moments(cells, profiles)
+    for part in (silhouette_vectors(cells, profiles), separation.davies_bouldin(cells, profiles, moments),
+                 separation.calinski_harabasz(cells, profiles, moments)):
         scores = scores.join(part, RUN)
     return scores

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evenfold.operators.balance import cluster_entropy, mean_entropy
 from evenfold.operators.profiles import FULL_KEYS, attach_profiles, encode
 from evenfold.operators.separation import (
-    calinski_harabasz, davies_bouldin, group_profiles, run_summary, silhouette,
+    calinski_harabasz, davies_bouldin, group_moments, group_profiles, run_summary, silhouette,
 )
 
 # The runs of the tournament as algorithm and metric names.
@@ -40,12 +40,13 @@ def evaluate_runs(labelled: DataFrame, profiles: DataFrame, gower_runs: tuple[st
     if gower_runs:
         special, full = gower_cells(labelled.where(F.col("run").isin(*gower_runs)))
         scores = scores.unionByName(silhouette(special, full, "gower"))
+    moments = group_moments(cells, profiles)
     entropies = mean_entropy(cluster_entropy(labelled)).select(*RUN, "mean_gender_entropy")
     return (
         run_summary(cells)
         .join(scores, RUN)
-        .join(davies_bouldin(cells, profiles), RUN)
-        .join(calinski_harabasz(cells, profiles), RUN)
+        .join(davies_bouldin(cells, profiles, moments), RUN)
+        .join(calinski_harabasz(cells, profiles, moments), RUN)
         .join(entropies, RUN)
     )
 
