@@ -74,7 +74,7 @@ def weighted_means(points: DataFrame, keys: list[str]) -> DataFrame:
 
 def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
            max_iter: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """Labels per profile and final centroids.
+    """Labels per profile; final centroids with the ``rounds`` their cohort took and whether it ``converged``.
 
     One DataFrame job per round for all cohorts of any size; cohorts that have settled sit out. Rounds end
     when no centroid moves, which is when no label can change any more. If ``max_iter`` ends them
@@ -83,7 +83,7 @@ def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
     vector_metric(metric)
     used, idle = split_idle(slots, max_iter + 2)
     start = start_centroids(profiles, used)
-    state = checkpoint(start.select("*", F.col("centroid").alias("before"), F.lit(True).alias("active"))
+    state = checkpoint(start.select("*", F.col("centroid").alias("before"), F.lit(True).alias("active"), F.lit(0).cast("bigint").alias("rounds"))
                        .repartition("cohort_id", "slot"))
     rows = state.count()
     for _ in range(max_iter):
@@ -99,9 +99,12 @@ def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
             .select("cohort_id", "slot", "peers",
                     F.when(F.col("active"), F.col("centroid")).otherwise(F.col("before")).alias("before"),
                     F.coalesce("_after", "centroid").alias("centroid"),
-                    F.coalesce("_busy", F.lit(False)).alias("active")))
+                    F.coalesce("_busy", F.lit(False)).alias("active"),
+                    (F.col("rounds") + F.col("active").cast("bigint")).alias("rounds")))
         if state.where("active").isEmpty():
             break
     labels = assign(profiles, state.select("cohort_id", "slot", "peers", F.col("before").alias("centroid")), metric, rows)
-    still = start_centroids(profiles, idle)
-    return labels, state.select("cohort_id", "slot", "centroid").unionByName(still.select("cohort_id", "slot", "centroid"))
+    ended = state.groupBy("cohort_id").agg(F.max("rounds").alias("rounds"), F.bool_and(~F.col("active")).alias("converged"))
+    final = state.select("cohort_id", "slot", "centroid").unionByName(
+        start_centroids(profiles, idle).select("cohort_id", "slot", "centroid"))
+    return labels, final.join(broadcast_if_small(ended, rows), "cohort_id")

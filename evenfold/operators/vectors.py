@@ -63,7 +63,10 @@ def attach_vector_profiles(rows: DataFrame, profiles: DataFrame, vector: str = "
 
 def kmeans_vectors(rows: DataFrame, k: int, metric: str = "euclidean", vector: str = "vector", seed: int = 42,
                    max_iter: int = lloyd.MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
-    """``cohort_id, row_id, label`` and ``cohort_id, slot, centroid`` (doubles in millionths) with ``k`` clusters per cohort."""
+    """``cohort_id, row_id, label`` and ``cohort_id, slot, centroid, rounds, converged`` with ``k`` clusters per cohort.
+
+    Centroids are doubles, rounded to millionths.
+    """
     config = group_config(rows, 1, k=k)
     check_clusters(config)
     profiles = vector_profiles(rows, vector)

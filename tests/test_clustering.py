@@ -146,6 +146,19 @@ def test_mean_jobs_match_a_plain_loop(small, metric):
     assert sorted((r.cohort_id, r.slot, tuple(r.centroid)) for r in centers.collect()) == labels_of(plain, CENTER, "centroid")
 
 
+def test_centroids_tell_whether_rounds_ended_by_themselves(spark, people):
+    ends = [(i, "Male", float(x), 1.0, 1.0, "Visual", "X") for i, x in enumerate([0, 1, 2, 30, 31, 32])]
+    flat = [(10 + i, "Male", 5.0, 1.0, 1.0, "Visual", "X") for i in range(2)]
+    cohorts = prepare(people(ends).unionByName(people(flat, 2)))
+    # The first centres of cohort 1 both lie at its lower end, so centroids have to move.
+    slots = spark.createDataFrame([(1, 0, 0), (1, 1, 1), (2, 0, 10)], "cohort_id bigint, slot int, profile_id bigint")
+    _, cut = lloyd.kmeans(cohorts.profiles, slots, "euclidean", 1)
+    assert {(r.cohort_id, r.rounds, r.converged) for r in cut.collect()} == {(1, 1, False), (2, 1, True)}
+    _, whole = lloyd.kmeans(cohorts.profiles, slots, "euclidean")
+    found = {r.cohort_id: (r.rounds, r.converged) for r in whole.collect()}
+    assert found[2] == (1, True) and found[1][0] > 1 and found[1][1]
+
+
 def test_duplicate_medoids_and_empty_clusters(spark, people):
     same = [(i, "Male", 1.0, 1.0, 1.0, "Visual", "X") for i in range(3)]
     cohorts = prepare(people([*same, (3, "Male", 4.0, 4.0, 4.0, "Visual", "X")]))
