@@ -176,6 +176,21 @@ def _chance(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
     return s
 
 
+def _add_rows(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the table's row of its id; ids that occur once, most of them, need no sum of their own."""
+    order = np.argsort(ids, kind="stable")
+    sorted_ids = ids[order]
+    first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
+    size = np.diff(np.append(first, len(ids)))
+    lone = order[first[size == 1]]
+    table[ids[lone]] += rows[lone]
+    often, size = first[size > 1], size[size > 1]
+    if len(often):
+        begin = np.cumsum(size) - size
+        picked = order[np.repeat(often - begin, size) + np.arange(int(size.sum()))]
+        table[sorted_ids[often]] += np.add.reduceat(rows[picked], begin, axis=0)
+
+
 def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.ndarray:
     """Table (ROWS x CLASSES) of feature-class counts of all training tokens, or of the model's expectations."""
     blocks = 64
@@ -201,10 +216,7 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
                         continue
                     chance = _chance(*model.value, part)
                     for k in range(FEATURES):
-                        order = np.argsort(part[:, k], kind="stable")
-                        ids = part[order, k]
-                        first = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
-                        table[ids[first]] += np.add.reduceat(chance[order], first, axis=0)
+                        _add_rows(table, part[:, k], chance)
         for b, rows in enumerate(np.split(table.astype(np.float32), blocks)):
             if rows.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_press(rows)], pa.binary())], names=["b", "z"])
