@@ -1,7 +1,8 @@
 """Isolation: find groups where somebody is alone, and swap people to end it.
 
 A cohort treats its flagged groups one after the other, each on the labels the one before
-left. A round takes a batch of the next flagged groups of every cohort: joins list the nearest donors for all of
+left. A cohort of at most ``BATCH_PEOPLE`` people and ``WHOLE_PROFILES`` profiles is known whole to its task, which takes
+all turns (``whole_turns``). In larger ones a round takes a batch of the next flagged groups: joins list the nearest donors for all of
 them at once, then ``turns`` goes through the batch in order and commits every turn whose best swap these
 lists decide. A batch holds a bounded number of groups and people, whatever the size of the cohort.
 """
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from evenfold.functions.measure import manhattan
 from evenfold.operators.joins import cohort_groups, pair_within, prefixed, two_nearest
 from evenfold.operators.ranking import rank_in_cohort
 from evenfold.operators.turns import take_turns
+from evenfold.operators.whole_turns import PERSON, PROFILE, TURN, whole_turns
 from evenfold.session import checkpoint
 
 # A smaller group cannot isolate anybody; a donor must hold more than this
@@ -27,17 +30,22 @@ SMALLEST_GROUP = 4
 DONOR_KEEPS = 2
 
 # Donor groups listed for each kind of person who may leave; kinds listed although nobody of them is in a due
-# group yet; turns in a batch; people that a batch brings together at most, from which larger cohorts derive fewer turns.
-# All of them bound a batch and none a result: what a batch does not decide opens the next one.
+# group yet; turns in a batch, and in a batch with lists; people and profiles of a cohort known whole, from which larger cohorts
+# derive fewer turns. All of them bound a batch and none a result: what a batch does not decide opens the next one.
 CHOICES = 16
 COMMON_KINDS = 512
-BATCH_TURNS = 512
-BATCH_PEOPLE = 200_000
+BATCH_TURNS = 200_000
+LIST_TURNS = 512
+BATCH_PEOPLE = 1_000_000
+WHOLE_PROFILES = 2_048
+# Listed people are objects, five times as large as the numbers of people known whole.
+LIST_SHARE = 5
 
 LOG_SCHEMA = (
     "cohort_id bigint, round int, group_id int, isolation_type string, in_id bigint, "
     "donor_group int, out_id bigint, dist bigint"
 )
+BATCH_SCHEMA = "cohort_id bigint, turn bigint, group_id int, isolation_type string, in_id bigint, donor_group int, out_id bigint, dist bigint"
 _GEOMETRY = ("Learning_Style", "q_motivation", "q_esteem", "q_ethic", "q_gap")
 
 
@@ -222,8 +230,36 @@ def _known_people(rows: DataFrame, due: DataFrame, lists: DataFrame, shape: Data
     return first.drop("_nth", "turns").join(counts, ["cohort_id", "group_id", "trait"]).join(shape, ["cohort_id", "profile_id"])
 
 
-def _batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule) -> DataFrame:
+def _batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule, modes: set[bool]) -> DataFrame:
     """The decided turns of every cohort: the log's columns by ``turn``, without ids where no swap is possible."""
+    parts = []
+    for whole, solve in ((True, _whole_batch), (False, _list_batch)):
+        if whole in modes:
+            mine = due.where(F.col("whole") == whole).drop("whole")
+            own = rows.join(mine.select("cohort_id").distinct(), "cohort_id", "left_semi") if len(modes) > 1 else rows
+            parts.append(solve(own, mine, shape, rule))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _whole_batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule) -> DataFrame:
+    """All due turns of cohorts that fit into a task, by looking through profiles instead of lists."""
+    match = F.col(rule.match) if rule.match else F.lit("")
+    people = rows.select(F.lit(PERSON).alias("kind"), "cohort_id", "group_id", "row_id", "profile_id",
+                         F.col(rule.attribute).alias("trait"), match.alias("match"))
+    turns = due.select(F.lit(TURN).alias("kind"), "cohort_id", "turn", F.col("flagged").alias("group_id"), "isolation_type",
+                       F.col("wanted").alias("trait"), "given")
+    shapes = shape.join(due.select("cohort_id").distinct(), "cohort_id", "left_semi").select(F.lit(PROFILE).alias("kind"), "cohort_id", "profile_id", *_GEOMETRY)
+    by_gender, strict_donor, keeps = rule.attribute == "Gender", rule.strict_donor, DONOR_KEEPS
+
+    def solve(table: pa.Table) -> pa.Table:
+        return whole_turns(table, by_gender, strict_donor, keeps)
+
+    dealt = turns.unionByName(people, allowMissingColumns=True).unionByName(shapes, allowMissingColumns=True)
+    return cohort_groups(dealt).applyInArrow(solve, BATCH_SCHEMA)
+
+
+def _list_batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule) -> DataFrame:
+    """The next turns of larger cohorts, as far as the lists of nearest donors decide them."""
     lists = checkpoint(donor_lists(group_cells(rows, rule), due, shape, rule, CHOICES))
     people = _known_people(rows, due, lists, shape, rule)
     whole = F.lit(0).cast("bigint")
@@ -237,8 +273,7 @@ def _batch(rows: DataFrame, due: DataFrame, shape: DataFrame, rule: SwapRule) ->
     def solve(due: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         return take_turns(due, known, by_gender, strict_donor, keeps, choices)
 
-    return cohort_groups(due).cogroup(cohort_groups(known)).applyInPandas(
-        solve, "cohort_id bigint, turn bigint, group_id int, isolation_type string, in_id bigint, donor_group int, out_id bigint, dist bigint")
+    return cohort_groups(due).cogroup(cohort_groups(known)).applyInPandas(solve, BATCH_SCHEMA)
 
 
 def _apply(rows: DataFrame, log: DataFrame, order: str = "round") -> DataFrame:
@@ -283,17 +318,22 @@ def _swap_turns(base: DataFrame, flagged: DataFrame, shape: DataFrame, rule: Swa
     largest = base.groupBy("cohort_id", "group_id").agg(F.count(F.lit(1)).alias("_n")).groupBy("cohort_id").agg(
         F.max("_n").alias("_largest"), F.sum("_n").alias("_rows"))
     # A listed donor for each person of each due group: as many people at most come together.
-    fit = F.floor(F.lit(BATCH_PEOPLE) / (CHOICES * F.col("_largest") * F.col("_largest")))
-    turns = F.when(F.col("_rows") <= BATCH_PEOPLE, F.lit(BATCH_TURNS)).otherwise(F.greatest(F.lit(1), F.least(F.lit(BATCH_TURNS), fit)))
-    pending = checkpoint(flagged.withColumnRenamed("group_id", "flagged").join(
-        largest.select("cohort_id", turns.cast("bigint").alias("batch")), "cohort_id"))
+    fit = F.floor(F.lit(BATCH_PEOPLE) / (LIST_SHARE * CHOICES * F.col("_largest") * F.col("_largest")))
+    listed = F.when(LIST_SHARE * F.col("_rows") <= BATCH_PEOPLE, F.lit(min(LIST_TURNS, BATCH_TURNS))).otherwise(
+        F.greatest(F.lit(1), F.least(F.lit(min(LIST_TURNS, BATCH_TURNS)), fit)))
+    kinds = shape.groupBy("cohort_id").agg(F.count(F.lit(1)).alias("_profiles"))
+    whole = (F.col("_rows") <= BATCH_PEOPLE) & (F.col("_profiles") <= WHOLE_PROFILES)
+    frame = largest.join(kinds, "cohort_id").withColumn("whole", whole).select(
+        "cohort_id", "whole", F.when(F.col("whole"), F.lit(BATCH_TURNS)).otherwise(listed).cast("bigint").alias("batch"))
+    pending = checkpoint(flagged.withColumnRenamed("group_id", "flagged").join(frame, "cohort_id"))
     rows = base.select("cohort_id", "row_id", "group_id", "Gender", "Diversity", "profile_id").join(
         pending.select("cohort_id").distinct(), "cohort_id", "left_semi")
     rows, done = checkpoint(rows), []
-    while not pending.isEmpty():
+    # True: some cohort is taken whole, False: some by lists.
+    while modes := {r[0] for r in pending.select("whole").distinct().collect()}:
         begun = pending.groupBy("cohort_id").agg(F.min("turn").alias("_begun"))
         due = pending.join(begun, "cohort_id").where(F.col("turn") < F.col("_begun") + F.col("batch")).drop("_begun", "batch")
-        decided = checkpoint(_batch(rows, due, shape, rule))
+        decided = checkpoint(_batch(rows, due, shape, rule, modes))
         done.append(decided)
         over = decided.groupBy("cohort_id").agg(F.max("turn").alias("_over"))
         pending = checkpoint(pending.join(over, "cohort_id").where(F.col("turn") > F.col("_over")).drop("_over"))

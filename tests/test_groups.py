@@ -161,6 +161,25 @@ def test_a_large_cohort_takes_few_batches(spark, batches):
     assert labelled.count() == 15_000 and len(batches) <= flagged / 300
 
 
+@pytest.mark.parametrize("rule", [locking.gender_rule(), locking.gender_rule(True), locking.diversity_rule(), locking.diversity_rule(False)])
+def test_a_cohort_known_whole_takes_one_batch(spark, batches, rule):
+    labelled, profiles = one_cohort(spark, "/root/testdata/sf0.01", 5)
+    _, log = locking.fix_isolation(labelled, profiles, rule)
+    expected = plain_swaps(labelled, profiles, rule, 10_000)
+    assert len(expected) > 100 and sorted(map(tuple, log.collect())) == sorted(expected)
+    assert len(batches) == 1
+
+
+def test_lists_of_larger_cohorts_give_the_same_swaps(spark, monkeypatch, batches):
+    labelled, profiles = one_cohort(spark, SMALL, 5)
+    other = labelled.withColumn("cohort_id", F.col("cohort_id") + 1).where("row_id < 5000000")
+    both, shapes = labelled.unionByName(other), profiles.unionByName(profiles.withColumn("cohort_id", F.col("cohort_id") + 1))
+    monkeypatch.setattr(locking, "BATCH_PEOPLE", 100)  # the second cohort is taken whole
+    _, log = locking.fix_isolation(both, shapes, locking.diversity_rule(), max_rounds=4)
+    assert other.count() < 100 and sorted(map(tuple, log.collect())) == sorted(plain_swaps(both, shapes, locking.diversity_rule(), 4))
+    assert len(batches) == 4
+
+
 def test_second_pass_flags_again(spark):
     cohorts = prepare(learners(spark, SMALL))
     labelled = cohorts.people.withColumn("group_id", F.pmod(F.col("row_id"), F.lit(2)).cast("int"))
