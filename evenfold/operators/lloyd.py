@@ -7,15 +7,22 @@ rounds.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenfold.functions.measure import vector_metric
 from evenfold.operators.joins import broadcast_if_small, pair_within
 from evenfold.operators.seeding import split_idle
-from evenfold.session import checkpoint
+from evenfold.session import checkpoint, task_count
 
 MAX_ROUNDS = 300
+# Numbers in all centroids that a closure carries; more are kept in a table.
+STEERED = 1 << 16
 
 
 def start_centroids(profiles: DataFrame, slots: DataFrame) -> DataFrame:
@@ -108,3 +115,83 @@ def kmeans(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
     final = state.select("cohort_id", "slot", "centroid").unionByName(
         start_centroids(profiles, idle).select("cohort_id", "slot", "centroid"))
     return labels, final.join(broadcast_if_small(ended, rows), "cohort_id")
+
+
+Centers = dict[int, dict[int, list[int]]]
+
+
+def kmeans_steered(profiles: DataFrame, slots: DataFrame, metric: str = "euclidean",
+                   max_iter: int = MAX_ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """The same as ``kmeans`` for few centroids: they travel with the tasks, and a round is one job that sums up vectors.
+
+    More than ``STEERED`` numbers in all centroids go the way of ``kmeans``.
+    """
+    vector_metric(metric)
+    used, idle = split_idle(slots, max_iter + 2)
+    start = checkpoint(start_centroids(profiles, used))
+    if (start.agg(F.sum(F.size("centroid"))).first()[0] or 0) > STEERED:
+        return kmeans(profiles, slots, metric, max_iter)
+    spark = profiles.sparkSession
+    points = checkpoint(profiles.select("cohort_id", "weight", "features_q").repartition(task_count(spark)))
+    before: Centers = {}
+    peers = {}
+    for r in start.collect():
+        before.setdefault(r["cohort_id"], {})[r["slot"]] = list(r["centroid"])
+        peers[r["cohort_id"]] = r["peers"]
+    after, rounds, active = dict(before), dict.fromkeys(before, 0), set(before)
+    for _ in range(max_iter):
+        if not active:
+            break
+        before = before | {c: after[c] for c in active}
+        fresh = {c: dict(after[c]) for c in active}
+        for r in _means(points, {c: after[c] for c in active}, metric).collect():
+            fresh[r["cohort_id"]][r["slot"]] = list(r["mean_q"])
+        rounds |= {c: rounds[c] + 1 for c in active}
+        active = {c for c in active if fresh[c] != after[c]}
+        after |= fresh
+    schema = "cohort_id bigint, slot int, centroid array<bigint>, peers bigint"
+    last = spark.createDataFrame([(c, s, x, peers[c]) for c, own in before.items() for s, x in own.items()], schema)
+    labels = assign(profiles, last, metric, len(peers))
+    ended = spark.createDataFrame([(c, n, c not in active) for c, n in rounds.items()], "cohort_id bigint, rounds bigint, converged boolean")
+    final = spark.createDataFrame([(c, s, x) for c, own in after.items() for s, x in own.items()], "cohort_id bigint, slot int, centroid array<bigint>")
+    final = final.unionByName(start_centroids(profiles, idle).select("cohort_id", "slot", "centroid"))
+    return labels, final.join(F.broadcast(ended), "cohort_id")
+
+
+def _means(points: DataFrame, centers: Centers, metric: str) -> DataFrame:
+    """``cohort_id, slot, mean_q`` of the points nearest to each centre; slots without points are absent."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            whose = batch.column(0).to_numpy()
+            for cohort in np.unique(whose).tolist():
+                if cohort not in centers:
+                    continue
+                own = batch.filter(pc.equal(batch.column(0), cohort))
+                vectors, weight = own.column(2), own.column(1).to_numpy()
+                x = vectors.flatten().to_numpy().reshape(len(vectors), -1)
+                names = sorted(centers[cohort])
+                c = np.array([centers[cohort][s] for s in names], np.int64)
+                dist = np.zeros((len(x), len(c)), np.int64 if metric == "manhattan" else np.float64)
+                for k in range(x.shape[1]):  # term after term, as the expression adds them
+                    gap = x[:, k, None] - c[None, :, k]
+                    dist += np.abs(gap) if metric == "manhattan" else gap.astype(np.float64) ** 2
+                if float(np.abs(x).max(initial=0)) * float(weight.sum()) > 4e18:
+                    raise OverflowError(f"sums of cohort {cohort} leave 64 bits")
+                near = dist.argmin(axis=1)
+                for s in np.unique(near).tolist():
+                    mine = near == s
+                    people, total = sums.get((cohort, names[s]), (0, 0))
+                    sums[cohort, names[s]] = (people + int(weight[mine].sum()), total + (x[mine] * weight[mine, None]).sum(axis=0))
+        if sums:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int32()),
+                pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1].tolist() for v in sums.values()], pa.list_(pa.int64()))],
+                names=["cohort_id", "slot", "people", "sums"])
+
+    parts = points.select("cohort_id", "weight", "features_q").mapInArrow(add, "cohort_id bigint, slot int, people bigint, sums array<bigint>")
+    long = parts.select("cohort_id", "slot", "people", F.posexplode("sums").alias("_pos", "_sum"))
+    mean = F.round(F.sum("_sum") / F.sum("people")).cast("bigint")
+    return long.groupBy("cohort_id", "slot", "_pos").agg(mean.alias("_mean")).groupBy("cohort_id", "slot").agg(
+        F.array_sort(F.collect_list(F.struct("_pos", "_mean"))).alias("_vector")).select(
+        "cohort_id", "slot", F.transform("_vector", lambda x: x["_mean"]).alias("mean_q"))

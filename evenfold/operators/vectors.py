@@ -72,7 +72,7 @@ def kmeans_vectors(rows: DataFrame, k: int, metric: str = "euclidean", vector: s
     profiles = vector_profiles(rows, vector)
     placed = checkpoint(attach_vector_profiles(rows, profiles, vector))
     slots = checkpoint(init_slots(placed, config, seed, ("profile_id",)).select("cohort_id", "slot", "profile_id"))
-    labels, centroids = lloyd.kmeans(profiles, slots, metric, max_iter)
+    labels, centroids = lloyd.kmeans_steered(profiles, slots, metric, max_iter)
     weighted = labels.join(profiles.select("cohort_id", "profile_id", "weight"), ["cohort_id", "profile_id"])
     named = join_by_weight(placed, weighted, ["cohort_id", "profile_id"], "weight").select(
         "cohort_id", "row_id", F.col("slot").alias("label"))
