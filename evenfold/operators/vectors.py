@@ -10,8 +10,6 @@ an error that names the rows. An empty table gives empty results. Repeated vecto
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +17,10 @@ from evenfold.functions.measure import MICRO, quantise
 from evenfold.operators import lloyd, separation
 from evenfold.operators.joins import join_by_weight
 from evenfold.operators.seeding import check_clusters, group_config, init_slots
-from evenfold.operators.separation import GROUP, RUN
+from evenfold.operators.reach import VECTOR
+from evenfold.operators.separation import RUN
 from evenfold.session import checkpoint
 
-# Vectors that meet as one side of a matrix of distances.
-BLOCK = 2_048
-# Rows of that matrix that are computed at once, times components.
-STEP = 1_024
-
 
 def _as_features(rows: DataFrame, vector: str) -> DataFrame:
     """``cohort_id, row_id, features`` with components as doubles and no negative zero."""
@@ -79,28 +73,8 @@ def kmeans_vectors(rows: DataFrame, k: int, metric: str = "euclidean", vector: s
     return named, centroids.withColumn("centroid", F.transform("centroid", lambda x: x / F.lit(float(MICRO))))
 
 
-def _block_sums(key: tuple, group: pa.Table) -> pa.Table:
-    """Summed distances of the points of one block to the people of every group in another."""
-    point = group.column("group_id").is_null().to_numpy()
-    vectors = group.column("features").combine_chunks()
-    matrix = vectors.flatten().to_numpy().reshape(len(vectors), -1)
-    ids, people = group.column("profile_id").to_numpy()[point], group.column("people").to_numpy()[~point]
-    names, at = np.unique(group.column("group_id").drop_null().to_numpy(), return_inverse=True)
-    order = np.argsort(at, kind="stable")
-    first = np.searchsorted(at[order], np.arange(len(names)))
-    a, b = matrix[point], matrix[~point][order]
-    totals = np.zeros((len(a), len(names)))
-    step = max(1, STEP * 1024 // max(1, b.size))
-    if len(names):
-        for s in range(0, len(a), step):
-            gap = a[s:s + step, None, :] - b[None]
-            totals[s:s + step] = np.add.reduceat(np.sqrt((gap * gap).sum(axis=2)) * people[order], first, axis=1)
-    n = totals.size
-    run, cohort = key[0].as_py(), key[1].as_py()
-    return pa.table({
-        "run": pa.array([run] * n, pa.string()), "cohort_id": pa.array(np.full(n, cohort, np.int64)),
-        "profile_id": pa.array(np.repeat(ids, len(names))), "group_id": pa.array(np.tile(names, len(a)), pa.int64()),
-        "total": pa.array(totals.ravel())})
+# Vectors that meet as one side of a matrix of distances.
+BLOCK = 4_096
 
 
 def silhouette_vectors(cells: DataFrame, profiles: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -109,20 +83,7 @@ def silhouette_vectors(cells: DataFrame, profiles: DataFrame, block: int = BLOCK
     Profiles and cells of a cohort are cut into blocks of about ``block``; a pair of blocks is one task's matrix, of
     which only sums per profile and group leave, so neither a cohort nor its pairs meet in one place.
     """
-    wide = separation._placed(cells, profiles)
-    load = cells.groupBy(*RUN).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_blocks"))
-    wide = wide.join(load, RUN).withColumn("_all", F.sequence(F.lit(0), F.col("_blocks") - 1))
-    own = F.pmod(F.xxhash64("profile_id"), F.col("_blocks")).cast("int")
-    cut = F.pmod(F.xxhash64("profile_id", "group_id"), F.col("_blocks")).cast("int")
-    points = wide.dropDuplicates([*RUN, "profile_id"]).select(
-        *RUN, own.alias("_i"), F.explode("_all").alias("_j"), F.lit(None).cast("bigint").alias("group_id"),
-        "profile_id", F.lit(0).cast("bigint").alias("people"), "features")
-    others = wide.select(*RUN, F.explode("_all").alias("_i"), cut.alias("_j"), F.col("group_id").cast("bigint"),
-                         "profile_id", "people", "features")
-    sums = points.unionByName(others).groupBy(*RUN, "_i", "_j").applyInArrow(
-        _block_sums, "run string, cohort_id bigint, profile_id bigint, group_id bigint, total double")
-    reach = sums.groupBy(*RUN, "profile_id", "group_id").agg(F.sum("total").alias("total"))
-    return separation._silhouette(cells, reach, cells.groupBy(*GROUP).agg(F.sum("people").alias("size")))
+    return separation._by_blocks(cells, separation._placed(cells, profiles), VECTOR, ("features",), block, block)
 
 
 def separation_vectors(labelled: DataFrame, vector: str = "vector") -> DataFrame:

@@ -1,11 +1,20 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from evenfold.operators.separation import group_profiles
 from evenfold.operators.vectors import (
     attach_vector_profiles, kmeans_vectors, separation_vectors, silhouette_vectors, vector_profiles)
+from evenfold.operators import lloyd, separation
+from evenfold.operators.balance import as_run
+from evenfold.operators.profiles import FULL_KEYS
+from evenfold.operators.reach import VECTOR, block_reach
+from evenfold.plans.cohorts import prepare
+from evenfold.sources.learners import learners
 
 SCHEMA = "run string, cohort_id bigint, row_id bigint, group_id int, vector array<double>"
 
@@ -76,3 +85,40 @@ def test_empty_one_group_and_a_group_per_row(spark):
         assert r["silhouette"] is None and r["davies_bouldin"] is None and r["calinski_harabasz"] is None
     with pytest.raises(ValueError, match="out of range"):
         kmeans_vectors(spark.createDataFrame(alike[:2], SCHEMA), 3)
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+@pytest.mark.parametrize("rounds", [2, 300])
+def test_steered_rounds_are_those_of_tables(spark, metric, rounds):
+    _, df = _labelled(spark)
+    profiles = vector_profiles(df)
+    slots = profiles.where("profile_id % 7 = 0").select(
+        "cohort_id", "profile_id", (F.row_number().over(Window.partitionBy("cohort_id").orderBy("profile_id")) - 1).alias("slot"))
+    steered, tables = (f(profiles, slots, metric, rounds) for f in (lloyd.kmeans_steered, lloyd.kmeans))
+    for one, other in zip(steered, tables):
+        columns = sorted(one.columns)
+        assert sorted(map(str, one.select(*columns).collect())) == sorted(map(str, other.select(*columns).collect()))
+    assert steered[0].count() == profiles.count()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "gower"])
+def test_silhouette_of_people_in_small_blocks(spark, monkeypatch, metric):
+    cohorts = prepare(learners(spark, "/root/testdata/sf0.001").where("cohort_id < 4"), FULL_KEYS)
+    cells = group_profiles(as_run(cohorts.people.withColumn("group_id", F.pmod(F.col("row_id"), F.lit(3)).cast("int")), "x"))
+    profiles = cohorts.profiles
+    placed = cells.join(profiles.drop("weight"), ["cohort_id", "profile_id"])
+    whole = {r["cohort_id"]: r["silhouette"] for r in separation.silhouette(cells, profiles, metric).collect()}
+    cut = separation._by_blocks(cells, placed, metric, separation.NEEDS[metric], 2, 2)  # every group is cut
+    assert {r["cohort_id"]: r["silhouette"] for r in cut.collect()} == pytest.approx(whole, abs=1e-12) and len(whole) == 4
+
+
+def test_few_sums_leave_a_block():
+    """Of 50 groups each profile tells its own and the two nearest, not all."""
+    n = 50
+    cells = [(i, i, 1, float(i)) for i in range(n)]
+    table = pa.table({"run": ["x"] * 2 * n, "cohort_id": [1] * 2 * n, "profile_id": [c[0] for c in cells] * 2,
+                      "group_id": pa.array([None] * n + [c[1] for c in cells], pa.int64()), "people": [0] * n + [1] * n, "size": [0] * n + [1] * n,
+                      "cut": [False] * 2 * n, "features": [[c[3], 0.0] for c in cells] * 2})
+    found = block_reach(table, VECTOR).to_pylist()
+    assert len(found) == 2 * n  # a profile is nearest to its own group
+    assert {r["group_id"]: r["total"] for r in found if r["profile_id"] == 7} == {7: 0.0, 6: 1.0}
