@@ -3,10 +3,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from evenfold.operators import lloyd, medoids, projection, seeding
+from evenfold.operators import lloyd, medoids, projection, seeding, swap_search
 from evenfold.operators.joins import join_by_weight
 from evenfold.operators.profiles import FULL_KEYS, SKILL_KEYS, encode
 from evenfold.operators.ranking import rank_in_cohort
@@ -94,6 +95,47 @@ def test_shares_of_one_cohort_agree(spark, monkeypatch, metric):
     assert {(r.swaps, r.converged) for r in cut.collect()} == {(2, False)}
 
 
+def _share(n: int, slots: int, seed: int):
+    """A share that has a cohort of n profiles to itself, with slots on random profiles."""
+    rng = np.random.default_rng(seed)
+    points = pd.DataFrame({c: rng.integers(0, 4, n) for c in ("Motivation", "Self_Esteem", "Work_Ethic", "Learning_Style", "Gender", "Diversity")})
+    points = points.assign(kind=swap_search.POINT, profile_id=np.arange(n), weight=rng.integers(1, 9, n), slot=0, own=0, span_motivation=3, span_esteem=3, span_ethic=3)
+    seats = pd.DataFrame({"kind": swap_search.SEAT, "profile_id": rng.integers(0, n, slots), "slot": np.arange(slots)})
+    return swap_search.Share(pd.concat([points, seats]).assign(cohort_id=1, share=0, shares=1), "gower", 200)
+
+
+def test_kept_sums_stay_those_of_all_profiles():
+    share, asked = _share(150, 30, 5), []
+    share.start()
+    between = share.far.between
+    share.far.between = lambda a, b: asked.append(len(a) * len(b)) or between(a, b)
+    best = share.best()
+    asked.clear()
+    while best and share.swaps < 20:
+        share.swap(*best)
+        best = share.best()
+        gain, used, loss = share._sums(share.everybody, share.kept)
+        assert np.array_equal(share.gain, gain) and np.array_equal(share.loss[share.line[used]], loss)
+        assert sorted(np.flatnonzero(share.line >= 0)) == sorted(used)
+    assert share.swaps == 20 and sum(asked) < 20 * 150 * 30
+
+
+def test_slots_on_few_profiles_are_not_all_looked_at():
+    share, widest = _share(12, 5_000, 6), []
+    between = share.far.between
+    share.far.between = lambda a, b: widest.append(len(b)) or between(a, b)
+    share.start()
+    assert max(widest) <= 24
+    reach = between(share.everybody, share.at)
+    first, order = reach.argmin(axis=1), np.argsort(reach, axis=1, kind="stable")
+    assert np.array_equal(share.n1, first) and np.array_equal(share.n2, order[:, 1]) and np.array_equal(share.d2, np.sort(reach, axis=1)[:, 1])
+
+
+@pytest.mark.parametrize("peers, shares", [(0, 1), (2_880, 1), (4_096, 1), (4_097, 5), (90_000, 8)])
+def test_cohorts_of_a_few_thousand_profiles_stay_whole(spark, peers, shares):
+    assert spark.range(1).select(medoids._shares(F.lit(peers), 8)).first()[0] == shares
+
+
 def test_given_distances(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows, matrices, seats = [], {}, []
