@@ -170,6 +170,21 @@ def test_given_distances_are_checked(spark, broken):
         medoids.both_ways(table)
 
 
+def test_given_distances_become_few_slices(spark, monkeypatch):
+    monkeypatch.setattr(medoids, "TILE_IDS", 16)
+    d = np.random.default_rng(5).integers(1, 1 << 40, (40, 40))
+    d = np.triu(d, 1) + np.triu(d, 1).T
+    rows = [(1, 7 * i, 7 * j, int(d[i, j])) for i in range(40) for j in range(i)] + [(1, 0, 7, int(d[0, 1])), (2, 5, 5, 0)]
+    found = medoids.both_ways(spark.createDataFrame(rows, "cohort_id bigint, id_a bigint, id_b bigint, dist bigint")).collect()
+    # One row per id and block, not one per direction of a pair.
+    assert len(found) <= 40 * 3 + 1
+    assert [np.frombuffer(r.dist, np.int64).tolist() for r in found if r.cohort_id == 2] == [[0]]
+    blocks = np.array([next(r.own for r in found if r.cohort_id == 1 and r.id == 7 * i) for i in range(40)])
+    for r in found:
+        if r.cohort_id == 1:
+            assert np.frombuffer(r.dist, np.int64).tolist() == d[r.id // 7, blocks == r.part].tolist()
+
+
 def test_many_slots_on_one_profile_all_come_back(spark, people):
     cohorts = prepare(people([*[(i, "Male", 1.0, 1.0, 1.0, "Visual", "X") for i in range(9)], (9, "Male", 4.0, 4.0, 4.0, "Visual", "X")]))
     slots = spark.createDataFrame([(1, s, 0) for s in range(8)], "cohort_id bigint, slot int, profile_id bigint")
