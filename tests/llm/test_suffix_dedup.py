@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evenfold.llm import spans
 from evenfold.llm.suffix_dedup import _contexts, _indexed, _packed, _repeated, _row_anchors, digest, remove_repeats, repeated_spans
 from evenfold.llm.tables import Workspace
 from evenfold.llm.spans import SpanHash
@@ -113,3 +114,13 @@ def test_spans_of_one_buffer_hash_alike_only_if_equal():
     names = SpanHash(buf, seed=3)(starts, ends).tolist()
     raw = [buf[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist())]
     assert len(set(zip(names, raw))) == len(set(names)) == len(set(raw))
+
+
+def test_powers_of_a_large_buffer_are_not_kept():
+    buf = np.random.default_rng(1).integers(97, 123, spans.KEPT_POWERS + 5_000, dtype=np.uint8)
+    buf[-3_000:] = buf[:3_000]
+    large = spans.SpanHash(buf, seed=5)
+    ends = np.array([3_000, len(buf)])
+    first, last = large(ends - 3_000, ends)
+    assert first == last == spans.SpanHash(buf[:3_000], seed=5)(np.array([0]), np.array([3_000]))[0]
+    assert all(len(x) <= spans.KEPT_POWERS for x in spans._POWERS)
