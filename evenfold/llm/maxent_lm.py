@@ -39,7 +39,7 @@ OWN_CLASSES, SHARED_CLASSES = 24, 40
 CLASSES = OWN_CLASSES + SHARED_CLASSES
 FEATURES = 4
 ROUNDS = 2
-BATCH = 4_096  # keeps the rows of a batch in the cache
+BATCH = 1 << 15  # tokens whose chances are held at once: 8 MB
 COUNTED = 1 << 18  # tokens counted at once: a few arrays of 2 MB
 PRIOR = 4.0
 #: A task has fewer chunks, a chunk fewer words, than these bits count.
@@ -149,7 +149,7 @@ class _History:
         self.starts = np.cumsum(n) - n
 
     def features(self, a: int, b: int) -> np.ndarray:
-        """Feature rows (tokens x FEATURES) of tokens ``a`` to ``b``: what stands before them in their texts."""
+        """Feature rows (FEATURES x tokens) of tokens ``a`` to ``b``: what stands before them in their texts."""
         here = np.arange(a, b)
         place = here - self.starts[np.searchsorted(self.starts, here, "right") - 1]
         x = self.mixed[self.token[max(0, a - 3):b]]
@@ -162,33 +162,33 @@ class _History:
 
         one, two, three = back(1), back(2), back(3)
         raw = [one, two * _U(0x9E3779B97F4A7C15) + _U(1), mix(one * _U(3) + two), three * _U(0xD1342543DE82EF95) + _U(2)]
-        return np.stack([(mix(r + _U(k)) & _U(ROWS - 1)).astype(np.int64) for k, r in enumerate(raw)], axis=1)
+        return np.stack([(mix(r + _U(k)) & _U(ROWS - 1)).astype(np.int64) for k, r in enumerate(raw)])
 
 
 def _chance(weights: np.ndarray, bias: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Softmax over classes for a batch of feature rows."""
-    s = weights[f[:, 0]] + bias
-    for k in range(1, FEATURES):
-        s += weights[f[:, k]]
-    s -= s.max(axis=1, keepdims=True)
+    """Softmax over classes (CLASSES x tokens) for a batch of feature rows.
+
+    ``weights`` is CLASSES x ROWS: the weights of one class stay in the cache while they are looked up.
+    """
+    s = np.empty((len(weights), f.shape[1]), dtype=np.float32)
+    more = np.empty(f.shape[1], dtype=np.float32)
+    for own, w, b in zip(s, weights, bias):
+        np.take(w, f[0], out=own, mode="clip")
+        own += b
+        for k in range(1, FEATURES):
+            own += np.take(w, f[k], out=more, mode="clip")
+    s -= s.max(axis=0)
     np.exp(s, out=s)
-    s /= s.sum(axis=1, keepdims=True)
+    s /= s.sum(axis=0)
     return s
 
 
-def _add_rows(table: np.ndarray, ids: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the table's row of its id; ids that occur once, most of them, need no sum of their own."""
-    order = np.argsort(ids, kind="stable")
-    sorted_ids = ids[order]
-    first = np.flatnonzero(np.concatenate(([True], sorted_ids[1:] != sorted_ids[:-1])))
-    size = np.diff(np.append(first, len(ids)))
-    lone = order[first[size == 1]]
-    table[ids[lone]] += rows[lone]
-    often, size = first[size > 1], size[size > 1]
-    if len(often):
-        begin = np.cumsum(size) - size
-        picked = order[np.repeat(often - begin, size) + np.arange(int(size.sum()))]
-        table[sorted_ids[often]] += np.add.reduceat(rows[picked], begin, axis=0)
+def _add_chances(table: np.ndarray, f: np.ndarray, chance: np.ndarray) -> None:
+    """Add each token's chances (CLASSES x tokens) to ``table`` (CLASSES x ROWS) at all of its feature rows."""
+    for total, own in zip(table, chance):
+        own = own.astype(np.float64)
+        for rows in f:
+            total += np.bincount(rows, own, table.shape[1])
 
 
 def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.ndarray:
@@ -196,7 +196,7 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
     blocks = 64
 
     def run(batches):
-        table = np.zeros((ROWS, CLASSES), dtype=np.float32 if model else np.float64)
+        table = np.zeros((CLASSES, ROWS) if model else (ROWS, CLASSES))
         for batch in batches:
             for held, n, w, p, t in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 own = _open(w, np.int64)
@@ -206,18 +206,15 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
                 size = BATCH if model else COUNTED
                 for s in range(0, len(token), size):
                     kept = keep[s:s + size]
-                    part = history.features(s, min(len(token), s + size))[kept]
+                    part = history.features(s, min(len(token), s + size))[:, kept]
                     if model is None:
                         c = cls[token[s:s + size][kept]]
                         for k in range(FEATURES):
-                            table += np.bincount(part[:, k] * CLASSES + c, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
+                            table += np.bincount(part[k] * CLASSES + c, minlength=ROWS * CLASSES).reshape(ROWS, CLASSES)
                         continue
-                    if not len(part):
-                        continue
-                    chance = _chance(*model.value, part)
-                    for k in range(FEATURES):
-                        _add_rows(table, part[:, k], chance)
-        for b, rows in enumerate(np.split(table.astype(np.float32), blocks)):
+                    if part.shape[1]:
+                        _add_chances(table, part, _chance(*model.value, part))
+        for b, rows in enumerate(np.split((table.T if model else table).astype(np.float32, order="C"), blocks)):
             if rows.any():
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([_press(rows)], pa.binary())], names=["b", "z"])
 
@@ -237,7 +234,7 @@ def _sums(chunks: DataFrame, top: np.ndarray, model: Broadcast | None) -> np.nda
 
 
 def train(chunks: DataFrame, top: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and bias: started at the features' own log ratios, then moved along the scaled gradient."""
+    """Weights (CLASSES x ROWS) and bias: started at the features' own log ratios, then moved along the scaled gradient."""
     seen = _sums(chunks, top, None)
     share = seen.sum(axis=0) + 1
     share /= share.sum()
@@ -246,12 +243,12 @@ def train(chunks: DataFrame, top: np.ndarray, rounds: int = ROUNDS) -> tuple[np.
     weights = (np.log((seen + PRIOR * share) / ((row + PRIOR) * share)) / FEATURES * 1.5).astype(np.float32)
     context = chunks.sparkSession.sparkContext
     for _ in range(rounds):
-        model = context.broadcast((weights, bias))
+        model = context.broadcast((np.ascontiguousarray(weights.T), bias))
         expected = _sums(chunks, top, model)
         step = (seen - expected) / (np.maximum(seen, expected) + PRIOR)
         weights = (weights + step / 2).astype(np.float32)
         model.unpersist()
-    return weights, bias
+    return np.ascontiguousarray(weights.T), bias
 
 
 def score(df: DataFrame, held_out: Column, id_column: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
@@ -290,7 +287,7 @@ def score(df: DataFrame, held_out: Column, id_column: str = "doc_id", text: str
                 chance = np.empty(len(token))
                 for s in range(0, len(token), BATCH):
                     part = _chance(*model.value, history.features(s, min(len(token), s + BATCH)))
-                    chance[s:s + BATCH] = part[np.arange(len(part)), cls[token[s:s + BATCH]]]
+                    chance[s:s + BATCH] = part[cls[token[s:s + BATCH]], np.arange(part.shape[1])]
                 first = np.cumsum(n) - n
                 log_c = np.add.reduceat(np.log10(c + 1.0)[token], first)
                 inside = np.add.reduceat(np.log10(np.maximum(chance, 1e-30)) - log_mass[cls[token]], first)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,3 +94,23 @@ def test_training_has_several_rounds_and_all_classes(spark):
     total = lambda scored: scored.where("held_out").agg(F.sum("score")).first()[0]
     once, default = total(maxent_lm.score(df, held, rounds=1)), total(maxent_lm.score(df, held))
     assert default > once + 1 and maxent_lm.ROUNDS > 1 and maxent_lm.CLASSES == 64
+
+
+def test_chances_and_their_sums_are_those_of_single_tokens():
+    rng = np.random.default_rng(5)
+    weights = rng.normal(0, 3, (maxent_lm.CLASSES, maxent_lm.ROWS)).astype(np.float32)
+    bias = rng.normal(0, 40, maxent_lm.CLASSES).astype(np.float32)
+    f = rng.integers(0, maxent_lm.ROWS, (maxent_lm.FEATURES, 3_000))
+    f[0, 500:] = 7  # one row takes most tokens
+    f[1, :40] = f[0, :40]  # and a token may have a row twice
+    s = sum(weights[:, rows].astype(float) for rows in f) + bias[:, None]
+    expected = np.exp(s - s.max(axis=0))
+    expected /= expected.sum(axis=0)
+    chance = maxent_lm._chance(weights, bias, f)
+    assert np.allclose(chance, expected, rtol=1e-3, atol=1e-6) and np.allclose(chance.sum(axis=0), 1, atol=1e-5)
+    table, plain = np.full(weights.shape, 2.0 ** 25), np.full(weights.shape, 2.0 ** 25)
+    maxent_lm._add_chances(table, f, chance)
+    for t in range(f.shape[1]):
+        for row in f[:, t]:
+            plain[:, row] += chance[:, t]
+    assert np.allclose(table - 2.0 ** 25, plain - 2.0 ** 25, rtol=1e-6, atol=1e-5)  # next to 2^25 single precision drops them
