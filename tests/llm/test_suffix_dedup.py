@@ -4,11 +4,12 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evenfold.llm import spans
-from evenfold.llm.suffix_dedup import _contexts, _indexed, _packed, _repeated, _row_anchors, digest, remove_repeats, repeated_spans
+from evenfold.llm.suffix_dedup import _batches, _contexts, _indexed, _packed, _repeated, _row_anchors, anchors, digest, remove_repeats, repeated_spans
 from evenfold.llm.tables import Workspace
 from evenfold.llm.spans import SpanHash
 from tests.llm.brute import suffix_digest
@@ -124,3 +125,17 @@ def test_powers_of_a_large_buffer_are_not_kept():
     first, last = large(ends - 3_000, ends)
     assert first == last == spans.SpanHash(buf[:3_000], seed=5)(np.array([0]), np.array([3_000]))[0]
     assert all(len(x) <= spans.KEPT_POWERS for x in spans._POWERS)
+
+
+def test_windows_are_hashed_as_spans_in_less_memory():
+    buf = np.random.default_rng(3).integers(0, 256, 300_000).astype(np.uint8)
+    for k in (1, 2, 200, 299_999, 300_000, 300_001):
+        at = np.arange(max(0, len(buf) - k + 1))
+        assert np.array_equal(spans.SpanHash(buf, seed=5).windows(k), spans.SpanHash(buf, seed=5)(at, at + k))
+    batch = pa.record_batch([pa.array(["x" * 100_000] * 30)], names=["text"])
+    assert [b - a for a, b, _, _ in _batches(batch)] == [5] * 6
+    tracemalloc.start()
+    anchors(buf, np.array([0, len(buf)]), 400)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 * len(buf)
