@@ -14,7 +14,7 @@ from evenfold.llm.tables import Workspace, documents
 STAGES = [
     ("quality rules", stages.quality_rules),
     ("near duplicates", stages.near_duplicates),
-    ("repeated passages", stages.repeated_passages),
+    ("repeated passages", stages.repeated_runs),
     ("source mix", stages.source_mix),
     ("token ids", stages.token_ids),
 ]

@@ -20,8 +20,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that occur elsewhere; n_chars follows."""
-    cut = suffix_dedup.remove_repeats(docs, characters=True)
+    """Texts without the bytes of passages of 400 bytes that occur elsewhere; n_chars follows."""
+    return _rest(docs, suffix_dedup.remove_repeats(docs, characters=True))
+
+
+def repeated_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As ``repeated_passages``, and without runs of 50 words that occur elsewhere, which may be shorter."""
+    return _rest(docs, suffix_dedup.remove_repeats(docs, characters=True, run_words=50))
+
+
+def _rest(docs: DataFrame, cut: DataFrame) -> DataFrame:
     gone = F.size("_cut.removed") > 0
     text = F.when(gone, F.col("_cut.kept").cast("string")).otherwise(F.col("text"))
     chars = F.when(gone, F.length(F.col("_cut.kept").cast("string"))).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)

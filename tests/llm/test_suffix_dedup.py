@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import os
 import random
+import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from evenfold.llm import spans
 from evenfold.llm.suffix_dedup import _batches, _contexts, _indexed, _packed, _repeated, _row_anchors, anchors, digest, remove_repeats, repeated_spans
 from evenfold.llm.tables import Workspace
@@ -127,6 +131,47 @@ def test_powers_of_a_large_buffer_are_not_kept():
     assert all(len(x) <= spans.KEPT_POWERS for x in spans._POWERS)
 
 
+def _without_runs(texts: list[str | None], length: int, run: int) -> list[str]:
+    """Texts without characters that a repeat of ``length`` bytes or of ``run`` words covers, from tables of all windows."""
+    found = [(m.span(), m.group()) for t in texts for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+    rows = np.cumsum([0, *(len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts)]).tolist()
+    own = [found[a:b] for a, b in zip(rows[:-1], rows[1:])]
+    runs = Counter(tuple(w for _, w in f[x:x + run]) for f in own for x in range(len(f) - run + 1))
+    strings = Counter((t or "")[x:x + length] for t in texts for x in range(len(t or "") - length + 1))
+    out = []
+    for t, f in zip(texts, own):
+        t, gone = t or "", set()
+        covered = {y for x in range(len(f) - run + 1) if runs[tuple(w for _, w in f[x:x + run])] > 1 for y in range(x, x + run)}
+        for y in covered:  # white space goes where the words on both sides do
+            gone |= set(range(f[y][0][0], f[y + 1][0][0] if y + 1 in covered else f[y][0][1]))
+        for x in range(len(t) - length + 1):
+            if strings[t[x:x + length]] > 1:
+                gone |= set(range(x, x + length))
+        out.append("".join(c for i, c in enumerate(t) if i not in gone))
+    return out
+
+
+@pytest.mark.parametrize("limit", [8000, 4])
+def test_short_runs_of_words_go_too(spark, limit):
+    rng = random.Random(11)
+    prose = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(1, 7))) for _ in range(n))
+    passages = [prose(n) for n in (49, 50, 51, 55, 60, 140)]
+    texts = [None, "", "a " * 49, "b " * 50, "c " * 80, "x" * 500, prose(60), "y" * 390]
+    texts += [texts[6], " ".join(["z"] * 50), "same " + prose(30), "y" * 390]
+    for k in range(24):
+        passage = passages[k % 6].replace(" ", rng.choice((" ", "\n", "  ")))
+        texts.append(f"{prose(rng.randrange(60))}{rng.choice((' ', chr(10)))}{passage} {prose(rng.randrange(60))}")
+    texts.append("".join(texts[12:]))
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    expected = _without_runs(texts, 400, 50)
+    cut = remove_repeats(df, group_limit=limit, run_words=50, characters=True).select("doc_id", F.col("_cut.kept").cast("string").alias("kept"))
+    got = {r["doc_id"]: r["kept"] for r in cut.collect()}
+    assert [i for i in range(len(texts)) if got[i] != expected[i]] == []
+    stage = dict(corpus_pipeline.STAGES)["repeated passages"](spark, df, "")
+    got = {r["doc_id"]: (r["text"] or "", r["n_chars"]) for r in stage.collect()}
+    assert {i: (got[i], expected[i]) for i in range(len(texts)) if got[i] != (expected[i], len(expected[i]))} == {}
+
+
 def test_windows_are_hashed_as_spans_in_less_memory():
     buf = np.random.default_rng(3).integers(0, 256, 300_000).astype(np.uint8)
     for k in (1, 2, 200, 299_999, 300_000, 300_001):
