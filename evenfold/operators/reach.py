@@ -25,6 +25,9 @@ CELLS = 1 << 20
 #: Squared distances under this share of the squared lengths are computed from differences.
 NEAR = 1e-4
 
+#: Points and cells whose vectors are compared at once, so that their distances stay in the processor's cache.
+POINTS, COLUMNS = 256, 1_024
+
 Between = Callable[[slice], np.ndarray]
 
 
@@ -65,7 +68,8 @@ def _measured(table: pa.Table, metric: str, a: np.ndarray, b: np.ndarray) -> Bet
     return between
 
 
-def _vectors(table: pa.Table, a: np.ndarray, b: np.ndarray) -> Between:
+def _vectors(table: pa.Table, a: np.ndarray, b: np.ndarray) -> Callable[[slice, slice], np.ndarray]:
+    """Distances of the rows ``a[part]`` to the rows ``b[cols]`` from their vectors."""
     vectors = table.column("features").combine_chunks()
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
@@ -75,19 +79,42 @@ def _vectors(table: pa.Table, a: np.ndarray, b: np.ndarray) -> Between:
     middle = matrix.mean(axis=0)
     moved, others = left - middle, right - middle
     lengths, lengths_b = (moved * moved).sum(axis=1), (others * others).sum(axis=1)
-
-    def between(part: slice) -> np.ndarray:
-        sums = lengths[part, None] + lengths_b[None]
-        squares = sums - 2 * (moved[part] @ others.T)
-        # ``not larger`` also takes what overflowed.
-        i, j = np.nonzero(~(squares > NEAR * sums))
+    # One product gives the whole square: both lengths and twice the inner product.
+    ones = np.ones((len(table), 1))
+    moved, others = np.hstack([moved, lengths[:, None], ones[:len(a)]]), np.hstack([-2 * others, ones[:len(b)], lengths_b[:, None]])
+
+    def between(part: slice, cols: slice = slice(None)) -> np.ndarray:
+        lines, across = lengths[part, None], lengths_b[None, cols]
+        squares = moved[part] @ others[cols].T
+        # ``not larger`` also takes what overflowed. Only lines whose least square is small can have something near.
+        few = np.flatnonzero(~(squares.min(axis=1) > NEAR * (lines[:, 0] + across.max())))
+        i, j = np.nonzero(~(squares[few] > NEAR * (lines[few] + across)))
+        i = few[i]
         for k in range(0, len(i), CELLS // 64):
-            gap = left[part][i[k:k + CELLS // 64]] - right[j[k:k + CELLS // 64]]
+            gap = left[part][i[k:k + CELLS // 64]] - right[cols][j[k:k + CELLS // 64]]
             squares[i[k:k + CELLS // 64], j[k:k + CELLS // 64]] = (gap * gap).sum(axis=1)
-        return np.sqrt(squares)
+        return np.sqrt(squares, out=squares)
     return between
 
 
+def _sums(between: Callable[[slice, slice], np.ndarray], weight: np.ndarray, first: np.ndarray, group_of: np.ndarray) -> Between:
+    """Summed distances of the rows of a part to each group, tile by tile of ``COLUMNS`` cells, which stand group by group."""
+    n, alike = len(weight), bool((weight == 1).all())
+    tiles = [(slice(k, min(k + COLUMNS, n)), int(group_of[k]), np.concatenate([[0], first[(first > k) & (first < k + COLUMNS)] - k])) for k in range(0, n, COLUMNS)]
+
+    def totals(part: slice) -> np.ndarray:
+        out: np.ndarray | None = None
+        for cols, group, starts in tiles:
+            far = between(part, cols)
+            if not alike:
+                far *= weight[cols]
+            if out is None:
+                out = np.zeros((len(far), len(first)))
+            out[:, group:group + len(starts)] += np.add.reduceat(far, starts, axis=1)
+        return out
+    return totals
+
+
 def block_reach(table: pa.Table, metric: str) -> pa.Table:
     """Sums of one block: for whole groups the two nearest of each profile and its own, for cut groups all.
 
@@ -106,17 +133,20 @@ def block_reach(table: pa.Table, metric: str) -> pa.Table:
         # Cells of one profile share its distances.
         known, one, at = np.unique(ids[cells], return_index=True, return_inverse=True)
         distinct = cells[one]
-        between = _vectors(table, points, distinct) if metric == VECTOR else _measured(table, metric, points, distinct)
         group_of = np.repeat(np.arange(len(names)), np.diff([*first, len(cells)]))
+        if tiled := metric == VECTOR and len(known) == len(cells):
+            sums = _sums(_vectors(table, points, cells), weight, first, group_of)
+        else:
+            between = _vectors(table, points, distinct) if metric == VECTOR else _measured(table, metric, points, distinct)
         kept = np.flatnonzero(~cut)
         places = np.searchsorted(known, ids[points]).clip(max=len(known) - 1)
         where = np.where(known[places] == ids[points], places, -1)
         by_profile = np.argsort(at, kind="stable")
         starts = np.searchsorted(at[by_profile], np.arange(len(known) + 1))
-        step = max(1, CELLS // max(len(cells), 1))
+        step = min(POINTS, max(1, CELLS // len(names))) if tiled else max(1, CELLS // max(len(cells), 1))
         for s in range(0, len(points), step):
             part = slice(s, min(s + step, len(points)))
-            totals = np.add.reduceat(between(part)[:, at] * weight, first, axis=1)
+            totals = sums(part) if tiled else np.add.reduceat(between(part)[:, at] * weight, first, axis=1)
             line = np.arange(len(totals))
             wanted = np.zeros(totals.shape, bool)
             wanted[:, cut] = True

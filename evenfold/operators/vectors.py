@@ -10,6 +10,8 @@ an error that names the rows. An empty table gives empty results. Repeated vecto
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from evenfold.operators.joins import join_by_weight
 from evenfold.operators.seeding import check_clusters, group_config, init_slots
 from evenfold.operators.reach import VECTOR
 from evenfold.operators.separation import RUN
-from evenfold.session import checkpoint
+from evenfold.session import checkpoint, task_count
 
 
 def _as_features(rows: DataFrame, vector: str) -> DataFrame:
@@ -73,17 +75,26 @@ def kmeans_vectors(rows: DataFrame, k: int, metric: str = "euclidean", vector: s
     return named, centroids.withColumn("centroid", F.transform("centroid", lambda x: x / F.lit(float(MICRO))))
 
 
-# Vectors that meet as one side of a matrix of distances.
+# Vectors that are worth a task of their own as one side of the distances, and bytes of the largest such side.
 BLOCK = 4_096
+BLOCK_BYTES = 1 << 25
 
 
-def silhouette_vectors(cells: DataFrame, profiles: DataFrame, block: int = BLOCK) -> DataFrame:
+def silhouette_vectors(cells: DataFrame, profiles: DataFrame, block: int | None = None) -> DataFrame:
     """The silhouette of cells (``run, cohort_id, group_id, profile_id, people``) by the L2 distance of their vectors.
 
-    Profiles and cells of a cohort are cut into blocks of about ``block``; a pair of blocks is one task's matrix, of
-    which only sums per profile and group leave, so neither a cohort nor its pairs meet in one place.
+    Profiles and cells of a cohort are cut into blocks of about ``block``; a pair of blocks is one task's work, of
+    which only sums per profile and group leave, so neither a cohort nor its pairs meet in one place. Every vector is shuffled once per
+    block it meets: unless told, blocks are as large as ``BLOCK_BYTES`` allows, and smaller only to keep all tasks busy.
     """
-    return separation._by_blocks(cells, separation._placed(cells, profiles), VECTOR, ("features",), block, block)
+    placed = separation._placed(cells, profiles)
+    if block is not None:
+        return separation._by_blocks(cells, placed, VECTOR, ("features",), block, block)
+    width = profiles.agg(F.max(F.size("features"))).first()[0] or 1
+    largest = max(BLOCK, BLOCK_BYTES // (8 * max(1, width)))
+    # Pairs of blocks are dealt to tasks by a hash: about eight for each even out.
+    side = math.ceil(math.sqrt(8 * task_count(cells.sparkSession)))
+    return separation._by_blocks(cells, placed, VECTOR, ("features",), largest, largest, (BLOCK, side))
 
 
 def separation_vectors(labelled: DataFrame, vector: str = "vector") -> DataFrame:

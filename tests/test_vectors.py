@@ -122,3 +122,37 @@ def test_few_sums_leave_a_block():
     found = block_reach(table, VECTOR).to_pylist()
     assert len(found) == 2 * n  # a profile is nearest to its own group
     assert {r["group_id"]: r["total"] for r in found if r["profile_id"] == 7} == {7: 0.0, 6: 1.0}
+
+
+def test_vectors_are_shuffled_a_few_times(spark, monkeypatch):
+    """A table of many blocks' worth of vectors is cut into as many blocks as the tasks need, not into ever more of them."""
+    cut = []
+    by_blocks = separation._by_blocks
+    monkeypatch.setattr(separation, "_by_blocks", lambda *a: cut.append(a[4:]) or by_blocks(*a))
+    monkeypatch.setattr("evenfold.operators.vectors.BLOCK", 4)
+    rows, df = _labelled(spark)
+    found = {r["cohort_id"]: r["silhouette"] for r in separation_vectors(df).collect()}
+    for c in (0, 1):
+        assert found[c] == pytest.approx(_silhouette([r for r in rows if r[1] == c]), abs=1e-9)
+    ((points, cells, finer),) = cut
+    assert points == cells == (1 << 25) // 24 and finer == (4, 8)
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_tiles_of_a_block_give_its_sums(monkeypatch, repeated):
+    """Groups that begin and end inside tiles, near and equal vectors, weights; with repeated vectors the rows share distances."""
+    monkeypatch.setattr("evenfold.operators.reach.POINTS", 7)
+    monkeypatch.setattr("evenfold.operators.reach.COLUMNS", 5)
+    rng = np.random.default_rng(2)
+    n = 40
+    x = rng.normal(size=(n, 3))
+    x[7], x[9], x[11] = x[3], x[3] + 1e-9, 1e5
+    group, people = rng.integers(0, 6, n), rng.integers(1, 4, n)
+    cells = [(i, int(group[i]), int(people[i])) for i in range(n)] + ([(i, int(group[i]) + 6, 1) for i in range(0, n, 3)] if repeated else [])
+    table = pa.table({"run": ["x"] * (n + len(cells)), "cohort_id": [1] * (n + len(cells)), "profile_id": [*range(n), *[c[0] for c in cells]],
+                      "group_id": pa.array([None] * n + [c[1] for c in cells], pa.int64()), "people": [0] * n + [c[2] for c in cells], "size": [1] * (n + len(cells)),
+                      "cut": [True] * (n + len(cells)), "features": [x[i].tolist() for i in [*range(n), *[c[0] for c in cells]]]})
+    found = {(r["profile_id"], r["group_id"]): r["total"] for r in block_reach(table, VECTOR).to_pylist()}
+    assert len(found) == n * len({c[1] for c in cells})
+    for (i, g), total in found.items():
+        assert total == pytest.approx(sum(w * np.sqrt(((x[i] - x[j]) ** 2).sum()) for j, h, w in cells if h == g), rel=1e-9, abs=1e-12)
